@@ -32,6 +32,10 @@ def prune_default_dirs(files: DataFrame, applies_to: str = "all") -> DataFrame:
     return files.filter(~F.arrays_overlap(_parts(applies_to == "dirs"), excluded))
 
 
+def _some_part_like(regex: str) -> Column:
+    return F.exists(_parts(), lambda part: part.rlike(regex))
+
+
 def max_depth(files: DataFrame, depth: int | None) -> DataFrame:
     return files if depth is None else files.filter(F.col("depth") <= depth)
 
@@ -85,8 +89,7 @@ def exclude_names(files: DataFrame, patterns: list[str] | None) -> DataFrame:
     for pattern in patterns or []:
         if "*" in pattern or "?" in pattern:
             loose = pattern.replace("*", ".*").replace("?", ".")
-            regex = "(?iu)" + to_java_regex(loose)
-            files = files.filter(~F.exists(_parts(), lambda p, r=regex: p.rlike(r)))
+            files = files.filter(~_some_part_like("(?iu)" + to_java_regex(loose)))
         elif "/" not in pattern:
             # a slash-free substring lies within one component
             files = files.filter(~F.col("rel_path").contains(pattern))
