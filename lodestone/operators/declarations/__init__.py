@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.paths import SCRIPT_EXTS
@@ -45,6 +46,30 @@ def language(ext: Column, names: list[str] | None = None) -> Column:
     )
 
 
+# Building these expressions takes longer than planning them, so a session builds each once.
+_built: WeakKeyDictionary[SparkSession, dict[tuple[str, str], Column]] = WeakKeyDictionary()
+
+
+def _once(files: DataFrame, name: str, what: str, build: Callable[[], Column]) -> Column:
+    known = _built.setdefault(files.sparkSession, {})
+    if (name, what) not in known:
+        known[name, what] = build()
+    return known[name, what]
+
+
+def _segments(files: DataFrame, name: str) -> Column:
+    return _once(files, name, "segments", lambda: LANGUAGES[name][1](F.col("content")))
+
+
+def _declared(files: DataFrame, name: str) -> Column:
+    return _once(
+        files,
+        name,
+        "declared",
+        lambda: LANGUAGES[name][2](F.col("piece"), F.col("state")).cast(f"array<{DECL_TYPE}>"),
+    )
+
+
 def _by_language(names: list[str], value: Callable[[str], Column]) -> Column:
     if len(names) == 1:
         return value(names[0])
@@ -63,16 +88,14 @@ def extract_all(files: DataFrame, languages: list[str] | None = None) -> DataFra
         raise ValueError(f"unknown languages: {', '.join(sorted(unknown))}")
     exts = [e for name in names for e in LANGUAGES[name][0]]
     keys = ["corpus_id", "path", "lang"]
-    segments = _by_language(names, lambda name: LANGUAGES[name][1](F.col("content")))
+    segments = _by_language(names, lambda name: _segments(files, name))
     pieces = (
         files.filter(F.col("ext").isin(exts))
         .select("corpus_id", "path", language(F.col("ext"), names).alias("lang"), "content")
         .select(*keys, F.posexplode(segments).alias("seg_no", "seg"))
         .select(*keys, "seg_no", "seg.state", F.posexplode("seg.pieces").alias("pos", "piece"))
     )
-    declared = _by_language(
-        names, lambda name: LANGUAGES[name][2](F.col("piece"), F.col("state")).cast(f"array<{DECL_TYPE}>")
-    )
+    declared = _by_language(names, lambda name: _declared(files, name))
     # position = segment, piece, declaration: 21, 22 and 20 bits
     place = F.shiftleft(F.col("seg_no").cast("long"), 42) + F.shiftleft(F.col("pos").cast("long"), 20)
     rows = (

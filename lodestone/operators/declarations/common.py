@@ -52,12 +52,14 @@ def all_of(text: Column, pattern: str) -> Column:
 
 
 def decl(section: str, rendered: Column, **values: Column | str) -> Column:
-    given = {"section": F.lit(section), "rendered": rendered, **values}
+    given = {"section": section, "rendered": rendered, **values}
     parts = []
     for field, kind in FIELDS.items():
-        value = given.get(field, F.lit(None))
-        value = F.lit(value) if isinstance(value, str) else value
-        parts.append(value.cast(kind).alias(field))
+        value = given.get(field)
+        if value is None:
+            parts.append(F.expr(f"CAST(NULL AS {kind}) AS {field}"))
+        else:
+            parts.append((F.lit(value) if isinstance(value, str) else value).alias(field))
     return F.struct(*parts)
 
 

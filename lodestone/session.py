@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", memory: str = "16g", **extra: str) ->
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **extra,
     }
     for key, value in options.items():
