@@ -49,94 +49,114 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(table(spark, sf_dir, "pages"), path, "html")
 
 
-ORDER, PART, SUPP, LINE = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-ITEM = text(ORDER, "_", PART, "_", SUPP, "_", LINE)
+def item_columns() -> tuple[Column, Column, Column, Column]:
+    """Order, part, supplier and line number of a line item."""
+    return F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+
+
+def item_name() -> Column:
+    order, part, supp, line = item_columns()
+    return text(order, "_", part, "_", supp, "_", line)
+
+
+def distinct_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Narrow keys, so that each path is one file."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *more]
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys).distinct()
 
 
 def item_sources(spark: SparkSession, sf_dir: str, ext: str, body: Column) -> DataFrame:
-    """One source file per line item."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return corpus_from_table(items, text("items/i", ITEM, ext), body)
+    """One source file per distinct line item."""
+    items = distinct_items(spark, sf_dir)
+    return corpus_from_table(items, text("items/i", item_name(), ext), body)
 
 
 def python_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "# item ", LINE, "\nimport os, parts.p", PART, " as part\nfrom suppliers.s", SUPP, " import (\n    name,\n",
-        "    account as acct,\n)\n__all__ = ['Item", LINE, "',\n    \"load\"]\nclass Item", LINE,
-        "(object):\n    async def load", PART, "(self, x=(1,\n        2)):\n        return [\nimport\n]\n",
+        "# item ", line, "\nimport os, parts.p", part, " as part\nfrom suppliers.s", supp, " import (\n    name,\n",
+        "    account as acct,\n)\n__all__ = ['Item", line, "',\n    \"load\"]\nclass Item", line,
+        "(object):\n    async def load", part, "(self, x=(1,\n        2)):\n        return [\nimport\n]\n",
     )
 
 
 def rust_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "// item\n// more\nuse parts::{p", PART, ",\n    q};\nextern crate s", SUPP, ";\npub(crate) async fn load", LINE,
-        "() { 1; }\n;\npub struct Item", ORDER, ";\nfn inner", PART, "() {};\npub const LAST: u8 = 1",
+        "// item\n// more\nuse parts::{p", part, ",\n    q};\nextern crate s", supp, ";\npub(crate) async fn load", line,
+        "() { 1; }\n;\npub struct Item", order, ";\nfn inner", part, "() {};\npub const LAST: u8 = 1",
     )
 
 
 def go_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "package items\n\nimport \"fmt\"\nimport (\n\t_ \"parts/p", PART, "\"\n\ts", LINE, " \"suppliers/s", SUPP,
-        "\"\n)\n\nconst (\n\tItem", LINE, " = 1\n\thidden = 2\n)\ntype (\n\tPart", PART,
-        " struct {\n\t}\n)\nvar Order", ORDER, " = 1\nfunc (i *Item) Load", LINE, "() {}\nfunc local", SUPP, "() {}\n",
+        "package items\n\nimport \"fmt\"\nimport (\n\t_ \"parts/p", part, "\"\n\ts", line, " \"suppliers/s", supp,
+        "\"\n)\n\nconst (\n\tItem", line, " = 1\n\thidden = 2\n)\ntype (\n\tPart", part,
+        " struct {\n\t}\n)\nvar Order", order, " = 1\nfunc (i *Item) Load", line, "() {}\nfunc local", supp, "() {}\n",
     )
 
 
 def java_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "package items;\r\nimport parts.P", PART, ";\r\nimport static suppliers.S", SUPP, ".*;\r\n// import no.Such;\r\n",
-        "public class Item", LINE, " {\r\n}\r\n  interface Order", ORDER, " {}\r\npublic final class Not {}\r\n",
+        "package items;\r\nimport parts.P", part, ";\r\nimport static suppliers.S", supp, ".*;\r\n// import no.Such;\r\n",
+        "public class Item", line, " {\r\n}\r\n  interface Order", order, " {}\r\npublic final class Not {}\r\n",
     )
 
 
 def kotlin_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "package items\nimport parts.P", PART, " as Part", LINE, "\nimport suppliers.*\nimport suppliers.S", SUPP,
-        "\ninternal class Item", LINE, "\nfun load", ORDER, "() {\n  val inner", PART, " = 1\n}\n// class No\n",
+        "package items\nimport parts.P", part, " as Part", line, "\nimport suppliers.*\nimport suppliers.S", supp,
+        "\ninternal class Item", line, "\nfun load", order, "() {\n  val inner", part, " = 1\n}\n// class No\n",
     )
 
 
 def csharp_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
-        "using System;\nusing Part = Parts.P", PART, ";\nusing static No.Such;\nnamespace Items\n{\n  public partial class Item",
-        LINE, "\n  internal struct Supp", SUPP, "\n  public static class Not\n}\n",
+        "using System;\nusing Part = Parts.P", part, ";\nusing static No.Such;\nnamespace Items\n{\n  public partial class Item",
+        line, "\n  internal struct Supp", supp, "\n  public static class Not\n}\n",
     )
 
 
 def part_specifier() -> Column:
-    return text("../../parts/p", PART)
+    return text("../../parts/p", F.col("l_partkey"))
 
 
 def script_body() -> Column:
+    order, part, supp, line = item_columns()
     return text(
         "/// <reference path=\"./types.d.ts\" />\n// import no from './no';\nimport part, { name as label, type Size } from '",
-        part_specifier(), "';\nimport * as supp from \"../../suppliers/s", SUPP, "\"; /* import x from 'y' */\n",
+        part_specifier(), "';\nimport * as supp from \"../../suppliers/s", supp, "\"; /* import x from 'y' */\n",
         "import 'side-effect';\nconst { log: say, ...rest } = require('logger');\nconst url = \"http://import.it\";\n",
-        "export const item", LINE, " = async (x: number) => { return import('./lazy", SUPP, "'); };\n",
-        "export { label as order", ORDER, " };\nexport default class Item", LINE, " {}\nfunction local", PART, "() {}\n",
-        "export interface Shape", SUPP, " {}\nmodule.exports.legacy = 1;\n",
+        "export const item", line, " = async (x: number) => { return import('./lazy", supp, "'); };\n",
+        "export { label as order", order, " };\nexport default class Item", line, " {}\nfunction local", part, "() {}\n",
+        "export interface Shape", supp, " {}\nmodule.exports.legacy = 1;\n",
     )
 
 
 FLAGS = ["A", "N", "R"]
 CONFIG = (
     '{ // aliases\n  "compilerOptions": { "baseUrl": ".", "paths": { "@parts/*": ["gone/*", "parts/*"], '
-    '"@one": ["suppliers/s1"] } } }'
+    '"@supp/*": ["suppliers/*"] } } }'
 )
 
 
 def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three projects, one per return flag: every line item of the flag is a file that imports its
     part by a relative path and its supplier by an alias or a relative path."""
-    items = table(spark, sf_dir, "lineitem").select(
+    _, part, supp, line = item_columns()
+    items = distinct_items(spark, sf_dir, "l_returnflag").select(
         F.col("l_returnflag").alias("flag"),
-        text("/shop/items/f", LINE, "/i", ITEM, ".ts").alias("path"),
+        text("/shop/items/f", line, "/i", item_name(), ".ts").alias("path"),
         text(
-            "import p from '", part_specifier(), "';\nimport '../../parts/missing", PART, "';\n",
-            F.when(PART % 2 == 0, text("import s from '../../suppliers/s", SUPP, "';\n")).otherwise(
-                text("import s from '@supp", SUPP, "';\n")
+            "import p from '", part_specifier(), "';\nimport '../../parts/missing", part, "';\n",
+            F.when(part % 2 == 0, text("import s from '../../suppliers/s", supp, "';\n")).otherwise(
+                text("import s from '@supp/s", supp, "';\n")
             ),
-            "import again from '", part_specifier(), "'; import dup from '@parts/p", PART, "';\nexport const item = p;\n",
+            "import again from '", part_specifier(), "'; import dup from '@parts/p", part, "';\nexport const item = p;\n",
         ).alias("body"),
     )
     key = F.col("p_partkey")
@@ -145,9 +165,8 @@ def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         flags, text("/shop/parts/p", key, place).alias("path"), text("export default '", F.col("p_name"), "';\n").alias("body")
     )
-    supp = F.col("s_suppkey")
     suppliers = table(spark, sf_dir, "supplier").select(
-        flags, text("/shop/suppliers/s", supp, ".js").alias("path"), F.lit("").alias("body")
+        flags, text("/shop/suppliers/s", F.col("s_suppkey"), ".js").alias("path"), F.lit("").alias("body")
     )
     config = spark.range(1).select(flags, F.lit("/shop/tsconfig.json").alias("path"), F.lit(CONFIG).alias("body"))
     rows = items.unionByName(parts).unionByName(suppliers).unionByName(config)
@@ -174,9 +193,8 @@ def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 5 == 3, text(stem, "/a/b/c/d", key, "/package.json"))
         .otherwise(text(stem, "/p", key, "/package.json"))
     )
-    return corpus_from_table(
-        table(spark, sf_dir, "part"), path, F.lit("{}"), corpus_id="p_brand", root=F.lit("/r")
-    )
+    rows = table(spark, sf_dir, "part").select("p_brand", path.alias("path")).distinct()
+    return corpus_from_table(rows, "path", F.lit("{}"), corpus_id="p_brand", root=F.lit("/r"))
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
