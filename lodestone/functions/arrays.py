@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 _CHUNK = 512
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use ``value`` several times in ``body`` but evaluate it once: a lambda variable holds it.
+    Expressions that repeat a regular expression match would otherwise repeat its work."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def running(
     values: Column,
     initial: Column,
@@ -24,17 +30,12 @@ def running(
     runs over chunks of 512 and appends whole chunks, which keeps arrays of millions near linear
     while an ordinary array is a single chunk.
     """
-    # the lambda variable binds ``values`` once, whatever expression it is
-    chunks = F.flatten(
-        F.transform(
-            F.array(values),
-            lambda all_values: F.transform(
-                F.sequence(
-                    F.lit(0), F.greatest((F.size(all_values) - 1) / _CHUNK, F.lit(0)).cast("int")
-                ),
-                lambda c: F.slice(all_values, c * _CHUNK + 1, F.lit(_CHUNK)),
-            ),
-        )
+    chunks = bind(
+        values,
+        lambda held: F.transform(
+            F.sequence(F.lit(0), F.greatest((F.size(held) - 1) / _CHUNK, F.lit(0)).cast("int")),
+            lambda c: F.slice(held, c * _CHUNK + 1, F.lit(_CHUNK)),
+        ),
     )
 
     def one(acc: Column, value: Column) -> Column:

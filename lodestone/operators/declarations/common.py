@@ -6,9 +6,12 @@ tokens) inside its row, and ``declared``, which builds the declaration structs o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ...functions.arrays import bind
 from ...functions.text import BLANK, SPACE, trim_space, unix_newlines
 
 NAME = r"[A-Za-z_]\w*"
@@ -40,7 +43,7 @@ def rx(pattern: str) -> str:
 
 def group(text: Column, pattern: str, index: int) -> Column:
     """A capture group, null when there is no match or the group took no part."""
-    return F.nullif(F.regexp_extract(text, rx(pattern), index), F.lit(""))
+    return bind(F.regexp_extract(text, rx(pattern), index), lambda v: F.when(v != "", v))
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -52,10 +55,10 @@ def all_of(text: Column, pattern: str) -> Column:
 
 
 def decl(section: str, rendered: Column, **values: Column | str) -> Column:
-    given = {"section": section, "rendered": rendered, **values}
+    fixed = {"section": section, "rendered": rendered, **values}
     parts = []
     for field, kind in FIELDS.items():
-        value = given.get(field)
+        value = fixed.get(field)
         if value is None:
             parts.append(F.expr(f"CAST(NULL AS {kind}) AS {field}"))
         else:
@@ -63,6 +66,11 @@ def decl(section: str, rendered: Column, **values: Column | str) -> Column:
     return F.struct(*parts)
 
 
+def given(body: Callable[[Column], Column], **values: Column) -> Column:
+    """Evaluate the named values once and hand them to ``body`` as a struct."""
+    return bind(F.struct(*[value.alias(name) for name, value in values.items()]), body)
+
+
 def specifier(source: Column) -> Column:
     return decl("specifier", source, source=source)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import MARK_OPEN, split_lines, trim_space, unix_newlines, without_marks
 from .common import (
-    NAME, function, group, has, import_of, kind_name, no_decls, rx,
+    NAME, function, given, group, has, import_of, kind_name, no_decls, rx,
     segment, specifier,
 )
 
@@ -45,22 +45,33 @@ def go(line: Column, state: Column) -> Column:
     lone = rf"^(type|const|var)<s>+({NAME})\b"
 
     def imported(pattern: str) -> Column:
-        source = group(line, pattern, 2)
-        return F.array(specifier(source), import_of(source, "import", group(line, pattern, 1)))
+        return given(
+            lambda v: F.array(
+                specifier(v["source"]), import_of(v["source"], "import", v["alias"])
+            ),
+            source=group(line, pattern, 2),
+            alias=group(line, pattern, 1),
+        )
 
     def export(kind: Column | str, name: Column) -> Column:
         return F.when(_exported(name), kind_name(kind, name))
 
+    def exported_as(kind: Column, name: Column) -> Column:
+        return given(lambda v: F.array(export(v["kind"], v["name"])), kind=kind, name=name)
+
     return (
         F.when((state == "import") & has(line, listed), imported(listed))
         .when((state != "import") & has(line, single), imported(single))
         .when(
             state.isin("const", "var", "type"),
-            F.when(has(line, entry), F.array(export(state, group(line, entry, 1)))).otherwise(no_decls()),
+            F.when(has(line, entry), exported_as(state, group(line, entry, 1))).otherwise(no_decls()),
         )
         .when(
             has(line, func),
-            F.array(function(group(line, func, 1)), export("func", group(line, func, 1))),
+            given(
+                lambda v: F.array(function(v["name"]), export("func", v["name"])),
+                name=group(line, func, 1),
+            ),
         )
-        .when(has(line, lone), F.array(export(group(line, lone, 1), group(line, lone, 2))))
+        .when(has(line, lone), exported_as(group(line, lone, 1), group(line, lone, 2)))
     )

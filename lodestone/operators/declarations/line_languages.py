@@ -6,24 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import (
-    DOTTED, NAME, function, group, has, import_of, keyword_lines,
-    kind_name, one_segment, specifier,
+    DOTTED, NAME, function, given, group, has, import_of, keyword_lines, kind_name, one_segment,
+    specifier,
 )
 
 
 def java_segments(text: Column) -> Column:
-    return one_segment(keyword_lines(text, r"import\b|public\b|protected\b|private\b|class\b|interface\b|enum\b|record\b"))
+    words = "import|public|protected|private|class|interface|enum|record"
+    return one_segment(keyword_lines(text, rf"(?:{words})\b"))
 
 
 def java(line: Column, _state: Column) -> Column:
     imp = rf"^import<s>+(static<s>+)?({DOTTED}|\w+(?:\.\w+)*\.\*)<s>*;<s>*\z"
     typ = rf"^(?:(?:public|protected|private)<s>+)?(class|interface|enum|record)<s>+({NAME})\b"
-    source = group(line, imp, 2)
-    kind = F.when(group(line, imp, 1).isNotNull(), "import-static").otherwise("import")
-    return (
-        F.when(has(line, imp), F.array(specifier(source), import_of(source, kind))).when(
-            has(line, typ), F.array(kind_name(group(line, typ, 1), group(line, typ, 2)))
-        )
+    static = F.when(group(line, imp, 1).isNotNull(), "import-static").otherwise("import")
+    return F.when(
+        has(line, imp),
+        given(
+            lambda v: F.array(specifier(v["source"]), import_of(v["source"], v["kind"])),
+            source=group(line, imp, 2),
+            kind=static,
+        ),
+    ).when(
+        has(line, typ),
+        given(
+            lambda v: F.array(kind_name(v["kind"], v["name"])),
+            kind=group(line, typ, 1),
+            name=group(line, typ, 2),
+        ),
     )
 
 
@@ -37,17 +47,25 @@ def kotlin_segments(text: Column) -> Column:
 def kotlin(line: Column, _state: Column) -> Column:
     imp = rf"^import<s>+({DOTTED})(?:<s>+as<s>+({NAME}))?<s>*\z"
     dec = rf"^(?:(?:public|internal)<s>+)?({_KOTLIN_KINDS})<s>+({NAME})\b"
-    source, name = group(line, imp, 1), group(line, dec, 2)
-    return (
-        F.when(
-            has(line, imp), F.array(specifier(source), import_of(source, "import", group(line, imp, 2)))
-        ).when(
-            has(line, dec),
-            F.array(
-                kind_name(group(line, dec, 1), name),
-                F.when(group(line, dec, 1) == "fun", function(name)),
+    return F.when(
+        has(line, imp),
+        given(
+            lambda v: F.array(
+                specifier(v["source"]), import_of(v["source"], "import", v["alias"])
             ),
-        )
+            source=group(line, imp, 1),
+            alias=group(line, imp, 2),
+        ),
+    ).when(
+        has(line, dec),
+        given(
+            lambda v: F.array(
+                kind_name(v["kind"], v["name"]),
+                F.when(v["kind"] == "fun", function(v["name"])),
+            ),
+            kind=group(line, dec, 1),
+            name=group(line, dec, 2),
+        ),
     )
 
 
@@ -56,23 +74,28 @@ def csharp_segments(text: Column) -> Column:
 
 
 def csharp(line: Column, _state: Column) -> Column:
-    renamed = rf"^using<s>+({NAME})<s>*=<s>*({DOTTED})<s>*;<s>*\z"
-    plain = rf"^using<s>+({DOTTED})<s>*;<s>*\z"
+    using = rf"^using<s>+(?:({NAME})<s>*=<s>*)?({DOTTED})<s>*;<s>*\z"
     typ = rf"^(public|internal)<s>+(?:partial<s>+)?(class|interface|enum|struct|record)<s>+({NAME})\b"
-    return (
-        F.when(
-            has(line, renamed),
-            F.array(
-                specifier(group(line, renamed, 2)),
-                import_of(group(line, renamed, 2), "using-alias", group(line, renamed, 1)),
+    return F.when(
+        has(line, using),
+        given(
+            lambda v: F.array(
+                specifier(v["source"]),
+                import_of(
+                    v["source"],
+                    F.when(v["alias"].isNull(), "using").otherwise("using-alias"),
+                    v["alias"],
+                ),
             ),
-        )
-        .when(
-            has(line, plain),
-            F.array(specifier(group(line, plain, 1)), import_of(group(line, plain, 1), "using")),
-        )
-        .when(
-            has(line, typ),
-            F.array(kind_name(group(line, typ, 2), group(line, typ, 3), group(line, typ, 1))),
-        )
+            source=group(line, using, 2),
+            alias=group(line, using, 1),
+        ),
+    ).when(
+        has(line, typ),
+        given(
+            lambda v: F.array(kind_name(v["kind"], v["name"], v["vis"])),
+            kind=group(line, typ, 2),
+            name=group(line, typ, 3),
+            vis=group(line, typ, 1),
+        ),
     )

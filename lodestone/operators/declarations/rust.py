@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import trim_space, unix_newlines
 from .common import (
-    NAME, function, group, has, import_of, kind_name, one_segment, rx, specifier,
+    NAME, function, given, group, has, import_of, kind_name, one_segment, rx, specifier,
 )
 
 
@@ -29,24 +29,44 @@ def rust(stmt: Column, _state: Column) -> Column:
     own_fn = rf"^(?:async<s>+)?fn<s>+({NAME})\b"
     item = rf"^pub(\([^)]*\))?<s>+(struct|enum|trait|type|mod|const|static)<s>+({NAME})\b"
 
-    def visibility(pattern: str):
+    def visibility(pattern: str) -> Column:
         return F.concat(F.lit("pub"), F.coalesce(group(stmt, pattern, 1), F.lit("")))
 
     used = trim_space(F.regexp_replace(group(stmt, use, 1), rx("<s>+"), " "))
-    crated, name = group(stmt, crate, 1), group(stmt, open_fn, 2)
     return (
-        F.when(has(stmt, use), F.array(specifier(used), import_of(used, "use")))
-        .when(has(stmt, crate), F.array(specifier(crated), import_of(crated, "extern-crate")))
+        F.when(
+            has(stmt, use),
+            given(lambda v: F.array(specifier(v["s"]), import_of(v["s"], "use")), s=used),
+        )
+        .when(
+            has(stmt, crate),
+            given(
+                lambda v: F.array(specifier(v["s"]), import_of(v["s"], "extern-crate")),
+                s=group(stmt, crate, 1),
+            ),
+        )
         .when(
             has(stmt, open_fn),
-            F.array(
-                function(name, F.concat(name, F.lit(", exported"))),
-                kind_name("fn", name, visibility(open_fn)),
+            given(
+                lambda v: F.array(
+                    function(v["name"], F.concat(v["name"], F.lit(", exported"))),
+                    kind_name("fn", v["name"], v["vis"]),
+                ),
+                name=group(stmt, open_fn, 2),
+                vis=visibility(open_fn),
             ),
         )
-        .when(has(stmt, own_fn), F.array(function(group(stmt, own_fn, 1))))
+        .when(
+            has(stmt, own_fn),
+            given(lambda v: F.array(function(v["name"])), name=group(stmt, own_fn, 1)),
+        )
         .when(
             has(stmt, item),
-            F.array(kind_name(group(stmt, item, 2), group(stmt, item, 3), visibility(item))),
+            given(
+                lambda v: F.array(kind_name(v["kind"], v["name"], v["vis"])),
+                kind=group(stmt, item, 2),
+                name=group(stmt, item, 3),
+                vis=visibility(item),
+            ),
         )
     )

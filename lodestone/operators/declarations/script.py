@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ...functions.arrays import bind
 from .common import (
-    DECL_TYPE, comma_items, decl, function, group, has, no_decls,
+    DECL_TYPE, comma_items, decl, function, given, group, has, no_decls,
     one_segment, quoted_from, render_names, rx, specifier,
 )
 
@@ -40,25 +41,28 @@ _FUNCTION_VALUE = (
 )
 _ANNOTATION = r"(?:<s>*!?<s>*:[^=;\n]*+(?:=>[^=;\n]*+)*+)?"
 
+_KEYWORDS = "import|export|const|let|var|declare|async|function|require|module|exports"
+
 _TOKENS = rx(
-    rf"(?=[\"'`,iecldvfarm])(?:{_STRING}"
-    rf"|{_FREE}import<s>+(?:type<s>+)?{_ID}<s>*=<s>*require<s>*\(<s>*{_TEXT}<s>*\)"
-    rf"|{_FREE}import<s>*(?:(?:type<s>+)?(?:{_ID}<s>*,?<s>*)?(?:\{{[^}}]*+\}}|\*<s>*as<s>+{_ID})?"
+    # one cheap look ahead before any alternative: a quote, a comma or a whole keyword
+    rf"(?=[\"'`,]|{_FREE}(?:{_KEYWORDS})\b)(?:{_STRING}"
+    rf"|import<s>+(?:type<s>+)?{_ID}<s>*=<s>*require<s>*\(<s>*{_TEXT}<s>*\)"
+    rf"|import<s>*(?:(?:type<s>+)?(?:{_ID}<s>*,?<s>*)?(?:\{{[^}}]*+\}}|\*<s>*as<s>+{_ID})?"
     rf"<s>*from<s>*)?{_TEXT}"
-    rf"|{_FREE}import<s>+type<s>+from<s>*{_TEXT}"
-    rf"|{_FREE}export<s>*(?:type<s>+)?(?:\*(?:<s>*as<s>+{_ID})?|\{{[^}}]*+\}})(?:<s>*from<s>*{_TEXT})?"
-    rf"|{_FREE}export<s>+(?:default<s>+)?(?:declare<s>+)?(?:async<s>+)?function\b<s>*\*?<s>*(?:{_ID})?"
-    rf"|{_FREE}export<s>+(?:default<s>+)?(?:declare<s>+)?(?:abstract<s>+)?(?:class|interface)\b"
+    rf"|import<s>+type<s>+from<s>*{_TEXT}"
+    rf"|export<s>*(?:type<s>+)?(?:\*(?:<s>*as<s>+{_ID})?|\{{[^}}]*+\}})(?:<s>*from<s>*{_TEXT})?"
+    rf"|export<s>+(?:default<s>+)?(?:declare<s>+)?(?:async<s>+)?function\b<s>*\*?<s>*(?:{_ID})?"
+    rf"|export<s>+(?:default<s>+)?(?:declare<s>+)?(?:abstract<s>+)?(?:class|interface)\b"
     rf"(?:<s>+(?!(?:extends|implements)\b){_ID})?"
-    rf"|{_FREE}export<s>+(?:declare<s>+)?(?:type|enum|const<s>+enum)<s>+{_ID}"
-    rf"|{_FREE}(?<!\(<s>{{0,4}})(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+(?!enum\b)"
+    rf"|export<s>+(?:declare<s>+)?(?:type|enum|const<s>+enum)<s>+{_ID}"
+    rf"|(?<!\(<s>{{0,4}})(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+(?!enum\b)"
     rf"(?:{_ID}|{_BRACED})(?:{_ANNOTATION}<s>*=(?![=>])<s>*(?:{_CALL}{_WHOLE}|{_FUNCTION_VALUE})?)?"
-    rf"|{_FREE}export<s>+default\b|{_FREE}export<s>*=(?![=>])"
-    rf"|{_FREE}(?=async\b|function\b|declare\b){_NOT_VALUE}(?:declare<s>+)?(?:async<s>+)?"
+    rf"|export<s>+default\b|export<s>*=(?![=>])"
+    rf"|(?=async\b|function\b|declare\b){_NOT_VALUE}(?:declare<s>+)?(?:async<s>+)?"
     rf"function\b<s>*\*?<s>*{_ID}"
     rf"|,<s>*{_ID}<s>*=<s>*{_CALL}{_WHOLE}"
-    rf"|{_FREE}(?:require|import)<s>*\(<s>*{_TEXT}(?=<s>*[,)])"
-    rf"|{_FREE}(?:module\.exports(?:\.[\w$]++)*+|exports(?:\.[\w$]++)++)<s>*=(?![=>]))"
+    rf"|(?:require|import)<s>*\(<s>*{_TEXT}(?=<s>*[,)])"
+    rf"|(?:module\.exports(?:\.[\w$]++)*+|exports(?:\.[\w$]++)++)<s>*=(?![=>]))"
 )
 
 
@@ -87,9 +91,11 @@ def script_segments(raw: Column) -> Column:
 
 
 def _pair(name: Column, alias: Column) -> Column:
-    return F.struct(
-        name.alias("name"), F.when(alias != name, alias).cast("string").alias("alias")
-    )
+    def differing(v: Column) -> Column:
+        alias = F.when(v["alias"] != v["name"], v["alias"])
+        return F.struct(v["name"].alias("name"), alias.alias("alias"))
+
+    return given(differing, name=name, alias=alias.cast("string"))
 
 
 def _listed_names(inside: Column) -> Column:
@@ -97,8 +103,13 @@ def _listed_names(inside: Column) -> Column:
     renamed = r"^(\S+)<s>+as<s>+(\S+)\z"
 
     def one(item: Column) -> Column:
-        item = F.regexp_replace(item, rx(rf"^type<s>+(?={_ID}(?:<s>+as<s>+{_ID})?\z)(?!as<s>)"), "")
-        return _pair(F.coalesce(group(item, renamed, 1), item), group(item, renamed, 2))
+        plain = F.regexp_replace(item, rx(rf"^type<s>+(?={_ID}(?:<s>+as<s>+{_ID})?\z)(?!as<s>)"), "")
+        return bind(
+            plain,
+            lambda p: F.when(
+                has(p, renamed), _pair(group(p, renamed, 1), group(p, renamed, 2))
+            ).otherwise(_pair(p, F.lit(None))),
+        )
 
     return F.transform(comma_items(F.coalesce(inside, F.lit(""))), one)
 
@@ -110,9 +121,12 @@ def _bound_names(inside: Column) -> Column:
     items = F.filter(comma_items(F.coalesce(flat, F.lit(""))), lambda p: has(p, item))
     return F.transform(
         items,
-        lambda p: _pair(
-            F.coalesce(group(p, item, 1), group(p, item, 2)),
-            F.when(group(p, item, 1).isNotNull(), group(p, item, 2)),
+        lambda p: given(
+            lambda v: _pair(
+                F.coalesce(v["key"], v["local"]), F.when(v["key"].isNotNull(), v["local"])
+            ),
+            key=group(p, item, 1),
+            local=group(p, item, 2),
         ),
     )
 
@@ -185,133 +199,203 @@ def _declared_export(name: Column, is_default: Column, anonymous: str) -> Column
     ).when(name.isNotNull(), _named_export(name))
 
 
-def script(t: Column, _state: Column) -> Column:
-    text_end = r"[\"'`]([^\"'`\n]+)[\"'`]<s>*\)?\z"
-    last_text = group(t, text_end, 1)
-    call_text = group(t, r"(?:require|import)<s>*\(<s>*[\"'`]([^\"'`\n]+)", 1)
-    call_kind = F.when(has(t, r"\bimport<s>*\("), "dynamic").otherwise("require")
-    exported = has(t, r"^export\b")
-    is_default = has(t, r"^export<s>+default\b")
-
-    reference = F.substr(t, F.lit(4))
-    from_reference = F.array(
-        specifier(reference), _import_row(reference, "import", type_only=F.lit(True))
+def _from_reference(t: Column) -> Column:
+    name = F.substr(t, F.lit(4))
+    return F.array(specifier(name), _import_row(name, "import", type_only=F.lit(True)))
+
+
+def _static_import(t: Column) -> Column:
+    def parts(v: Column) -> Column:
+        return given(
+            rows,
+            source=v["source"],
+            bare=v["bare"],
+            type_only=v["type_only"],
+            default=group(v["clause"], rf"^({_ID})<s>*(?:,|from<s>*[\"'`])", 1),
+            namespace=group(v["clause"], rf"^[^\"'`]*\*<s>*as<s>+({_ID})", 1),
+            names=_listed_names(group(v["clause"], r"\{([^}]*)\}", 1)),
+        )
+
+    def rows(v: Column) -> Column:
+        full = _import_row(
+            v["source"], "import", type_only=v["type_only"], default=v["default"],
+            namespace=v["namespace"], names=v["names"],
+        )
+        return F.array(
+            specifier(v["source"]),
+            F.when(v["bare"], _import_row(v["source"], "side-effect")).otherwise(full),
+        )
+
+    typed = rf"^import<s>+type<s>+(?=(?!from\b){_ID}|\{{|\*)"
+    return given(
+        parts,
+        source=group(t, _TEXT_END, 1),
+        bare=has(t, r"^import<s>*[\"'`]"),
+        type_only=has(t, typed),
+        clause=F.regexp_replace(t, rx(rf"{typed}|^import<s>*"), ""),
     )
 
-    bare = has(t, r"^import<s>*[\"'`]")
-    type_only = has(t, rf"^import<s>+type<s>+(?:(?!from\b){_ID}|\{{|\*)")
-    clause = F.regexp_replace(t, rx(rf"^import<s>*(?:type<s>+(?=(?!from\b){_ID}|\{{|\*))?"), "")
-    static_import = F.array(
-        specifier(last_text),
-        F.when(bare, _import_row(last_text, "side-effect")).otherwise(
-            _import_row(
-                last_text,
-                "import",
-                type_only=type_only,
-                default=group(clause, rf"^({_ID})<s>*(?:,|from<s>*[\"'`])", 1),
-                namespace=group(clause, rf"^[^\"'`]*\*<s>*as<s>+({_ID})", 1),
-                names=_listed_names(group(clause, r"\{([^}]*)\}", 1)),
+
+def _export_list(t: Column) -> Column:
+    def rows(v: Column) -> Column:
+        source, type_only = v["source"], v["type_only"]
+        spread = F.array(_pair(F.lit("*"), v["spread"]))
+        row = (
+            F.when(
+                v["spread"].isNotNull(),
+                _export_row("re-export", source=source, type_only=type_only, names=spread),
             )
-        ),
-    )
-    equals = rf"^import<s>+(?:type<s>+)?({_ID})<s>*="
-    import_equals = F.array(
-        specifier(last_text), _import_row(last_text, "import=", default=group(t, equals, 1))
+            .when(v["star"], _export_row("star", source=source, type_only=type_only))
+            .otherwise(
+                _export_row(
+                    F.when(source.isNotNull(), "re-export").otherwise("named"),
+                    source=source, type_only=type_only, names=v["names"],
+                )
+            )
+        )
+        return F.array(F.when(source.isNotNull(), specifier(source)), row)
+
+    return given(
+        rows,
+        source=F.when(has(t, r"\bfrom<s>*[\"'`]"), group(t, _TEXT_END, 1)),
+        type_only=has(t, r"^export<s>*type\b"),
+        star=has(t, r"^export<s>*(?:type<s>+)?\*"),
+        spread=group(t, rf"^[^\"'`{{]*\*<s>*as<s>+({_ID})", 1),
+        names=_listed_names(group(t, r"\{([^}]*)\}", 1)),
     )
 
-    listed = r"^export<s>*(?:type<s>+)?[*{]"
-    source = F.when(has(t, r"\bfrom<s>*[\"'`]"), last_text)
-    export_type_only = has(t, r"^export<s>*type\b")
-    spread = group(t, rf"^[^\"'`{{]*\*<s>*as<s>+({_ID})", 1)
-    export_list = F.array(
-        F.when(source.isNotNull(), specifier(source)),
-        F.when(
-            spread.isNotNull(),
-            _export_row(
-                "re-export",
-                source=source,
-                type_only=export_type_only,
-                names=F.array(_pair(F.lit("*"), spread)),
-            ),
+
+def _function_head(t: Column) -> Column:
+    def rows(v: Column) -> Column:
+        shown = F.concat_ws(
+            ", ",
+            F.when(v["name"].isNotNull(), v["name"]).when(v["default"], "<anonymous>"),
+            F.when(v["exported"], "exported"),
+            F.when(v["default"], "default"),
         )
-        .when(
-            has(t, r"^export<s>*(?:type<s>+)?\*"),
-            _export_row("star", source=source, type_only=export_type_only),
+        return F.array(
+            F.when(v["name"].isNotNull() | v["default"], function(v["name"], shown)),
+            F.when(v["exported"], _declared_export(v["name"], v["default"], "function")),
         )
-        .otherwise(
-            _export_row(
-                F.when(source.isNotNull(), "re-export").otherwise("named"),
-                source=source,
-                type_only=export_type_only,
-                names=_listed_names(group(t, r"\{([^}]*)\}", 1)),
+
+    name = rf"\bfunction\b<s>*\*?<s>*({_ID})?\z"
+    return given(rows, name=group(t, name, 1), exported=has(t, _EXPORTED), default=has(t, _DEFAULT))
+
+
+def _type_head(t: Column) -> Column:
+    def rows(v: Column) -> Column:
+        return F.array(
+            F.when(v["class"], _declared_export(v["name"], v["default"], "class")).when(
+                v["name"].isNotNull(), _named_export(v["name"])
             )
-        ),
-    )
+        )
 
-    func = rf"\bfunction\b<s>*\*?<s>*({_ID})?\z"
-    func_head = r"^(?:export<s>+(?:default<s>+)?)?(?:declare<s>+)?(?:async<s>+)?function\b"
-    func_name = group(t, func, 1)
-    func_shown = F.concat_ws(
-        ", ",
-        F.when(func_name.isNotNull(), func_name).when(is_default, "<anonymous>"),
-        F.when(exported, "exported"),
-        F.when(is_default, "default"),
-    )
-    functions = F.array(
-        F.when(func_name.isNotNull() | is_default, function(func_name, func_shown)),
-        F.when(exported, _declared_export(func_name, is_default, "function")),
+    return given(
+        rows,
+        **{
+            "name": group(t, rf"{_TYPE_HEAD}<s>+({_ID})\z", 2),
+            "class": has(t, r"\bclass\b"),
+            "default": has(t, _DEFAULT),
+        },
     )
 
-    typed = r"^export<s>+(?:default<s>+)?(?:declare<s>+)?(?:abstract<s>+)?(class|interface|type|enum|const<s>+enum)\b"
-    type_name = group(t, typed + rf"<s>+({_ID})\z", 2)
-    is_class = has(t, r"\bclass\b")
-    types = F.array(
-        F.when(is_class, _declared_export(type_name, is_default, "class")).when(
-            type_name.isNotNull(), _named_export(type_name)
+
+def _variables(t: Column) -> Column:
+    def bound(v: Column) -> Column:
+        pattern = group(t, rf"{_VAR_HEAD}\{{([\s\S]*?)\}}(?![^{{=]*\}}<s>*=)", 1)
+        return given(
+            rows,
+            name=v["name"],
+            exported=v["exported"],
+            call=v["call"],
+            names=F.when(v["name"].isNull(), _bound_names(pattern)),
+            source=F.when(v["call"], group(t, _CALL_TEXT, 1)),
+            kind=_call_kind(t),
+            is_function=F.when(
+                v["name"].isNotNull(),
+                has(t, r"(?:=>|\bfunction)\z") & has(t, r"[^=]=<s>*[^=>]"),
+            ),
         )
-    )
 
-    var_head = r"^(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+"
-    var_name = group(t, rf"{var_head}({_ID})", 1)
-    pattern = F.when(var_name.isNull(), group(t, rf"{var_head}\{{([\s\S]*?)\}}(?![^{{=]*\}}<s>*=)", 1))
-    bound = _bound_names(pattern)
-    is_call = has(t, rf"=<s>*{_CALL}\z")
-    variables = F.concat(
-        F.array(
-            F.when(is_call, specifier(call_text)),
-            F.when(is_call & var_name.isNotNull(), _import_row(call_text, call_kind, default=var_name)).when(
-                is_call, _import_row(call_text, call_kind, names=bound)
+    def rows(v: Column) -> Column:
+        shown = F.concat_ws(", ", v["name"], F.when(v["exported"], "exported"))
+        single = v["name"].isNotNull()
+        return F.concat(
+            F.array(
+                F.when(v["call"], specifier(v["source"])),
+                F.when(
+                    v["call"] & single, _import_row(v["source"], v["kind"], default=v["name"])
+                ).when(v["call"], _import_row(v["source"], v["kind"], names=v["names"])),
+                F.when(v["is_function"], function(v["name"], shown)),
+                F.when(v["exported"] & single, _named_export(v["name"])),
             ),
             F.when(
-                var_name.isNotNull() & has(t, r"(?:=>|\bfunction)\z") & has(t, r"[^=]=<s>*[^=>]"),
-                function(var_name, F.concat_ws(", ", var_name, F.when(exported, "exported"))),
-            ),
-            F.when(exported & var_name.isNotNull(), _named_export(var_name)),
-        ),
-        F.when(
-            exported & var_name.isNull(),
-            F.transform(bound, lambda n: _named_export(F.coalesce(n["alias"], n["name"]))),
-        ).otherwise(no_decls()),
+                v["exported"] & ~single,
+                F.transform(v["names"], lambda n: _named_export(F.coalesce(n["alias"], n["name"]))),
+            ).otherwise(no_decls()),
+        )
+
+    return given(
+        bound,
+        name=group(t, rf"{_VAR_HEAD}({_ID})", 1),
+        exported=has(t, _EXPORTED),
+        call=has(t, rf"=<s>*{_CALL}\z"),
     )
 
-    calls = F.array(
-        specifier(call_text),
-        _import_row(call_text, call_kind, default=group(t, rf"^,<s>*({_ID})<s>*=", 1)),
+
+def _call(t: Column) -> Column:
+    def rows(v: Column) -> Column:
+        return F.array(
+            specifier(v["source"]), _import_row(v["source"], v["kind"], default=v["name"])
+        )
+
+    return given(
+        rows,
+        source=group(t, _CALL_TEXT, 1),
+        kind=_call_kind(t),
+        name=group(t, rf"^,<s>*({_ID})<s>*=", 1),
     )
+
+
+def _import_equals(t: Column) -> Column:
+    def rows(v: Column) -> Column:
+        return F.array(
+            specifier(v["source"]), _import_row(v["source"], "import=", default=v["name"])
+        )
+
+    return given(rows, source=group(t, _TEXT_END, 1), name=group(t, _EQUALS, 1))
+
+
+def _call_kind(t: Column) -> Column:
+    return F.when(has(t, r"\bimport<s>*\("), "dynamic").otherwise("require")
+
+
+_TEXT_END = r"[\"'`]([^\"'`\n]+)[\"'`]<s>*\)?\z"
+_CALL_TEXT = r"(?:require|import)<s>*\(<s>*[\"'`]([^\"'`\n]+)"
+_EXPORTED = r"^export\b"
+_DEFAULT = r"^export<s>+default\b"
+_EQUALS = rf"^import<s>+(?:type<s>+)?({_ID})<s>*="
+_FUNCTION_HEAD = r"^(?:export<s>+(?:default<s>+)?)?(?:declare<s>+)?(?:async<s>+)?function\b"
+_TYPE_HEAD = (
+    r"^export<s>+(?:default<s>+)?(?:declare<s>+)?(?:abstract<s>+)?"
+    r"(class|interface|type|enum|const<s>+enum)\b"
+)
+_VAR_HEAD = r"^(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+"
+
+
+def script(t: Column, _state: Column) -> Column:
     target = F.regexp_replace(t, rx(r"<s>*=\z"), "")
     decls = (
-        F.when(t.startswith("///"), from_reference)
-        .when(has(t, equals), import_equals)
-        .when(has(t, r"^(?:import|require)<s>*\(|^,"), calls)
-        .when(has(t, r"^import\b"), static_import)
-        .when(has(t, listed), export_list)
-        .when(has(t, func_head), functions)
-        .when(has(t, typed), types)
-        .when(has(t, var_head), variables)
-        .when(is_default, F.array(_export_row("default")))
-        .when(exported, F.array(_export_row("export=")))
-        .otherwise(
-            F.array(_export_row("cjs", detail=F.concat(F.lit("target="), target)))
-        )
+        F.when(t.startswith("///"), _from_reference(t))
+        .when(has(t, _EQUALS), _import_equals(t))
+        .when(has(t, r"^(?:import|require)<s>*\(|^,"), _call(t))
+        .when(has(t, r"^import\b"), _static_import(t))
+        .when(has(t, r"^export<s>*(?:type<s>+)?[*{]"), _export_list(t))
+        .when(has(t, _FUNCTION_HEAD), _function_head(t))
+        .when(has(t, _TYPE_HEAD), _type_head(t))
+        .when(has(t, _VAR_HEAD), _variables(t))
+        .when(has(t, _DEFAULT), F.array(_export_row("default")))
+        .when(has(t, _EXPORTED), F.array(_export_row("export=")))
+        .otherwise(F.array(_export_row("cjs", detail=F.concat(F.lit("target="), target))))
     )
     return decls.cast(f"array<{DECL_TYPE}>")

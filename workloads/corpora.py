@@ -60,9 +60,12 @@ def item_name() -> Column:
 
 
 def distinct_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Narrow keys, so that each path is one file."""
+    """Narrow keys, so that each path is one file. The keys weigh little and the text made from
+    them costs much, so the number of partitions is given: sizing them by bytes would leave one."""
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *more]
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys).distinct()
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return items.repartition(parts, *keys).distinct()
 
 
 def item_sources(spark: SparkSession, sf_dir: str, ext: str, body: Column) -> DataFrame:

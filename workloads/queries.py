@@ -271,11 +271,13 @@ def normalize_path(spark, sf_dir):
     items = C.distinct_items(spark, sf_dir)
     order, part, supp, line = C.item_columns()
     given = C.text("a/./o", order, "//x/../l", line, "/../../s", supp, "/p", part, ".ts/.")
-    full = paths.normalize_path(given, "/base/dir/..")
-    return items.select(
-        full.alias("path"), paths.relative_path(full, "/base").alias("rel"), paths.dirname(full).alias("parent"),
-        paths.normalize_path(given).alias("folded"),
+    folded = items.select(
+        paths.normalize_path(given, "/base/dir/..").alias("path"), paths.normalize_path(given).alias("folded")
     ).distinct()
+    path = F.col("path")
+    return folded.select(
+        "path", paths.relative_path(path, "/base").alias("rel"), paths.dirname(path).alias("parent"), "folded"
+    )
 
 
 @query
