@@ -11,8 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    # the JVM never compiles methods above 8,000 bytes; stages that would need one run faster
-    # through the ordinary operators
+    # by default the JVM leaves methods above 8,000 bytes uncompiled; stages that would need one
+    # go through the ordinary operators instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
