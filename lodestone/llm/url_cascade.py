@@ -62,7 +62,9 @@ class Level:
     hashes: int
 
     def positions(self, key: Column) -> list[Column]:
-        first, step = F.xxhash64(key, F.lit(2 * self.number)), F.xxhash64(key, F.lit(2 * self.number + 1))
+        # short enough that no sum or product leaves 64 bits
+        first = F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * self.number)), 8)
+        step = F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * self.number + 1)), 8)
         return [F.pmod(first + step * F.lit(j), F.lit(64 * len(self.words)).cast("long")) for j in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
