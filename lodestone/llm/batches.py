@@ -6,11 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from lodestone.ship import ship_package
 
 #: Text bytes worked on at once; one longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
 
 
+def row_schema(df: DataFrame, key: str, more: str) -> StructType:
+    """The schema of a key column of ``df`` with further fields (as DDL)."""
+    return StructType([*df.select(key).schema.fields, *StructType.fromDDL(more).fields])
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of at most ``limit`` text bytes (or one row), so that working
     memory follows the slice and not the number of rows that Spark puts into a batch."""

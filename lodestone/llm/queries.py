@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chunk_codec import encode_and_decode
+from lodestone.llm.decontaminate import find_contamination, hit_words
+from lodestone.llm.longest_match import count_pieces
 from lodestone.llm.shards import assign_shards
 from lodestone.llm.url_cascade import Rule, judge_urls, url_host, url_path
 
@@ -26,6 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> bytes:
+    """A public tokenizer's file, read by the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit_words("hit_spans").alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+    )
+
+
+def op5_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
@@ -38,9 +65,22 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_wu_manber": op2_wu_manber,
+    "op5_longest_match": op5_longest_match,
     "op7_url_cascade": op7_url_cascade,
     "op8_rendezvous_shards": op8_rendezvous_shards,
+    "op10_chunk_table": op10_chunk_table,
 }
 
 ORACLES: dict[str, str] = {
