@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.batches import list_column, map_batches, ranges, row_schema, text_slices, texts
+from lodestone.llm.batches import list_column, map_batches, row_schema, text_slices, texts
+from lodestone.llm.chunks import TABLE_CHUNKS, IdTable, flatten
 
 MARK = "▁"  # stands for a space inside pieces
 #: A chunk: spaces and what follows them up to the next space.
 _CHUNK = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
-#: Chunks that a worker's table holds before it is started anew; results don't depend on it.
-TABLE_CHUNKS = 400_000
 
-_tables: dict[str, ChunkTable] = {}
+_tables: dict[bytes, ChunkTable] = {}
 
 
 def inner_marks(model: bytes) -> list[str]:
@@ -45,58 +43,37 @@ def chunk_model(model: bytes) -> bytes:
     return proto.SerializeToString()
 
 
-@dataclass
 class ChunkTable:
-    """Distinct chunks in the order of their first use, each segmented and decoded once."""
+    """Distinct chunks, each segmented and decoded once."""
 
-    model: bytes
-    rows: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows.clear()
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.table = IdTable(self._segment)
         self.surfaces: list[str] = []
-        self.ids = np.empty(0, np.int32)
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-
-    def add(self, chunks: list[str]) -> None:
-        """Segment chunks that the table doesn't hold."""
-        if len(self.rows) > TABLE_CHUNKS:
-            self.clear()
-        fresh = list(dict.fromkeys(c for c in chunks if c not in self.rows))
-        if not fresh:
-            return
-        parts = self.processor.encode(fresh, num_threads=1)
+
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.processor.encode(chunks, num_threads=1)
         self.surfaces.extend(self.processor.decode(parts))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for part in parts for i in part), np.int32, int(sizes.sum()))
-        ends = np.cumsum(sizes) + len(self.ids)
-        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, ends - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        return flatten(parts)
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The ids of all texts one after another, each text's number of ids, and its decoded text."""
-        chunks = [_CHUNK.findall(" " + text) if text else [] for text in documents]
-        every = [c for own in chunks for c in own]
-        self.add(every)
-        at = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
-        ids = self.ids[ranges(self.starts[at], self.sizes[at])]
-        ends = np.concatenate([[0], np.cumsum(self.sizes[at])])
-        bounds = np.concatenate([[0], np.cumsum([len(own) for own in chunks])]).astype(np.int64)
-        surface, rows = self.surfaces, at.tolist()
-        decoded = [
-            "".join([surface[r] for r in rows[a:b]])[1:]  # without the space put before the text
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-        ]
-        return ids, np.diff(ends[bounds]), decoded
+        own = [_CHUNK.findall(" " + text) if text else [] for text in documents]
+        every = [c for chunks in own for c in chunks]
+        if len(self.table.rows) > TABLE_CHUNKS:
+            self.table.clear()
+            self.surfaces.clear()
+        self.table.add(every)
+        rows = self.table.positions(every)
+        surface, at, decoded = self.surfaces, rows.tolist(), []
+        start = 0
+        for chunks in own:
+            stop = start + len(chunks)
+            decoded.append("".join([surface[r] for r in at[start:stop]])[1:])  # without the space put before the text
+            start = stop
+        return self.table.take(rows), self.table.sizes_of(rows, list(map(len, own))), decoded
 
 
 def encode_and_decode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,10 +92,9 @@ def encode_and_decode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", tex
     schema = row_schema(docs, doc_id, "ids array<int>, decoded string")
 
     def run(batches):
-        key = str(hash(small.value))
-        table = _tables.get(key)
-        if table is None:
-            table = _tables.setdefault(key, ChunkTable(small.value))
+        if small.value not in _tables:  # stays for the worker's later tasks
+            _tables[small.value] = ChunkTable(small.value)
+        table = _tables[small.value]
         for part in text_slices(batches):
             ids, sizes, decoded = table.encode(texts(part.column("text")))
             yield pa.RecordBatch.from_arrays(

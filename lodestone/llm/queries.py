@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.chunk_codec import encode_and_decode
 from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.longest_match import count_pieces
+from lodestone.llm.repair_store import read_store, write_store
 from lodestone.llm.shards import assign_shards
 from lodestone.llm.url_cascade import Rule, judge_urls, url_host, url_path
+from lodestone.materialize import shared_folder
 
 SHARDS = 40
 #: The rules that the url query is asked for.
@@ -53,6 +56,12 @@ def op5_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
 
+def op6_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json").decode(), end_id=2)
+    return read_store(spark, path)
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
@@ -78,6 +87,7 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wu_manber": op2_wu_manber,
     "op5_longest_match": op5_longest_match,
+    "op6_repair_store": op6_repair_store,
     "op7_url_cascade": op7_url_cascade,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op10_chunk_table": op10_chunk_table,
