@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.chunk_codec import encode_and_decode
 from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.longest_match import count_pieces
+from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.repair_store import read_store, write_store
 from lodestone.llm.shards import assign_shards
 from lodestone.llm.url_cascade import Rule, judge_urls, url_host, url_path
@@ -52,6 +53,10 @@ def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
@@ -86,6 +91,7 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wu_manber": op2_wu_manber,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op5_longest_match": op5_longest_match,
     "op6_repair_store": op6_repair_store,
     "op7_url_cascade": op7_url_cascade,
