@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.chunk_codec import encode_and_decode
 from lodestone.llm.decontaminate import find_contamination, hit_words
+from lodestone.llm.language_id import identify_languages, learnable, train
 from lodestone.llm.longest_match import count_pieces
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.repair_store import read_store, write_store
@@ -41,6 +42,12 @@ def tokenizer_file(name: str) -> bytes:
         return file.read()
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
 def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -90,6 +97,7 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_network": op1_byte_network,
     "op2_wu_manber": op2_wu_manber,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op5_longest_match": op5_longest_match,
