@@ -13,6 +13,7 @@ from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.language_id import identify_languages, learnable, train
 from lodestone.llm.longest_match import count_pieces
 from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.pivot_index import near_duplicate_vectors
 from lodestone.llm.repair_store import read_store, write_store
 from lodestone.llm.shards import assign_shards
 from lodestone.llm.url_cascade import Rule, judge_urls, url_host, url_path
@@ -86,6 +87,10 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op9_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repair_store": op6_repair_store,
     "op7_url_cascade": op7_url_cascade,
     "op8_rendezvous_shards": op8_rendezvous_shards,
+    "op9_pivot_index": op9_pivot_index,
     "op10_chunk_table": op10_chunk_table,
 }
 
