@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.chunk_codec import encode_and_decode
+from lodestone.llm.class_lm import score_corpus
 from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.language_id import identify_languages, learnable, train
 from lodestone.llm.longest_match import count_pieces
@@ -65,6 +66,10 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_network": op1_byte_network,
     "op2_wu_manber": op2_wu_manber,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op4_class_bigrams": op4_class_bigrams,
     "op5_longest_match": op5_longest_match,
     "op6_repair_store": op6_repair_store,
     "op7_url_cascade": op7_url_cascade,
