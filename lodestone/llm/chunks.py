@@ -9,11 +9,11 @@ import numpy as np
 from lodestone.llm.batches import ranges
 
 #: Chunks that a table holds before it starts anew; results don't depend on it.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 600_000
 
 
 class IdTable:
-    """Distinct chunks in the order of their first use, each segmented once by ``segment``, a function from a list of chunks
+    """Distinct chunks, each segmented once by ``segment``, a function from a list of chunks
     to all their ids one after another and each one's number of ids."""
 
     def __init__(self, segment: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
@@ -28,7 +28,7 @@ class IdTable:
 
     def add(self, chunks: Iterable[str]) -> list[str]:
         """Segment the chunks that the table doesn't hold; gives them in the order of their rows."""
-        fresh = list(dict.fromkeys(c for c in chunks if c not in self.rows))
+        fresh = list(set(chunks).difference(self.rows))
         if fresh:
             flat, sizes = self.segment(fresh)
             ends = np.cumsum(sizes) + len(self.ids)

@@ -28,7 +28,9 @@ FREQUENT = 8
 _CODES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACES = frozenset(map(chr, _CODES))
 _SPACE = "".join(map(chr, _CODES))
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# nor from a letter into what is neither letter nor number
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_CHUNK = re.compile(rf"[{_SPACE}]*[{_LETTERS}]+(?!\w)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 _tokenizers: dict[str, TextEncoder] = {}
 
@@ -98,6 +100,17 @@ def splits_at_space(tokenizer_json: str) -> bool:
     )
 
 
+#: Places of the table that finds a pair's rank.
+_TABLE_BITS = 17
+
+
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    """A place in the table for each pair."""
+    if keys.dtype == np.uint64:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+    return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS)
+
+
 class Grammar:
     """A sequence of symbols and rules ``symbol -> left right``. Symbols below ``terminals`` are ids; rule ``i`` makes symbol
     ``terminals + i`` from earlier symbols and stands for ``lengths[i]`` ids."""
@@ -109,16 +122,15 @@ class Grammar:
     def of(cls, ids: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS, frequent: int = FREQUENT) -> Grammar:
         """Replace the most frequent pairs by new symbols, again and again. Of pairs that overlap the more frequent one
         is replaced, of equal ones the first."""
-        seq = ids.astype(np.int64)
         rules: list[np.ndarray] = []
         lengths = np.ones(terminals, np.int64)
-        made = 0
+        made, seq = 0, ids
         for _ in range(rounds):
             top = terminals + made
             wide = top > 1 << 16
-            key_type = np.uint64 if wide else np.uint32
-            seq = seq.astype(key_type)
-            keys = seq[:-1] * key_type(top) + seq[1:]  # top * top fits in the type
+            number = np.uint64 if wide else np.uint32  # holds a pair of symbols below top
+            seq = seq.astype(number, copy=False)
+            keys = seq[:-1] * number(top) + seq[1:]
             ordered = np.sort(keys)
             at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
             counts = np.diff(np.append(at, len(ordered)))
@@ -128,29 +140,30 @@ class Grammar:
             if not len(best):
                 break
             chosen = ordered[at[best]]
-            rank_of = np.argsort(chosen)
-            chosen_sorted = chosen[rank_of]
-            lefts = np.zeros(top, bool)
-            lefts[(chosen // key_type(top)).astype(np.int64)] = True
-            maybe = np.flatnonzero(lefts[seq[:-1].astype(np.int64)])
-            place = np.minimum(np.searchsorted(chosen_sorted, keys[maybe]), len(chosen) - 1)
-            hit = chosen_sorted[place] == keys[maybe]
-            where, rank = maybe[hit], rank_of[place[hit]]
+            # a hashed table from pair to rank; a pair whose place a more frequent one has waits for the next round
+            table = np.full(1 << _TABLE_BITS, len(chosen), np.int32)
+            table[_hashed(chosen)[::-1]] = np.arange(len(chosen) - 1, -1, -1)
+            ranks = table[_hashed(keys)]
+            where = np.flatnonzero(np.append(chosen, ~chosen[:1])[ranks] == keys)
+            rank = ranks[where]
+            real = rank < len(chosen)
+            where, rank = where[real], rank[real]
             # of neighbours in the sequence, the lower (rank, position) wins
             near = np.flatnonzero(np.diff(where) == 1)
+            earlier = rank[near] <= rank[near + 1]
             lose = np.zeros(len(where), bool)
-            lose[near + 1] |= rank[near] <= rank[near + 1]
-            lose[near] |= rank[near] > rank[near + 1]
+            lose[near[earlier] + 1] = True
+            lose[near[~earlier]] = True
             where, rank = where[~lose], rank[~lose]
-            used = np.unique(rank)
+            used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
             renumber = np.zeros(len(chosen), np.int64)
             renumber[used] = np.arange(len(used))
             picked = chosen[used]
-            left, right = (picked // key_type(top)).astype(np.int64), (picked % key_type(top)).astype(np.int64)
+            left, right = (picked // number(top)).astype(np.int64), (picked % number(top)).astype(np.int64)
             rules.append(np.stack([left, right], axis=1))
             lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-            seq = seq.astype(np.int64)
-            seq[where] = top + renumber[rank]
+            seq = seq.copy()
+            seq[where] = (top + renumber[rank]).astype(number)
             keep = np.ones(len(seq), bool)
             keep[where + 1] = False
             seq = seq[keep]
