@@ -80,6 +80,16 @@ def _by_language(names: list[str], value: Callable[[str], Column]) -> Column:
     )
 
 
+def _flat_pieces(segments: str) -> Column:
+    """All pieces of a file in order, each with the state of its segment."""
+    return F.flatten(
+        F.transform(
+            segments,
+            lambda s: F.transform(s["pieces"], lambda p: F.struct(s["state"].alias("state"), p.alias("piece"))),
+        )
+    )
+
+
 def extract_all(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Distinct declarations and specifiers (``section`` import, export, function, specifier) per
     file; ``ord`` grows in first-seen order within a file."""
@@ -92,17 +102,16 @@ def extract_all(files: DataFrame, languages: list[str] | None = None) -> DataFra
     pieces = (
         files.filter(F.col("ext").isin(exts))
         .select("corpus_id", "path", language(F.col("ext"), names).alias("lang"), "content")
-        .select(*keys, F.posexplode(segments).alias("seg_no", "seg"))
-        .select(*keys, "seg_no", "seg.state", F.posexplode("seg.pieces").alias("pos", "piece"))
+        .select(*keys, segments.alias("segments"))
+        .select(*keys, F.posexplode(_flat_pieces("segments")).alias("pos", "p"))
+        .select(*keys, "pos", "p.state", "p.piece")
     )
     declared = _by_language(names, lambda name: _declared(files, name))
-    # position = segment, piece, declaration: 21, 22 and 20 bits
-    place = F.shiftleft(F.col("seg_no").cast("long"), 42) + F.shiftleft(F.col("pos").cast("long"), 20)
+    # piece and declaration are places in arrays, so each fits in 31 bits
     rows = (
-        pieces.withColumn("place", place)
-        .select(*keys, "place", F.posexplode(declared).alias("at", "d"))
+        pieces.select(*keys, "pos", F.posexplode(declared).alias("at", "d"))
         .filter(F.col("d").isNotNull())
-        .select(*keys, (F.col("place") + F.col("at")).alias("ord"), "d.*")
+        .select(*keys, (F.shiftleft(F.col("pos").cast("long"), 31) + F.col("at")).alias("ord"), "d.*")
     )
     same = [c for c in DECL_COLUMNS if c != "ord"]
     return rows.groupBy(*same).agg(F.min("ord").alias("ord")).select(*DECL_COLUMNS)

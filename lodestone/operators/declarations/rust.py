@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ...functions.arrays import bind
 from ...functions.text import trim_space, unix_newlines
-from .common import (
-    NAME, function, given, group, has, import_of, kind_name, one_segment, rx, specifier,
-)
+from .common import function, given, import_of, kind_name, one_segment, rx, specifier
+from .heads import Head, is_identifier, without_end, words
+
+# The words that open a declaration.
+FUNCTIONS = Head(("fn",), (("async",),))
+ITEMS = Head(("struct", "enum", "trait", "type", "mod", "const", "static"))
+OPENERS = ("use", "extern", "pub", "async", "fn")
 
 
 def rust_segments(text: Column) -> Column:
@@ -17,56 +22,54 @@ def rust_segments(text: Column) -> Column:
         unix_newlines(text), rx(r"(\A|;\n)(?:<b>*//[^\n]*(?:\n|\z)|\n)++"), "$1"
     )
     statements = F.transform(F.split(code, "(?<=;)", -1), trim_space)
-    return one_segment(
-        F.filter(statements, lambda p: p.rlike(rx(r"^(?:use|extern|pub|async|fn)\b")))
-    )
+    return one_segment(F.filter(statements, lambda p: p.rlike(rf"^(?:{'|'.join(OPENERS)})\b")))
 
 
-def rust(stmt: Column, _state: Column) -> Column:
-    use = r"^use<s>+([\s\S]+?)<s>*;\z"
-    crate = rf"^extern<s>+crate<s>+({NAME})<s>*;\z"
-    open_fn = rf"^pub(\([^)]*\))?<s>+(?:async<s>+)?fn<s>+({NAME})\b"
-    own_fn = rf"^(?:async<s>+)?fn<s>+({NAME})\b"
-    item = rf"^pub(\([^)]*\))?<s>+(struct|enum|trait|type|mod|const|static)<s>+({NAME})\b"
+def _imported(source: Column, kind: str) -> Column:
+    return given(lambda v: F.array(specifier(v["s"]), import_of(v["s"], kind)), s=source)
 
-    def visibility(pattern: str) -> Column:
-        return F.concat(F.lit("pub"), F.coalesce(group(stmt, pattern, 1), F.lit("")))
 
-    used = trim_space(F.regexp_replace(group(stmt, use, 1), rx("<s>+"), " "))
-    return (
-        F.when(
-            has(stmt, use),
-            given(lambda v: F.array(specifier(v["s"]), import_of(v["s"], "use")), s=used),
-        )
-        .when(
-            has(stmt, crate),
-            given(
-                lambda v: F.array(specifier(v["s"]), import_of(v["s"], "extern-crate")),
-                s=group(stmt, crate, 1),
-            ),
+def _closed(stmt: Column) -> Column:
+    """Imports: statements with their semicolon."""
+
+    def of(w: Column) -> Column:
+        used = (F.element_at(w, 1) == "use") & (F.size(w) > 1)
+        crate = (
+            (F.element_at(w, 1) == "extern") & (F.size(w) == 3) & (F.try_element_at(w, F.lit(2)) == "crate")
+            & is_identifier(F.try_element_at(w, F.lit(3)))
         )
-        .when(
-            has(stmt, open_fn),
-            given(
-                lambda v: F.array(
-                    function(v["name"], F.concat(v["name"], F.lit(", exported"))),
-                    kind_name("fn", v["name"], v["vis"]),
+        path = F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " ")
+        return F.when(used, _imported(path, "use")).when(crate, _imported(F.element_at(w, -1), "extern-crate"))
+
+    return bind(words(without_end(stmt, ";")), of)
+
+
+def _open(stmt: Column) -> Column:
+    """Public functions and items. The visibility is ``pub`` with all that its brackets hold."""
+    end = F.when(stmt.startswith("pub("), F.instr(stmt, ")")).otherwise(F.lit(3))
+
+    def of(parts: Column) -> Column:
+        vis, rest = parts["vis"], parts["rest"]
+        spaced = trim_space(rest) != rest
+
+        def declared(w: Column) -> Column:
+            open_fn = FUNCTIONS.read(
+                w,
+                lambda h: F.array(
+                    function(h["name"], F.concat(h["name"], F.lit(", exported"))), kind_name("fn", h["name"], vis)
                 ),
-                name=group(stmt, open_fn, 2),
-                vis=visibility(open_fn),
-            ),
-        )
-        .when(
-            has(stmt, own_fn),
-            given(lambda v: F.array(function(v["name"])), name=group(stmt, own_fn, 1)),
-        )
-        .when(
-            has(stmt, item),
-            given(
-                lambda v: F.array(kind_name(v["kind"], v["name"], v["vis"])),
-                kind=group(stmt, item, 2),
-                name=group(stmt, item, 3),
-                vis=visibility(item),
-            ),
-        )
+            )
+            return F.coalesce(open_fn, ITEMS.read(w, lambda h: F.array(kind_name(h["kind"], h["name"], vis))))
+
+        return F.when(spaced, bind(words(trim_space(rest)), declared))
+
+    return given(of, vis=F.substr(stmt, F.lit(1), end), rest=F.substr(stmt, end + 1))
+
+
+def rust(stmt: Column, _state: Column) -> Column:
+    closed = stmt.startswith("use") | stmt.startswith("extern")
+    return (
+        F.when(closed, _closed(stmt))
+        .when(stmt.startswith("pub"), _open(stmt))
+        .otherwise(FUNCTIONS.read(words(stmt), lambda h: F.array(function(h["name"]))))
     )
