@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind
+
 # File classes by extension.
 CODE_EXTS = [".js", ".jsx", ".ts", ".tsx", ".py", ".java", ".kt", ".kts", ".go", ".rs", ".cs"]
 CONFIG_EXTS = [".json", ".yaml", ".yml", ".toml", ".xml", ".gradle", ".properties"]
@@ -72,7 +74,27 @@ def relative_path(path: Column, root: Column | str) -> Column:
     prefix = F.when(root.isin("/", ""), root).otherwise(F.concat(root, F.lit("/")))
     return F.when(path == root, F.lit("")).when(
         path.startswith(prefix), F.substr(path, F.length(prefix) + 1)
-    ).otherwise(path)
+    ).when(path.startswith("/") & root.startswith("/"), _upwards(path, root)).otherwise(path)
+
+
+def _upwards(path: Column, root: Column) -> Column:
+    """The way from ``root`` up to the directory that both share and down to ``path``."""
+
+    def of(parts: Column) -> Column:
+        own, other = parts["own"], parts["other"]
+        places = F.sequence(F.lit(0), F.least(F.size(own), F.size(other)) - 1)
+        same = F.aggregate(
+            places, F.lit(0), lambda n, i: F.when((n == i) & (F.get(own, i) == F.get(other, i)), n + 1).otherwise(n)
+        )
+        return bind(
+            same,
+            lambda n: F.array_join(
+                F.concat(F.array_repeat(F.lit(".."), F.size(other) - n), F.slice(own, n + 1, F.size(own) - n)), "/"
+            ),
+        )
+
+    split = lambda p: F.filter(F.split(p, "/"), lambda part: part != "")
+    return bind(F.struct(split(path).alias("own"), split(root).alias("other")), of)
 
 
 def ancestors(path: Column) -> Column:

@@ -90,7 +90,9 @@ class CompiledPattern:
             if self.plain:
                 gap = F.length(text) - F.length(F.replace(text, F.lit(self.literal), F.lit("")))
                 return F.call_function("div", gap, F.lit(len(self.literal))).cast("int")
-            return F.regexp_count(text, F.lit(self.regex))
+            # every match is as long as the literal
+            gap = F.length(text) - F.length(F.regexp_replace(text, self.regex, ""))
+            return F.call_function("div", gap, F.lit(len(self.literal))).cast("int")
         return F.aggregate(
             split_lines(text),
             F.lit(0),
@@ -138,7 +140,7 @@ def compile_pattern(
     )
     if word_boundary:
         body = ASCII_EDGE + body + ASCII_EDGE
-    regex = body if case_sensitive else "(?iu)" + body
+    regex = body if case_sensitive else _folded(body, pattern)
     uncased = pattern.lower() == pattern.upper()
     compiled = CompiledPattern(
         regex, literal, literal is not None and not word_boundary and (case_sensitive or uncased)
@@ -147,6 +149,18 @@ def compile_pattern(
     return compiled
 
 
+# an escape, a class, the opening of a group, or a letter that folds into or out of ASCII
+_FOLDING = re.compile(r"\\[\s\S]|\[(?:\\[\s\S]|[^\]\\])*\]|\(\?<\w+>|\(\?[a-zA-Z-]*[:)]|[iskISK]")
+
+
+def _folded(body: str, pattern: str) -> str:
+    """A regex without regard to case. The dialect never folds a letter outside ASCII into one inside, as Java does for
+    a few; so a pattern in ASCII folds within ASCII, and in others the letters in question do."""
+    if pattern.isascii():
+        return "(?i)" + body
+    return "(?iu)" + _FOLDING.sub(lambda m: f"(?-u:{m[0]})" if len(m[0]) == 1 else m[0], body)
+
+
 def _check(regex: str, pattern: str) -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:

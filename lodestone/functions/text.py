@@ -22,6 +22,7 @@ SLASH_COMMENT_EXTS = [".js", ".jsx", ".ts", ".tsx", ".java", ".c", ".cpp", ".cs"
 HASH_COMMENT_EXTS = [".py"]
 MARKUP_COMMENT_EXTS = [".html", ".xml"]
 
+# Fixed value: how much of a file is looked at for a NUL.
 BINARY_SNIFF_BYTES = 1024
 
 # Marks placed around matches; text that already holds them is neutralised first.

@@ -6,7 +6,7 @@ files below them. Where two requests touch the same file, the lower ``request_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, dirname
@@ -76,17 +76,16 @@ def rename_status(files: DataFrame, requests: DataFrame, roots: list[str] | None
             .otherwise("move"),
         )
     )
-    # of several good requests for one destination the first takes it
+    # of several good requests for one destination the first takes it: a minimum, which is taken before the shuffle
     good = F.col("status").isin("rename", "move")
-    turn = F.row_number().over(
-        Window.partitionBy("corpus_id", "new_path", good).orderBy("request_id")
-    )
-    return checked.withColumn("turn", turn).select(
+    first = checked.filter(good).groupBy("corpus_id", "new_path").agg(F.min("request_id").alias("taken_by"))
+    late = good & (F.col("request_id") > F.col("taken_by"))
+    return checked.join(first, ["corpus_id", "new_path"], "left").select(
         "corpus_id",
         "request_id",
         "old_path",
         "new_path",
-        F.when(good & (F.col("turn") > 1), "destination_exists").otherwise(F.col("status")).alias("status"),
+        F.when(late, "destination_exists").otherwise(F.col("status")).alias("status"),
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import running_starts
+from ..functions.arrays import bind, running_starts
 from ..functions.patterns import CompiledPattern
 from ..functions.text import MARK_CLOSE, MARK_OPEN, split_lines, without_marks
 
@@ -22,60 +22,96 @@ def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:
 
 def match_counts(files: DataFrame, pattern: CompiledPattern, text: str = "content") -> DataFrame:
     """Files with at least one match and their ``n_matches``. Counted inside each row: no match
-    rows and no shuffle."""
-    counted = files.withColumn("n_matches", pattern.count_in_text(F.col(text))).drop(text)
-    return counted.filter(F.col("n_matches") > 0)
+    rows and no shuffle. The generator drops files without a match, so that the count, and what the
+    text is made from, is evaluated once; a filter would be a second place to evaluate it."""
+    keep = [c for c in files.columns if c != text]
+    some = bind(pattern.count_in_text(F.col(text)), lambda n: F.when(n > 0, F.array(n)))
+    return files.select(*keep, F.explode(some).alias("n_matches"))
 
 
-def find_matches(
-    files: DataFrame, pattern: CompiledPattern, snippet: int = DEFAULT_SNIPPET, text: str = "content"
-) -> DataFrame:
-    """One row per match: ``line_no``, ``match_ord``, ``line``, ``match_start``, ``match_end``,
-    ``snippet``, beside the file's own columns. Narrow transformations only.
+def line_matches(line: Column, pattern: CompiledPattern, snippet: int = DEFAULT_SNIPPET) -> Column:
+    """All matches of a line as an array of ``(match_start, match_end, snippet)``.
 
     Matches are marked in place by one replacement; cutting the marked line at the marks gives the
-    pieces whose running lengths are the offsets. Zero-width matches come out like any other.
+    pieces whose running lengths are the offsets. Zero-width matches come out like any other. A
+    snippet is put together from the ends of the pieces around its match: every piece but the last
+    has a character, so as many pieces as the context has characters are enough, and the work is
+    in proportion to the line, however long it is.
     """
+    context = snippet or DEFAULT_SNIPPET
+    marked = F.regexp_replace(without_marks(line), F.lit(pattern.regex), F.lit(f"{MARK_OPEN}$0{MARK_CLOSE}"))
+
+    def of(pieces: Column) -> Column:
+        clean = F.transform(pieces, lambda p: F.replace(p, F.lit(MARK_CLOSE), F.lit("")))
+        held = F.struct(
+            running_starts(F.transform(clean, F.length)).alias("starts"),
+            F.transform(clean, lambda p: F.right(p, F.lit(context))).alias("tails"),
+            F.transform(clean, lambda p: F.left(p, F.lit(context))).alias("heads"),
+        )
+
+        def match(h: Column, piece: Column, i: Column) -> Column:
+            text = F.substring_index(piece, MARK_CLOSE, 1)
+            start = F.get(h["starts"], i + 1)
+            before = F.array_join(F.slice(h["tails"], F.greatest(i + 2 - context, F.lit(1)), F.least(i + 1, F.lit(context))), "")
+            after = F.array_join(F.slice(h["heads"], i + 3, F.lit(context)), "")
+            rest = F.left(F.substr(piece, F.length(text) + 2), F.lit(context))
+            return F.struct(
+                start.alias("match_start"),
+                (start + F.length(text)).alias("match_end"),
+                F.concat(
+                    F.right(before, F.lit(context)), text, F.left(F.concat(rest, after), F.lit(context))
+                ).alias("snippet"),
+            )
+
+        return bind(
+            held,
+            lambda h: F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p, i: match(h, p, i)),
+        )
+
+    return bind(F.split(marked, MARK_OPEN, -1), of)
+
+
+def find_matches(
+    files: DataFrame,
+    pattern: CompiledPattern,
+    snippet: int = DEFAULT_SNIPPET,
+    text: str = "content",
+    with_line: bool = False,
+) -> DataFrame:
+    """One row per match: ``line_no``, ``match_ord``, ``match_start``, ``match_end``, ``snippet``,
+    and the ``line`` if asked for, beside the file's own columns. Narrow transformations only."""
     keep = [c for c in files.columns if c != text]
-    marked = F.regexp_replace(
-        without_marks(F.col("line")), F.lit(pattern.regex), F.lit(f"{MARK_OPEN}$0{MARK_CLOSE}")
-    )
     if pattern.literal is not None:
         files = files.filter(pattern.in_text(F.col(text)))
-    spans = (
+    line = ["line"] if with_line else []
+    return (
         explode_lines(files, text)
         .filter(pattern.in_line(F.col("line")))
-        .withColumn("pieces", F.split(marked, MARK_OPEN, -1))
-        .withColumn(
-            "starts",
-            running_starts(
-                F.transform("pieces", lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
-            ),
-        )
-        .select(
-            *keep, "line_no", "line", F.posexplode(F.arrays_zip("pieces", "starts")).alias("match_ord", "span")
-        )
-        .filter(F.col("match_ord") > 0)
+        .select(*keep, "line_no", *line, F.posexplode(line_matches(F.col("line"), pattern, snippet)).alias("at", "m"))
+        .select(*keep, "line_no", (F.col("at") + 1).alias("match_ord"), *line, "m.match_start", "m.match_end", "m.snippet")
     )
-    start = F.col("span.starts")
-    context = snippet or DEFAULT_SNIPPET
-    left = F.greatest(F.col("match_start") - context, F.lit(0))
-    return (
-        spans.select(
-            *keep,
-            "line_no",
-            "match_ord",
-            "line",
-            start.alias("match_start"),
-            (start + F.instr(F.col("span.pieces"), MARK_CLOSE) - 1).alias("match_end"),
+
+
+def file_matches(text: Column, pattern: CompiledPattern, snippet: int = DEFAULT_SNIPPET) -> Column:
+    """All matches of a text in document order, as an array of ``(line_no, line, match_start,
+    match_end, snippet)`` made inside the row: nothing is exploded and regrouped."""
+
+    def of(line: Column, n: Column) -> Column:
+        found = F.transform(
+            line_matches(line, pattern, snippet),
+            lambda m: F.struct(
+                (n + 1).alias("line_no"), line.alias("line"), m["match_start"].alias("match_start"),
+                m["match_end"].alias("match_end"), m["snippet"].alias("snippet"),
+            ),
         )
-        .withColumn("snippet", F.substr("line", left + 1, F.col("match_end") + context - left))
-    )
+        return F.when(pattern.in_line(line), found)
+
+    return F.flatten(F.filter(F.transform(split_lines(text), of), lambda m: m.isNotNull()))
 
 
 def group_matches(matches: DataFrame) -> DataFrame:
-    """Back to one row per file, matches in document order."""
-    fields = ["line_no", "match_ord", "line", "match_start", "match_end", "snippet"]
+    """Match rows back to one row per file, matches in document order."""
+    fields = [c for c in ("line_no", "match_ord", "line", "match_start", "match_end", "snippet") if c in matches.columns]
     keys = [c for c in matches.columns if c not in fields]
     listed = F.array_sort(F.collect_list(F.struct(*fields)))
     return matches.groupBy(*keys).agg(listed.alias("matches")).withColumn(

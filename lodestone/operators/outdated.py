@@ -12,8 +12,17 @@ DEV_TYPE = "devDependencies"
 
 
 def _text(info: Column, field: str) -> Column:
+    """A field as text; empty text, ``false`` and zero count as missing."""
     value = F.try_variant_get(info, f"$.{field}", "string")
-    return F.nullif(value, F.lit(""))
+    kind = F.schema_of_variant(F.try_variant_get(info, f"$.{field}", "variant"))
+    number = F.try_variant_get(info, f"$.{field}", "double")
+    falsy = ((kind == "BOOLEAN") & (value == "false")) | (kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == 0))
+    return F.when(F.coalesce(falsy, F.lit(False)), F.lit(None)).otherwise(F.nullif(value, F.lit("")))
+
+
+def with_manifest(parsed: DataFrame) -> DataFrame:
+    """Runs of projects that have a manifest; without that column, all."""
+    return parsed.filter("has_manifest") if "has_manifest" in parsed.columns else parsed
 
 
 def packages(project: Column | str = "project") -> Column:
@@ -38,8 +47,8 @@ def packages(project: Column | str = "project") -> Column:
 
 
 def explode_outdated(parsed: DataFrame) -> DataFrame:
-    """One row per outdated package."""
-    return parsed.select("project", F.explode(packages()).alias("p")).select("project", "p.*")
+    """One row per outdated package of a project with a manifest."""
+    return with_manifest(parsed).select("project", F.explode(packages()).alias("p")).select("project", "p.*")
 
 
 def production_only(outdated: DataFrame) -> DataFrame:

@@ -105,15 +105,20 @@ def size_between(files: DataFrame, low: int | None = None, high: int | None = No
 
 
 def parse_moment(value: str | None, zone: str) -> datetime | None:
-    """A bare date is UTC midnight, a date-time without offset is in ``zone``; others are ignored."""
+    """A date with dashes, a month or a year is UTC midnight of its first day; a date-time without offset and a date
+    with slashes are in ``zone``; others are ignored."""
     if not value:
         return None
+    bare = re.fullmatch(r"(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?", value)
+    slashed = re.fullmatch(r"(\d{4})/(\d{1,2})/(\d{1,2})", value)
     try:
-        moment = datetime.fromisoformat(value)
+        if found := bare or slashed:
+            moment = datetime(*(int(part or 1) for part in found.groups()))
+        else:
+            moment = datetime.fromisoformat(value)
     except ValueError:
         return None
     if moment.tzinfo is None:
-        bare = re.fullmatch(r"\d{4}-\d{2}-\d{2}", value)
         moment = moment.replace(tzinfo=timezone.utc if bare else ZoneInfo(zone))
     return moment
 

@@ -25,6 +25,7 @@ def sort_keys(sort_by: str = "relevance") -> list[Column]:
     return [*keys[sort_by], F.col("path"), F.col("corpus_id")]
 
 
-def top_files(counted: DataFrame, sort_by: str = "relevance", limit: int = 100) -> DataFrame:
-    """The first files in order. Rows are metadata only, so each task keeps ``limit`` short rows."""
-    return counted.orderBy(*sort_keys(sort_by)).limit(limit)
+def top_files(counted: DataFrame, sort_by: str = "relevance", limit: int | None = 100) -> DataFrame:
+    """The first files in order, or all of them. Rows are metadata only, so each task keeps ``limit`` short rows."""
+    ordered = counted.orderBy(*sort_keys(sort_by))
+    return ordered if limit is None else ordered.limit(limit)

@@ -14,7 +14,8 @@ from .ranking import locale_order
 # How many suggestions are given for paths and for names.
 PATH_LIMIT = 5
 NAME_LIMIT = 3
-_MAX_QUERIES = 1_000
+# Queries that one pass over the candidates scores; more take more passes.
+QUERY_BLOCK = 1_000
 
 
 def _best(scored: DataFrame, keys: list[str], candidate: str, k: int) -> DataFrame:
@@ -22,28 +23,32 @@ def _best(scored: DataFrame, keys: list[str], candidate: str, k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def suggest_names(candidates: DataFrame, column: str, queries: list[str], k: int = PATH_LIMIT) -> DataFrame:
-    """``(query, rank, candidate, score)``: the closest distinct candidates to each query.
+def suggest_names(
+    candidates: DataFrame, column: str, queries: list[str] | DataFrame, k: int = PATH_LIMIT, query: str = "query"
+) -> DataFrame:
+    """``(query, rank, candidate, score)``: the closest distinct candidates to each distinct query.
 
-    The queries are a short list from the caller, so this is one pass over the candidates; each
-    task keeps ``k`` rows per query. Blank queries give nothing.
+    The queries are a list or a column ``query`` of a table. They are the stated set that is compared with all candidates, in
+    blocks of about ``QUERY_BLOCK`` dealt by a hash: a candidate meets a block as one row, which scores the block's queries, and
+    each task keeps ``k`` rows per query. Blank queries give nothing.
     """
-    asked = list(dict.fromkeys(q for q in queries if q.strip()))
-    if len(asked) > _MAX_QUERIES:
-        raise ValueError(f"at most {_MAX_QUERIES} queries at a time")
-    if not asked:
-        asked_col = F.array().cast("array<string>")
-    else:
-        asked_col = F.array(*[F.lit(q) for q in asked])
+    spark = candidates.sparkSession
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame([(q,) for q in queries], f"`{query}` string")
+    asked = queries.select(F.col(query).alias("query")).filter(F.trim(F.col("query")) != "").distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    dealt = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("query", name_key(F.col("query")).alias("wanted"))).alias("asked")
+    )  # a block's queries are bounded by QUERY_BLOCK
     distinct = (
         candidates.select(F.col(column).alias("candidate"))
         .filter(F.col("candidate") != "")
         .distinct()
         .withColumn("key", name_key(F.col("candidate")))
     )
-    scored = distinct.select("candidate", "key", F.explode(asked_col).alias("query")).withColumn(
-        "score", suggest_score(name_key(F.col("query")), F.col("key"))
-    )
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = distinct.withColumn("block", every_block).join(dealt, "block")
+    scored = met.select("candidate", "key", F.inline("asked")).withColumn("score", suggest_score(F.col("wanted"), F.col("key")))
     return _best(scored, ["query"], "candidate", k).select("query", "rank", "candidate", "score")
 
 

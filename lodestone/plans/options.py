@@ -13,7 +13,7 @@ OUTPUTS = ("text", "json", "structured")
 @dataclass(frozen=True)
 class SearchOptions:
     """Zero or empty ``pattern``, ``snippet_length`` and ``max_results`` mean the default; zero is
-    a real bound for the sizes."""
+    a real bound for the sizes. ``max_results=None`` means all files."""
 
     pattern: str = ".*"
     search_path: str | None = None
@@ -31,7 +31,7 @@ class SearchOptions:
     modified_after: str | None = None
     modified_before: str | None = None
     snippet_length: int = 50
-    max_results: int = 100
+    max_results: int | None = 100
     sort_by: str = "relevance"
     group_by_file: bool = True
     exclude_comments: bool = False
@@ -41,13 +41,13 @@ class SearchOptions:
     def __post_init__(self) -> None:
         for name, default in (("pattern", ".*"), ("snippet_length", 50), ("max_results", 100),
                               ("sort_by", "relevance"), ("output_format", "text")):
-            if not getattr(self, name):
+            if not getattr(self, name) and not (name == "max_results" and self.max_results is None):
                 object.__setattr__(self, name, default)
         if self.sort_by not in SORTS:
             raise ValueError(f"sort_by is one of {', '.join(SORTS)}")
         if self.output_format not in OUTPUTS:
             raise ValueError(f"output_format is one of {', '.join(OUTPUTS)}")
-        if self.max_results < 0 or self.snippet_length < 0:
+        if (self.max_results or 0) < 0 or self.snippet_length < 0:
             raise ValueError("max_results and snippet_length cannot be negative")
 
     @classmethod

@@ -11,7 +11,7 @@ FORMATS = ("detailed", "summary", "raw")
 
 
 def render_outdated(parsed: DataFrame, output_format: str = "detailed", include_dev: bool = True) -> DataFrame:
-    """``(project, ord, line)`` for projects whose run could be read. A project's report is one row,
+    """``(project, ord, line)`` for projects with a manifest whose run could be read. A project's report is one row,
     so its lines are built inside that row."""
     if output_format not in FORMATS:
         raise ValueError(f"output_format is one of {', '.join(FORMATS)}")
@@ -32,6 +32,7 @@ def render_outdated(parsed: DataFrame, output_format: str = "detailed", include_
             F.lit(""),
         )
 
+    # The wording of the report, above and below.
     types = F.transform("packages", lambda p: p["type"])
     if output_format == "detailed":
         body = F.concat(
@@ -72,7 +73,7 @@ def render_outdated(parsed: DataFrame, output_format: str = "detailed", include_
     fresh = F.array(F.lit("All packages are up to date! 🎉"))
     lines = F.concat(head, raw, F.when(n == 0, fresh).otherwise(body))
     return (
-        parsed.filter("parsed")
+        outdated.with_manifest(parsed).filter("parsed")
         .withColumn("packages", listed)
         .select("project", F.posexplode(lines).alias("ord", "line"))
         .orderBy("project", "ord")

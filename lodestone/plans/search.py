@@ -10,13 +10,11 @@ from ..functions.paths import format_size, normalize_path
 from ..functions.patterns import CompiledPattern, compile_pattern
 from ..operators import matching, predicates, ranking
 from ..sources.sinks import iso_utc, result_json
-from ..sources.tables import FILE_COLUMNS, FILE_KEYS
+from ..sources.tables import FILE_COLUMNS, FILE_KEYS, describe_files
 from .options import SearchOptions
 
 # Fixed value: matches shown per file in grouped text.
 SHOWN_PER_FILE = 10
-# Winner keys are broadcast up to this many; beyond it Spark chooses the join by size.
-_BROADCAST_KEYS = 10_000
 
 
 def pattern_of(options: SearchOptions) -> CompiledPattern:
@@ -32,8 +30,7 @@ def pattern_of(options: SearchOptions) -> CompiledPattern:
 def select_files(files: DataFrame, options: SearchOptions) -> DataFrame:
     """All metadata predicates; they run before the content is looked at."""
     if options.search_path:
-        root = options.search_path.rstrip("/") or "/"
-        files = files.filter(predicates.under_root(F.col("path"), root))
+        files = below(files, options.search_path)
     files = predicates.prune_default_dirs(files)
     files = predicates.exclude_names(files, options.exclude_patterns)
     files = predicates.max_depth(files, options.max_depth)
@@ -43,6 +40,13 @@ def select_files(files: DataFrame, options: SearchOptions) -> DataFrame:
     return predicates.ext_in(files, options.extensions)
 
 
+def below(files: DataFrame, directory: str) -> DataFrame:
+    """The files below a directory, described from there: what lies above it counts for nothing."""
+    root = directory.rstrip("/") or "/"
+    inside = files.filter(predicates.under_root(F.col("path"), root)).withColumn("root", F.lit(root))
+    return describe_files(inside, *[c for c in files.columns if c not in FILE_COLUMNS])
+
+
 def searchable(files: DataFrame, options: SearchOptions) -> DataFrame:
     """The files to search with their prepared text in ``content``."""
     chosen = select_files(files, options)
@@ -51,12 +55,17 @@ def searchable(files: DataFrame, options: SearchOptions) -> DataFrame:
             chosen = chosen.filter(~F.col("is_binary"))
         else:
             chosen = chosen.filter(~T.is_binary(F.col("content")))
+    return chosen.select(*FILE_COLUMNS, prepared_text(options).alias("content"))
+
+
+def prepared_text(options: SearchOptions) -> Column:
+    """``content`` with what the options leave out masked."""
     body: Column = F.col("content")
     if options.exclude_comments:
         body = T.mask_comments(body, F.col("ext"))
     if options.exclude_strings:
         body = T.mask_strings(body)
-    return chosen.select(*FILE_COLUMNS, body.alias("content"))
+    return body
 
 
 def ranked_files(files: DataFrame, options: SearchOptions) -> DataFrame:
@@ -68,41 +77,63 @@ def ranked_files(files: DataFrame, options: SearchOptions) -> DataFrame:
     return ranking.top_files(counted, options.sort_by, options.max_results)
 
 
-def _winner_matches(files: DataFrame, options: SearchOptions) -> DataFrame:
-    """Match rows of the limited files only: the first pass keeps narrow rows, the second fetches
-    the text of at most ``max_results`` files."""
-    winners = ranked_files(files, options)
-    extra = [c for c in winners.columns if c not in FILE_COLUMNS]
-    keys = winners.select(*FILE_KEYS, *extra)
-    if options.max_results <= _BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = searchable(files, options).join(keys, FILE_KEYS)
-    return matching.find_matches(texts, pattern_of(options), options.snippet_length)
+def _winners(files: DataFrame, options: SearchOptions) -> DataFrame:
+    """Narrow rows of the limited files with their ``place`` in the order, behind one exchange: all that
+    reads them in a plan shares its result."""
+    ranked = ranked_files(files, options)
+    if options.max_results is None:
+        # sorted over many tasks; places grow with the order but leave gaps
+        place = F.monotonically_increasing_id() + 1
+        parts = ranked.withColumn("place", place)
+        return parts.repartition(*FILE_KEYS)
+    numbered = ranked.repartition(1).withColumn(
+        "place", F.row_number().over(Window.orderBy(*ranking.sort_keys(options.sort_by))).cast("long")
+    )  # at most max_results short rows
+    return numbered
 
 
-def search(files: DataFrame, options: SearchOptions) -> DataFrame:
-    """One row per file with its ``matches`` array, in order, at most ``max_results`` files."""
+def _with_texts(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
+    """The winners with their prepared text. Their keys meet the raw files, so only winners are masked."""
+    if options.search_path:
+        root = options.search_path.rstrip("/") or "/"
+        files = files.filter(predicates.under_root(F.col("path"), root))
+    return files.select(*FILE_KEYS, "content").join(winners, FILE_KEYS).withColumn("content", prepared_text(options))
+
+
+def _results(files: DataFrame, winners: DataFrame, options: SearchOptions, shown: int | None = None) -> DataFrame:
+    found = matching.file_matches(F.col("content"), pattern_of(options), options.snippet_length)
+    found = found if shown is None else F.slice(found, F.lit(1), F.lit(shown))
     return (
-        matching.group_matches(_winner_matches(files, options))
+        _with_texts(files, winners, options)
+        .withColumn("matches", found)
+        .drop("content")
         .withColumn("size_formatted", format_size(F.col("size")))
-        .orderBy(*ranking.sort_keys(options.sort_by))
     )
 
 
+def search(files: DataFrame, options: SearchOptions) -> DataFrame:
+    """One row per file with its ``matches`` array, in order, at most ``max_results`` files."""
+    return _results(files, _winners(files, options), options).orderBy("place").drop("place")
+
+
+def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
+    rows = matching.find_matches(_with_texts(files, winners, options), pattern_of(options), options.snippet_length)
+    ordered = rows.orderBy("place", "line_no", "match_ord")
+    return ordered if options.max_results is None else ordered.limit(options.max_results)
+
+
 def flat_matches(files: DataFrame, options: SearchOptions) -> DataFrame:
     """Match rows in file order, cut at ``max_results`` matches."""
-    return (
-        _winner_matches(files, options)
-        .orderBy(*ranking.sort_keys(options.sort_by), "line_no", "match_ord")
-        .limit(options.max_results)
-    )
+    return _flat(files, _winners(files, options), options).drop("place")
+
+
+def _summary(winners: DataFrame) -> DataFrame:
+    return winners.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches"))
 
 
 def result_summary(files: DataFrame, options: SearchOptions) -> DataFrame:
     """Number of files after the limit, and their matches."""
-    return ranked_files(files, options).agg(
-        F.count("*").alias("n_files"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches")
-    )
+    return _summary(ranked_files(files, options))
 
 
 def search_request(files: DataFrame, request: dict, roots: list[str] | None = None) -> DataFrame:
@@ -123,9 +154,12 @@ def render_search(files: DataFrame, options: SearchOptions) -> DataFrame:
     per file (or per match in a flat list). ``json`` gives one document per file instead."""
     if options.output_format == "json":
         return result_json(search(files, options), pretty=True)
-    body = _grouped_lines(files, options) if options.group_by_file else _flat_lines(files, options)
-    head = result_summary(files, options).select(
-        F.lit(0).alias("block"),
+    winners = _winners(files, options)
+    lines = _grouped_lines if options.group_by_file else _flat_lines
+    body = lines(files, winners, options)
+    # The wording of the header and of the lines below.
+    head = _summary(winners).select(
+        F.lit(0).cast("long").alias("block"),
         F.posexplode(
             F.when(
                 F.col("n_files") == 0,
@@ -142,10 +176,8 @@ def render_search(files: DataFrame, options: SearchOptions) -> DataFrame:
     return head.unionByName(body).orderBy("block", "ord")
 
 
-def _grouped_lines(files: DataFrame, options: SearchOptions) -> DataFrame:
-    results = search(files, options)
-    # at most max_results rows reach this window
-    block = F.row_number().over(Window.orderBy(*ranking.sort_keys(options.sort_by)))
+def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
+    results = _results(files, winners, options, SHOWN_PER_FILE)
     lines = F.flatten(
         F.array(
             F.array(
@@ -156,7 +188,7 @@ def _grouped_lines(files: DataFrame, options: SearchOptions) -> DataFrame:
                 F.lit(""),
             ),
             F.transform(
-                F.slice("matches", 1, SHOWN_PER_FILE),
+                "matches",
                 lambda m: F.concat(F.lit("Line "), m["line_no"].cast("string"), F.lit(": "), m["snippet"]),
             ),
             F.when(
@@ -166,20 +198,22 @@ def _grouped_lines(files: DataFrame, options: SearchOptions) -> DataFrame:
             F.array(F.lit("")),
         )
     )
-    numbered = results.withColumn("block", block)
-    return numbered.select("block", F.posexplode(lines).alias("ord", "line"))
+    return results.select(F.col("place").alias("block"), F.posexplode(lines).alias("ord", "line"))
 
 
-def _flat_lines(files: DataFrame, options: SearchOptions) -> DataFrame:
-    rows = flat_matches(files, options)
-    order = Window.orderBy(*ranking.sort_keys(options.sort_by), "line_no", "match_ord")
-    n = F.row_number().over(order)
+def _flat_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
+    rows = _flat(files, winners, options)
+    if options.max_results is None:
+        n = F.monotonically_increasing_id() + 1  # grows with the order
+    else:
+        # at most max_results short rows
+        n = F.row_number().over(Window.orderBy("place", "line_no", "match_ord")).cast("long")
     listed = rows.select(
         n.alias("block"),
         F.concat("rel_path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), "snippet").alias("line"),
     )
     cut = F.array(F.lit(""), F.lit(f"... search truncated at {options.max_results} results"))
     lines = F.when(
-        F.col("block") == options.max_results, F.array_insert(cut, 1, F.col("line"))
+        F.lit(options.max_results is not None) & (F.col("block") == F.lit(options.max_results)), F.array_insert(cut, 1, F.col("line"))
     ).otherwise(F.array("line"))
     return listed.select("block", F.posexplode(lines).alias("ord", "line"))

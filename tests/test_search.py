@@ -31,7 +31,7 @@ def test_many_matches_on_one_line(corpus):
 
 def test_snippets(corpus):
     files = corpus({"a": "0123456789foo0123456789"})
-    row = matching.find_matches(files, compile_pattern("foo"), 3).head()
+    row = matching.find_matches(files, compile_pattern("foo"), 3, with_line=True).head()
     assert row.snippet == "789foo012"
     assert matching.find_matches(files, compile_pattern("foo"), 0).head().snippet == row.line
 

@@ -111,6 +111,12 @@ ORACLES["search_filtered"] = f"""WITH {DOCS}, uncommented AS (
     AND size BETWEEN 200 AND 20000 AND mtime BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2034-01-01')
 SELECT path, size FROM uncommented WHERE contains(lower({_STRINGS.format('body')}), 'ing')"""
 
+ORACLES["search_all_files"] = f"""WITH {DOCS}, c AS (SELECT path, CAST({counts_of('ing')} AS BIGINT) AS n_matches FROM docs)
+SELECT path, n_matches FROM c WHERE n_matches > 0"""
+
+ORACLES["search_below_path"] = f"""WITH {DOCS}, c AS (SELECT *, CAST({counts_of('the')} AS BIGINT) AS n_matches FROM docs WHERE source = 'src0')
+SELECT '/r/build/' || path AS path, substring(path, 6) AS rel_path, CAST(1 AS BIGINT) AS depth, n_matches FROM c WHERE n_matches > 0"""
+
 ORACLES["search_text_report"] = f"""WITH {PER_FILE},
 top AS (SELECT *, row_number() OVER (ORDER BY n_matches DESC, path) AS block FROM ranked QUALIFY block <= 30),
 {hits_of('ing')},
@@ -324,6 +330,8 @@ UNION ALL SELECT flag, 'parts/p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN
 UNION ALL SELECT flag, 'suppliers/s' || s_suppkey || '.js', 0, 1, '', '', '', '' FROM supplier, flags
 UNION ALL SELECT flag, 'tsconfig.json', strlen('{_CONFIG}'), 0, 'config', '', '', '' FROM flags"""
 
+ORACLES["explore_sub_dir"] = "SELECT corpus_id, '/shop/build' AS root, rel_path, size, local_imports FROM (" + ORACLES["explore_overview"] + ")"
+
 SCORE = """levenshtein(q, c) - CASE WHEN starts_with(c, q) THEN least(3, length(q)) ELSE 0 END - CASE WHEN contains(c, q) THEN 1 ELSE 0 END"""
 
 ORACLES["suggest_topk"] = f"""WITH asked AS (SELECT unnest(['customer#00000001', 'Custmer#000000123', ' ustomer#00000007 ', 'supplier', '#0000004']) AS query),
@@ -331,6 +339,12 @@ pairs AS (SELECT query, c_name AS candidate, lower(trim(query)) AS q, lower(trim
 scored AS (SELECT query, candidate, {SCORE} AS score FROM pairs)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, candidate) AS rank, candidate, score FROM scored QUALIFY rank <= 5"""
 
+ORACLES["suggest_table"] = f"""WITH asked AS (SELECT DISTINCT lower(c_mktsegment) || 's' AS query FROM customer),
+names AS (SELECT c_name AS candidate FROM customer UNION SELECT c_mktsegment FROM customer),
+pairs AS (SELECT query, candidate, query AS q, lower(trim(candidate)) AS c FROM asked, names),
+scored AS (SELECT query, candidate, {SCORE} AS score FROM pairs)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, candidate) AS rank, candidate, score FROM scored QUALIFY rank <= 3"""
+
 ORACLES["edit_distances"] = f"""WITH w AS (SELECT DISTINCT p_name, p_type, lower(split_part(p_name, ' ', 1)) AS q, lower(p_name) AS c FROM part)
 SELECT p_name, p_type, levenshtein(lower(p_name), lower(p_type)) AS distance, {SCORE} AS score FROM w"""
 

@@ -69,7 +69,7 @@ def search_word_boundary(spark, sf_dir):
 @query
 def search_regex(spark, sf_dir):
     pattern = compile_pattern(r"[a-z]+tion\b", regex_mode=True)
-    rows = matching.find_matches(C.turns(spark, sf_dir), pattern)
+    rows = matching.find_matches(C.turns(spark, sf_dir), pattern, with_line=True)
     found = F.substr("line", F.col("match_start") + 1, F.col("match_end") - F.col("match_start"))
     return rows.select(
         "path", long("line_no").alias("line_no"), long("match_ord").alias("match_ord"), found.alias("found")
@@ -146,11 +146,28 @@ def search_filtered(spark, sf_dir):
     options = SearchOptions(
         pattern="ing", extensions=[".py", ".JS", ".html"], exclude_extensions=["js"], exclude_patterns=["src1?", "zz"],
         min_size=200, max_size=20_000, modified_after="2024-01-02", modified_before="2034-01-01T00:00:00Z",
-        max_depth=2, exclude_strings=True, exclude_comments=True, max_results=1_000_000,
+        max_depth=2, exclude_strings=True, exclude_comments=True, max_results=None,
     )
     return S.ranked_files(C.documents(spark, sf_dir), options).select("path", "size")
 
 
+@query
+def search_all_files(spark, sf_dir):
+    """No limit on files."""
+    found = S.ranked_files(C.documents(spark, sf_dir), SearchOptions(pattern="ing", max_results=None))
+    return found.select("path", long("n_matches").alias("n_matches"))
+
+
+@query
+def search_below_path(spark, sf_dir):
+    """From a directory that lies below an excluded one; depth and relative paths count from there."""
+    docs = C.documents(spark, sf_dir)
+    placed = C.corpus_from_table(docs, F.concat(F.lit("/r/build/"), F.col("path")), "content", root=F.lit("/r"))
+    options = SearchOptions(pattern="the", search_path="/r/build/src0", max_depth=1, max_results=None)
+    found = S.search(placed, options)
+    return found.select("path", "rel_path", long("depth").alias("depth"), long("n_matches").alias("n_matches"))
+
+
 @query
 def search_text_report(spark, sf_dir):
     options = SearchOptions(pattern="ing", max_results=30)
@@ -431,6 +448,18 @@ def explore_overview(spark, sf_dir):
     )
 
 
+@query
+def explore_sub_dir(spark, sf_dir):
+    """The overview of a directory inside each project, with an alias config of its own."""
+    files = C.shop(spark, sf_dir)
+    inner = C.corpus_from_table(
+        files, F.regexp_replace("path", "^/shop/", "/shop/build/"), "content", corpus_id="corpus_id", root=F.lit("/shop")
+    )
+    rows = explore(inner, sub_dir="build")
+    local = F.coalesce(F.array_join("local_imports", " | "), F.lit("")).alias("local_imports")
+    return rows.select("corpus_id", "root", "rel_path", "size", local)
+
+
 # -- suggestions ----------------------------------------------------------------------------------
 
 
@@ -441,6 +470,16 @@ def suggest_topk(spark, sf_dir):
     return got.select("query", long("rank").alias("rank"), "candidate", long("score").alias("score"))
 
 
+@query
+def suggest_table(spark, sf_dir):
+    """Queries from a table: market segments against customer names and segments."""
+    customer = C.table(spark, sf_dir, "customer")
+    asked = customer.select(F.concat(F.lower("c_mktsegment"), F.lit("s")).alias("wanted"))
+    candidates = customer.select(F.explode(F.array("c_name", "c_mktsegment")).alias("name"))
+    got = suggestions.suggest_names(candidates, "name", asked, k=3, query="wanted")
+    return got.select("query", long("rank").alias("rank"), "candidate", long("score").alias("score"))
+
+
 @query
 def edit_distances(spark, sf_dir):
     """Edit distance and score between the words of each part's name and its type."""
