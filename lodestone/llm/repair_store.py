@@ -148,9 +148,12 @@ class Grammar:
             rank = ranks[where]
             real = rank < len(chosen)
             where, rank = where[real], rank[real]
-            # of neighbours in the sequence, the lower (rank, position) wins
+            # of a run of one pair every second place counts; then of neighbours the more frequent pair wins
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 1) | (np.diff(rank) != 0)]))
+            places = np.arange(len(where)) - np.repeat(begins, np.diff(np.append(begins, len(where))))
+            where, rank = where[places % 2 == 0], rank[places % 2 == 0]
             near = np.flatnonzero(np.diff(where) == 1)
-            earlier = rank[near] <= rank[near + 1]
+            earlier = rank[near] < rank[near + 1]
             lose = np.zeros(len(where), bool)
             lose[near[earlier] + 1] = True
             lose[near[~earlier]] = True
