@@ -31,9 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = tree.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(
             tree.select(F.col("parent").alias("u"), F.col("child").alias("v"))
         )
+        # written, so that the join is one of two plain shuffles, which adaptive execution can split at a hot node
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "of")
+        least = materialize(least, "components")
         large = both.join(least, F.col("u") == F.col("of")).filter("v > u").select(F.col("v").alias("child"), F.col("m").alias("parent"))
         large = large.distinct()
+        large = materialize(large, "components")
         least = large.groupBy("child").agg(F.min("parent").alias("m")).withColumnRenamed("child", "of")
         small = large.join(least, F.col("child") == F.col("of"))
         hung = small.select(F.col("parent").alias("child"), F.col("m").alias("parent")).filter("child != parent")

@@ -292,6 +292,7 @@ def near_duplicate_components(
     in_component = in_component.select("node", "key", F.coalesce("root", "node").alias("root"))
     in_component = materialize(in_component, "in_component")
     least = in_component.groupBy("root").agg(F.min("key").alias("component")).withColumnRenamed("root", "of_root")
+    least = materialize(least, "least")  # then a component with very many texts can be split in the join
     found = in_component.join(least, F.col("root") == F.col("of_root")).select(
         F.col("node").alias("of_node"), F.col("key").alias("least_key"), "component"
     )

@@ -200,6 +200,7 @@ def near_duplicate_vectors(
     )
     known = materialize(known, "vector_roots")
     least_key = known.groupBy("root").agg(F.min("key").alias("component_id")).withColumnRenamed("root", "of_root")
+    least_key = materialize(least_key, "least")  # then a component with very many vectors can be split in the join
     found = known.join(least_key, F.col("root") == F.col("of_root")).select(F.col("node").alias("of"), "n_links", "component_id")
     linked = sane.select("key", "node").join(found, F.col("node") == F.col("of")).select("key", "n_links", "component_id")
     apart = marked.filter(~sound).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
