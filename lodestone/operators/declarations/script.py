@@ -4,8 +4,8 @@ Comments are removed first, with strings kept. The token expression then takes a
 import, an export, a declaration head, a call or an assignment at a time, so that code-like text
 inside a string is passed over. Each token is small and is classified on its own.
 
-Not seen, for want of a syntax tree: code inside template placeholders, quotes inside regular
-expression literals, apostrophes in markup text, and further names of one exported declaration.
+Of the code inside template placeholders only module calls are seen. Not seen, for want of a syntax tree: quotes inside
+regular expression literals, apostrophes in markup text, and further names of one exported declaration.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ _BRACED = r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"
 _FREE = r"(?<![\w$.])"
 # what may not stand before a function that is a declaration
 _NOT_VALUE = (
-    r"(?<!(?:[=(,:?&|!\[]|=>|\breturn|\btypeof|\bnew|\bvoid|\bawait|\byield|\basync)<s>{0,40})"
+    r"(?<!(?:[=(,:?&|!\[]|=>|\breturn|\btypeof|\bnew|\bvoid|\bawait|\byield|\basync)<s>?)"
 )
 _CALL = rf"(?:require|import)<s>*\(<s>*{_TEXT}<s>*(?:,[^()]*+)?\)"
 # a bound call is the whole initialiser: nothing may go on with its value
@@ -55,7 +55,7 @@ _TOKENS = rx(
     rf"|export<s>+(?:default<s>+)?(?:declare<s>+)?(?:abstract<s>+)?(?:class|interface)\b"
     rf"(?:<s>+(?!(?:extends|implements)\b){_ID})?"
     rf"|export<s>+(?:declare<s>+)?(?:type|enum|const<s>+enum)<s>+{_ID}"
-    rf"|(?<!\(<s>{{0,4}})(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+(?!enum\b)"
+    rf"|(?<!\(<s>?)(?:export<s>+)?(?:declare<s>+)?(?:const|let|var)<s>+(?!enum\b)"
     rf"(?:{_ID}|{_BRACED})(?:{_ANNOTATION}<s>*=(?![=>])<s>*(?:{_CALL}{_WHOLE}|{_FUNCTION_VALUE})?)?"
     rf"|export<s>+default\b|export<s>*=(?![=>])"
     rf"|(?=async\b|function\b|declare\b){_NOT_VALUE}(?:declare<s>+)?(?:async<s>+)?"
@@ -68,7 +68,10 @@ _TOKENS = rx(
 
 def script_segments(raw: Column) -> Column:
     """The tokens that declare something, in document order; file references come first."""
-    code = F.regexp_replace(raw, f"({_STRING})|{_COMMENT}", "$1 ")
+    # comments and white space outside strings become one character, so that one is enough to look back over
+    gap = rf"(?:{_COMMENT}|<b>)"
+    code = F.regexp_replace(raw, rx(rf"({_STRING}){gap}*+|{gap}++"), "$1 ")
+    code = F.regexp_replace(code, rx(r"<b>*(?:\n<b>*)++"), "\n")
     references = F.flatten(
         F.array(
             *[
@@ -84,10 +87,19 @@ def script_segments(raw: Column) -> Column:
             ]
         )
     )
-    tokens = F.filter(
-        F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0)), lambda t: ~t.rlike("^[\"'`]")
+    tokens = F.transform(
+        F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0)),
+        lambda t: F.when(t.startswith("`") & t.contains("${"), _placeholder_calls(t))
+        .when(t.rlike("^[\"'`]"), F.array().cast("array<string>"))
+        .otherwise(F.array(t)),
     )
-    return one_segment(F.concat(references, tokens))
+    return one_segment(F.concat(references, F.flatten(tokens)))
+
+
+def _placeholder_calls(template: Column) -> Column:
+    """The module calls in the placeholders of a template literal."""
+    inside = F.array_join(F.regexp_extract_all(template, F.lit(r"\$\{[^{}]*+\}"), F.lit(0)), ";")
+    return F.regexp_extract_all(inside, F.lit(rx(rf"{_FREE}(?:require|import)<s>*\(<s>*{_TEXT}(?=<s>*[,)])")), F.lit(0))
 
 
 def _pair(name: Column, alias: Column) -> Column:

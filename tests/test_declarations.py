@@ -89,6 +89,17 @@ CASES = {
             "specifier": ["./t.d.ts", "m", "n", "./t", "./side", "eq", "m2", "w2", "./dyn", "./bound", "after"],
         },
     ),
+    "spaces.ts": (  # any amount of white space and comments between the parts
+        "const a = `x ${require('z')} ${ import(\"./y\") } require('no')`;\nuse(" + " " * 60 + "function named() {});\n"
+        "for (" + " " * 9 + "const q = require('bare').x;;) {}\nreturn /* c */" + "\n" * 50 + "function inner() {}\n"
+        "export   const\n\n  far  =  /* why */ async  ( ) =>  {};\n",
+        {
+            "import": ['from "z", kind=require', 'from "./y", kind=dynamic', 'from "bare", kind=require'],
+            "export": ["kind=named, names={far}"],
+            "function": ["far, exported"],
+            "specifier": ["z", "./y", "bare"],
+        },
+    ),
     "exports.ts": (
         "export * as ns from \"m3\"; export * from './star'\nexport { a as aa, b }; export type { Q } from './q';\n"
         "export default function () {}\nexport async function* gen(a) { function nested() {} }\n"
