@@ -78,18 +78,14 @@ def ranked_files(files: DataFrame, options: SearchOptions) -> DataFrame:
 
 
 def _winners(files: DataFrame, options: SearchOptions) -> DataFrame:
-    """Narrow rows of the limited files with their ``place`` in the order, behind one exchange: all that
-    reads them in a plan shares its result."""
+    """Narrow rows of the limited files with their ``place`` in the order and, under a limit, their number."""
     ranked = ranked_files(files, options)
     if options.max_results is None:
         # sorted over many tasks; places grow with the order but leave gaps
-        place = F.monotonically_increasing_id() + 1
-        parts = ranked.withColumn("place", place)
-        return parts.repartition(*FILE_KEYS)
-    numbered = ranked.repartition(1).withColumn(
-        "place", F.row_number().over(Window.orderBy(*ranking.sort_keys(options.sort_by))).cast("long")
-    )  # at most max_results short rows
-    return numbered
+        return ranked.withColumn("place", F.monotonically_increasing_id() + 1)
+    # at most max_results short rows
+    order = Window.orderBy(*ranking.sort_keys(options.sort_by))
+    return ranked.withColumns({"place": F.row_number().over(order).cast("long"), "n_files": F.count("*").over(Window.partitionBy())})
 
 
 def _with_texts(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -113,7 +109,7 @@ def _results(files: DataFrame, winners: DataFrame, options: SearchOptions, shown
 
 def search(files: DataFrame, options: SearchOptions) -> DataFrame:
     """One row per file with its ``matches`` array, in order, at most ``max_results`` files."""
-    return _results(files, _winners(files, options), options).orderBy("place").drop("place")
+    return _results(files, _winners(files, options), options).orderBy("place").drop("place", "n_files")
 
 
 def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -124,7 +120,7 @@ def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataF
 
 def flat_matches(files: DataFrame, options: SearchOptions) -> DataFrame:
     """Match rows in file order, cut at ``max_results`` matches."""
-    return _flat(files, _winners(files, options), options).drop("place")
+    return _flat(files, _winners(files, options), options).drop("place", "n_files")
 
 
 def _summary(winners: DataFrame) -> DataFrame:
@@ -155,25 +151,29 @@ def render_search(files: DataFrame, options: SearchOptions) -> DataFrame:
     if options.output_format == "json":
         return result_json(search(files, options), pretty=True)
     winners = _winners(files, options)
-    lines = _grouped_lines if options.group_by_file else _flat_lines
-    body = lines(files, winners, options)
+    body = (_grouped_lines if options.group_by_file else _flat_lines)(files, winners, options)
     # The wording of the header and of the lines below.
-    head = _summary(winners).select(
-        F.lit(0).cast("long").alias("block"),
-        F.posexplode(
-            F.when(
-                F.col("n_files") == 0,
-                F.array(F.lit(f"No matches found for pattern: {options.pattern}")),
-            ).otherwise(
-                F.array(
-                    F.lit(f'# Search Results for: "{options.pattern}"'),
-                    F.format_string("Found %d file(s) with matches", F.col("n_files")),
-                    F.lit(""),
-                )
-            )
-        ).alias("ord", "line"),
-    )
-    return head.unionByName(body).orderBy("block", "ord")
+    none = F.array(F.lit(f"No matches found for pattern: {options.pattern}"))
+
+    def header(n_files: Column) -> Column:
+        found = F.array(
+            F.lit(f'# Search Results for: "{options.pattern}"'), F.format_string("Found %d file(s) with matches", n_files), F.lit("")
+        )
+        return F.when(F.coalesce(n_files, F.lit(0)) == 0, none).otherwise(found)
+
+    first = F.lit(0).cast("long")
+    block = lambda place, lines: F.struct(place.alias("block"), lines.alias("lines"))
+    if options.max_results is None:
+        head = _summary(winners).select(first.alias("block"), header(F.col("n_files")).alias("lines"))
+        blocks = head.unionByName(body.select("block", "lines"))
+    else:
+        # the header goes with the first block, or alone, so that winners are looked for once
+        seed = files.sparkSession.range(1).withColumnRenamed("id", "seed")
+        led = seed.join(body, F.col("seed") == F.least("block", F.lit(0)), "left")
+        own, top = block(F.col("block"), F.col("lines")), block(first, header(F.col("n_files")))
+        pieces = F.when(F.col("block").isNull(), F.array(top)).when(F.col("block") == 1, F.array(top, own)).otherwise(F.array(own))
+        blocks = led.select(F.inline(pieces))
+    return blocks.select("block", F.posexplode("lines").alias("ord", "line")).orderBy("block", "ord")
 
 
 def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -198,7 +198,7 @@ def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions)
             F.array(F.lit("")),
         )
     )
-    return results.select(F.col("place").alias("block"), F.posexplode(lines).alias("ord", "line"))
+    return results.select(F.col("place").alias("block"), lines.alias("lines"), *_counted(results))
 
 
 def _flat_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -210,10 +210,15 @@ def _flat_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) ->
         n = F.row_number().over(Window.orderBy("place", "line_no", "match_ord")).cast("long")
     listed = rows.select(
         n.alias("block"),
+        *_counted(rows),
         F.concat("rel_path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), "snippet").alias("line"),
     )
     cut = F.array(F.lit(""), F.lit(f"... search truncated at {options.max_results} results"))
     lines = F.when(
         F.lit(options.max_results is not None) & (F.col("block") == F.lit(options.max_results)), F.array_insert(cut, 1, F.col("line"))
     ).otherwise(F.array("line"))
-    return listed.select("block", F.posexplode(lines).alias("ord", "line"))
+    return listed.select("block", lines.alias("lines"), *_counted(listed))
+
+
+def _counted(df: DataFrame) -> list[str]:
+    return [c for c in ("n_files",) if c in df.columns]

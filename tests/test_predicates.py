@@ -62,3 +62,25 @@ def test_metadata_filters_do_not_read_content(spark, tmp_path):
     files = corpus_from_table(spark.read.parquet(src), "p", "c", size=F.lit(1))
     plan = P.ext_in(files, [".js"]).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p:string>" in plan
+
+
+def test_forms_of_dates():
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+
+    from lodestone.operators.predicates import parse_moment
+
+    zone = "America/New_York"
+    utc = lambda *a: datetime(*a, tzinfo=timezone.utc)
+    assert parse_moment("2024", zone) == utc(2024, 1, 1) and parse_moment("2024-03", zone) == utc(2024, 3, 1)
+    assert parse_moment("2024-03-05", zone) == utc(2024, 3, 5)
+    assert parse_moment("2024/3/05", zone) == datetime(2024, 3, 5, tzinfo=ZoneInfo(zone))
+    assert parse_moment("2024-13", zone) is None and parse_moment("soon", zone) is None
+
+
+def test_relative_path_outside_the_root(spark):
+    from lodestone.functions.paths import relative_path
+
+    rows = [("/a/b/c.py", "/a/b"), ("/a/x/c.py", "/a/b"), ("/q", "/a/b/c"), ("/a/b", "/a/b"), ("x/y", "/a")]
+    df = spark.createDataFrame(rows, "path string, root string").select(relative_path(F.col("path"), F.col("root")))
+    assert [r[0] for r in df.collect()] == ["c.py", "../x/c.py", "../../../q", "", "x/y"]

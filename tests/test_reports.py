@@ -140,3 +140,14 @@ def test_retention(spark):
     per = retention.latest_per_key(log.withColumn("k", F.col("id") % 2), ["k"], ["ts"], 3)
     assert per.count() == 6
     assert isinstance(kept.head().ts, dt.datetime)
+
+
+def test_falsy_fields_and_missing_manifests(spark):
+    from lodestone.operators.outdated import explode_outdated
+    from lodestone.sources.dependency_reports import parse_outdated
+
+    report = '{"a": {"current": false, "wanted": 0, "latest": "", "type": true, "location": 5}}'
+    runs = spark.createDataFrame([("p", 1, report, "", True), ("q", 1, report, "", False)],
+                                 "project string, exit_code int, stdout string, stderr string, has_manifest boolean")
+    rows = explode_outdated(parse_outdated(runs)).collect()
+    assert [tuple(r) for r in rows] == [("p", "a", "unknown", "unknown", "unknown", "5", "true")]

@@ -149,3 +149,69 @@ def test_stream_gives_the_same_matches(spark, corpus, tmp_path):
     )
     query.awaitTermination(60)
     assert sorted(r.match_start for r in spark.table("hits").collect()) == [0, 6]
+
+
+def scans(df):
+    """File scans of the plan that ran, without those whose exchange is shared."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan, plan.count("FileScan parquet")
+
+
+@pytest.mark.parametrize("group_by_file", [True, False])
+def test_report_reads_the_files_twice(spark, corpus, tmp_path, group_by_file):
+    corpus({f"f{i}": f"x hit {i}" for i in range(30)}).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    options = SearchOptions(pattern="hit", max_results=3, exclude_strings=True, group_by_file=group_by_file)
+    plan, n = scans(S.render_search(files, options))
+    assert n <= 2
+
+
+def test_masks_run_on_winners_only(spark, corpus, tmp_path):
+    corpus({f"f{i}": f"x hit {i}" for i in range(30)}).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    found = S.search(files, SearchOptions(pattern="hit", max_results=3, exclude_strings=True))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    below_join = plan[plan.index("Join"):]
+    assert below_join.count("regexp_replace") <= 2 * 3 + 2  # the count's own masks, once
+
+
+def test_long_line_takes_linear_time(corpus):
+    import time
+
+    def seconds(n):
+        files = corpus({"a": "abcdefgh " * n}).cache()
+        files.count()
+        start = time.perf_counter()
+        rows = matching.find_matches(files, compile_pattern("cde")).selectExpr("count(*)", "max(match_end)", "max(length(snippet))").head()
+        assert rows[0] == n and rows[1] == 9 * n - 4 and rows[2] == 103
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    small, large = seconds(14_000), seconds(112_000)  # the second line has 1 MB
+    assert large < 8 * 3 * small + 5
+
+
+def test_search_below_an_excluded_directory(corpus):
+    files = corpus({"/r/build/x/a.py": "hit", "/r/src/deep/b.py": "hit", "/r/src/deep/c/d.py": "hit"}, root="/r")
+    found = S.search(files, SearchOptions(pattern="hit", search_path="/r/build/x")).collect()
+    assert [(r.path, r.rel_path) for r in found] == [("/r/build/x/a.py", "a.py")]
+    found = S.search(files, SearchOptions(pattern="hit", search_path="/r/src/deep", max_depth=0)).collect()
+    assert [r.rel_path for r in found] == ["b.py"]
+
+
+def test_no_limit(corpus):
+    files = corpus({f"f{i:03}": "hit" for i in range(150)})
+    assert S.search(files, SearchOptions(pattern="hit")).count() == 100
+    every = S.search(files, SearchOptions(pattern="hit", max_results=None, sort_by="file")).collect()
+    assert [r.path for r in every] == [f"f{i:03}" for i in range(150)]
+    text = lines(S.render_search(files, SearchOptions(pattern="hit", max_results=None)))
+    assert text[1] == "Found 150 file(s) with matches" and sum(t.startswith("## ") for t in text) == 150
+
+
+def test_letters_outside_ascii_fold_among_themselves(corpus):
+    files = corpus({"a": "ı ſ K İ", "b": "É é", "c": "isk ISK"})
+    count = lambda pattern, **o: {r.path: r.n_matches for r in matching.match_counts(files, compile_pattern(pattern, **o)).collect()}
+    assert count("i") == {"c": 2} and count("s") == {"c": 2} and count("k", regex_mode=True) == {"c": 2}
+    assert count("é") == {"b": 2} and count("[é]|k", regex_mode=True) == {"b": 2, "c": 2}
