@@ -41,19 +41,19 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes,
 @dataclass
 class _Class:
     """The tables of all patterns of one length: how far a block lets the search move on, and by the last
-    block's hash, the patterns that may end there."""
+    block's hash and then the first block's, the patterns that may end there."""
 
     size: int
     block: int
     shifts: dict[int, int]
-    buckets: dict[int, list[tuple[tuple[bytes, ...], tuple[int, ...]]]]
+    buckets: dict[int, dict[int, list[tuple[tuple[bytes, ...], tuple[str, ...]]]]]
 
 
 class WindowSearch:
     """Wu-Manber search over words for the windows of ``items`` (number, text)."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW) -> None:
-        owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for number, text in items:
             for pattern in windows_of(words_of(text), window):
                 owners[pattern].add(number)
@@ -66,18 +66,18 @@ class WindowSearch:
     def _tables(size: int, patterns: dict) -> _Class:
         block = min(BLOCK_WORDS, size)
         shifts: dict[int, int] = {}
-        buckets: dict[int, list] = defaultdict(list)
+        buckets: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for pattern, own in patterns.items():
             for end in range(block, size + 1):
                 h = hash(pattern[end - block : end])
                 shifts[h] = min(shifts.get(h, size), size - end)
-            buckets[hash(pattern[size - block :])].append((pattern, own))
-        return _Class(size, block, shifts, dict(buckets))
+            buckets[hash(pattern[size - block :])][hash(pattern[:block])].append((pattern, own))
+        return _Class(size, block, shifts, {suffix: dict(by_prefix) for suffix, by_prefix in buckets.items()})
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The spans (start, end) of all occurrences in ascending order for each pattern length, and the items found."""
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        found: set[str] = set()
         n = len(words)
         for c in self.classes:
             size, block, buckets = c.size, c.block, c.buckets
@@ -90,7 +90,7 @@ class WindowSearch:
                     end += shift
                     continue
                 here = tuple(words[end - size : end])
-                for pattern, own in buckets[h]:
+                for pattern, own in buckets[h].get(hash(here[:block]), ()):
                     if pattern == here:
                         spans.append((end - size, end))
                         found.update(own)
