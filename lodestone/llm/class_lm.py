@@ -21,7 +21,7 @@ from lodestone.materialize import materialize
 #: Most words whose counts every task holds; the counts of all others are joined.
 HEAD_WORDS = 200_000
 #: The most frequent words, which clustering assigns to classes; all others have a class by their shape.
-CLUSTERED, CLASSES = 1_024, 48
+CLUSTERED, CLASSES = 2_048, 96
 EXCHANGE_ROUNDS = 6
 #: Added to a word's count, and the weight of the classes' own frequencies beside a class's successors.
 WORD_PRIOR, CLASS_PRIOR = 0.1, 5.0
