@@ -17,7 +17,7 @@ SHINGLE = 5
 #: Bands of so many coordinates each: a pair with a similarity of 0.85 shares no band with a chance of 5e-7.
 BANDS, ROWS = 25, 5
 #: Largest share of a candidate group that is compared within one task: texts and shingles.
-UNIT_TEXTS, UNIT_SHINGLES = 512, 1 << 18
+UNIT_TEXTS, UNIT_SHINGLES = 256, 1 << 18
 #: A shingle in more texts of a unit than this is counted by a matrix product, not pair by pair.
 DENSE = 32
 
