@@ -1,12 +1,11 @@
-"""Recursive file listing as a Spark data source, and content reading by path.
+"""Recursive file listing by Spark jobs, and content reading by path.
 
 Spark's ``binaryFile`` format drops names that start with ``.`` or ``_`` and zero-byte files, all of
-which are part of a source tree, so directories are listed here, one group of them per task.
+which are part of a source tree, so directories are listed here: one job for each level of the trees.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -14,32 +13,25 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    GreaterThan,
-    GreaterThanOrEqual,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
 
 from ..functions import text
+from ..materialize import materialize
 from ..operators.predicates import DEFAULT_EXCLUDED_DIRS
+from ..ship import ship_package
 from .tables import describe_files
 
+_ENTRIES = "root string, path string, is_dir boolean, size bigint, mtime timestamp"
 _ARROW = pa.schema(
     [
-        ("corpus_id", pa.string()),
         ("root", pa.string()),
         ("path", pa.string()),
+        ("is_dir", pa.bool_()),
         ("size", pa.int64()),
         ("mtime", pa.timestamp("us", tz="UTC")),
     ]
 )
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 32 << 20
-_DRIVER_LISTINGS = 1_000  # directories the driver may list to find enough work to hand out
 
 
 def _list_dir(directory: str) -> Iterator[tuple[str, bool, int, datetime]]:
@@ -50,7 +42,11 @@ def _list_dir(directory: str) -> Iterator[tuple[str, bool, int, datetime]]:
         scheme, _, bare = directory.partition("://")
         store, inner = fs.FileSystem.from_uri(directory)
         lead = directory[: len(directory) - len(inner)] if directory.endswith(inner) else f"{scheme}://"
-        for info in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        try:
+            infos = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        except OSError:
+            return
+        for info in infos:
             if info.type in (fs.FileType.File, fs.FileType.Directory):
                 yield lead + info.path, info.type == fs.FileType.Directory, info.size or 0, info.mtime
         return
@@ -71,96 +67,26 @@ def _list_dir(directory: str) -> Iterator[tuple[str, bool, int, datetime]]:
                 continue
 
 
-class _Directories(InputPartition):
-    def __init__(self, items: list[tuple[str, str, int, bool]]):
-        self.items = items  # (root, directory, depth, walk below)
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = json.loads(options["roots"])
-        self.skip = set(json.loads(options["skip"]))
-        self.max_depth = int(options["max_depth"]) if options.get("max_depth") else None
-        self.tasks = int(options.get("tasks", 64))
-        self.low: int | None = None
-        self.high: int | None = None
-
-    def pushFilters(self, filters):
-        bounds = {
-            GreaterThan: lambda v: ("low", v + 1),
-            GreaterThanOrEqual: lambda v: ("low", v),
-            LessThan: lambda v: ("high", v - 1),
-            LessThanOrEqual: lambda v: ("high", v),
-        }
-        for f in filters:
-            if type(f) in bounds and tuple(f.attribute) == ("size",):
-                side, value = bounds[type(f)](f.value)
-                held = getattr(self, side)
-                pick = max if side == "low" else min
-                setattr(self, side, value if held is None else pick(held, value))
-            else:
-                yield f
-
-    def _enters(self, path: str, depth: int) -> bool:
-        return os.path.basename(path) not in self.skip and (
-            self.max_depth is None or depth <= self.max_depth
-        )
-
-    def partitions(self):
-        todo = [(root, root, 0) for root in self.roots]
-        listed: list[tuple[str, str, int, bool]] = []
-        while todo and len(todo) < self.tasks * 4 and len(listed) < _DRIVER_LISTINGS:
-            root, directory, depth = todo.pop(0)
-            listed.append((root, directory, depth, False))
-            for path, is_dir, _, _ in _list_dir(directory):
-                if is_dir and self._enters(path, depth + 1):
-                    todo.append((root, path, depth + 1))
-        work = listed + [(*item, True) for item in todo]
-        groups = min(len(work), self.tasks * 4) or 1
-        return [_Directories(work[i::groups]) for i in range(groups)]
-
-    def read(self, partition: _Directories):
+def _list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each directory, a batch at a time however many it has."""
+    for batch in batches:
         rows: list[tuple] = []
-        for root, directory, depth, below in partition.items:
-            stack = [(directory, depth)]
-            while stack:
-                current, level = stack.pop()
-                for path, is_dir, size, mtime in _list_dir(current):
-                    if is_dir:
-                        if below and self._enters(path, level + 1):
-                            stack.append((path, level + 1))
-                    elif (self.low is None or size >= self.low) and (
-                        self.high is None or size <= self.high
-                    ):
-                        rows.append((root, root, path, size, mtime))
-                        if len(rows) >= _BATCH_ROWS:
-                            yield _batch(rows)
-                            rows = []
-        if rows:
-            yield _batch(rows)
+        for root, directory in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for path, is_dir, size, mtime in _list_dir(directory):
+                rows.append((root, path, is_dir, size, mtime))
+                if len(rows) >= _BATCH_ROWS:
+                    yield _batch(rows)
+                    rows = []
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
+    columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
     return pa.RecordBatch.from_arrays(
-        [pa.array(values, type=field.type) for values, field in zip(columns, _ARROW)], schema=_ARROW
+        [pa.array(values, type=field.type) for values, field in zip(columns, _ARROW, strict=True)], schema=_ARROW
     )
 
 
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree")``: one row per regular file under the roots."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "corpus_id string, root string, path string, size bigint, mtime timestamp"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
-
-
 def scan_corpus(
     spark: SparkSession,
     roots: list[str],
@@ -169,19 +95,28 @@ def scan_corpus(
     max_depth: int | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
-    """``files`` without content. Excluded directories are never entered, and size bounds reach the
-    lister when ``spark.sql.python.filterPushdown.enabled`` is on. Roots are paths that every
-    executor can see, or URIs that ``pyarrow.fs`` knows."""
-    spark.dataSource.register(SourceTree)
-    reader = (
-        spark.read.format("source_tree")
-        .option("roots", json.dumps([r.rstrip("/") or "/" for r in roots]))
-        .option("skip", json.dumps(DEFAULT_EXCLUDED_DIRS if prune_default_dirs else []))
-        .option("tasks", str(tasks or spark.sparkContext.defaultParallelism))
-    )
-    if max_depth is not None:
-        reader = reader.option("max_depth", str(max_depth))
-    return describe_files(reader.load())
+    """``files`` without content. Each level of the trees is one job over its directories, dealt to ``tasks`` tasks by a hash of the
+    path and written to the shared folder; the driver holds the roots only. Excluded directories are never entered, links and
+    unreadable directories are left out. Roots are paths that every executor can see, or URIs that ``pyarrow.fs`` knows."""
+    ship_package(spark)
+    parts = tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tops = [(top, top) for top in dict.fromkeys(r.rstrip("/") or "/" for r in roots)]
+    level, depth = spark.createDataFrame(tops, "root string, path string"), 0
+    listed: list[DataFrame] = []
+    while True:
+        entries = materialize(level.repartition(parts, "path").mapInArrow(_list_all, _ENTRIES), "listing")
+        listed.append(entries.filter(~F.col("is_dir")))
+        below = entries.filter("is_dir")
+        if prune_default_dirs:
+            below = below.filter(~F.substring_index("path", "/", -1).isin(DEFAULT_EXCLUDED_DIRS))
+        depth += 1
+        if (max_depth is not None and depth > max_depth) or below.isEmpty():
+            break
+        level = below.select("root", "path")
+    files = listed[0]
+    for more in listed[1:]:
+        files = files.unionByName(more)
+    return describe_files(files.select(F.col("root").alias("corpus_id"), "root", "path", "size", "mtime"))
 
 
 def _read_bytes(path: str) -> bytes | None:
@@ -219,6 +154,7 @@ def with_content(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     if partitions:
         files = files.repartition(partitions)
+    ship_package(files.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     raw = files.mapInArrow(_attach, f"{schema}, content binary")
     return raw.withColumn("is_binary", text.is_binary(F.col("content"))).withColumn(

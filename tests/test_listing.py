@@ -36,7 +36,24 @@ def test_listing(spark, tree):
     assert row.size == 8 and row.ext == ".ts" and row.depth == 1 and abs(row.mtime.timestamp() - os.stat(row.path).st_mtime) < 1e-3 + 1
 
 
-def test_size_bound_reaches_the_lister(spark, tree):
+def test_wide_and_deep_trees(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / "wide" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"d{i}" / "f").write_text("x")
+    deep = tmp_path.joinpath("deep", *["n"] * 12)
+    deep.mkdir(parents=True)
+    (deep / "f").write_text("x")
+    files = scan_corpus(spark, [str(tmp_path)], tasks=3)
+    assert files.count() == 301 and files.agg({"depth": "max"}).first()[0] == 13
+
+
+def test_roots_may_overlap_and_be_uris(spark, tree):
+    files = scan_corpus(spark, [tree, tree + "/src", "file://" + tree + "/deep", "file:///no/such/place"])
+    assert files.filter("corpus_id like '%/src'").count() == 5
+    assert [r.rel_path for r in files.filter("corpus_id like 'file:%'").collect()] == ["a/b/c.txt"]
+
+
+def test_size_bound_reaches_the_scan(spark, tree):
     files = P.size_between(scan_corpus(spark, [tree]), 4, 5)
     assert rel(files) == [".env", "src/b.bin"]
 
