@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.paths import format_size, normalize_path
 from ..functions.patterns import CompiledPattern, compile_pattern
 from ..operators import matching, predicates, ranking
-from ..sources.sinks import iso_utc, result_json
+from ..sources.sinks import iso_utc, json_document, result_json
 from ..sources.tables import FILE_COLUMNS, FILE_KEYS, describe_files
 from .options import SearchOptions
 
@@ -176,6 +176,21 @@ def render_search(files: DataFrame, options: SearchOptions) -> DataFrame:
     return blocks.select("block", F.posexplode("lines").alias("ord", "line")).orderBy("block", "ord")
 
 
+def render_json_array(files: DataFrame, options: SearchOptions) -> DataFrame:
+    """The results as the lines ``(block, line)`` of one pretty JSON array, a block for each file; ``[]`` without any. Needs a
+    limit on files; without one the results are a table of documents (``result_json``)."""
+    if options.max_results is None:
+        raise ValueError("an array needs max_results")
+    results = _results(files, _winners(files, options), options)
+    documents = results.select(F.col("place").alias("block"), "n_files", json_document(pretty=True).alias("document"))
+    seed = files.sparkSession.range(1).withColumnRenamed("id", "seed")
+    led = seed.join(documents, F.col("seed") == F.least("block", F.lit(0)), "left")
+    line = F.concat(
+        F.when(F.col("block") == 1, "[ ").otherwise(""), "document", F.when(F.col("block") == F.col("n_files"), " ]").otherwise(",")
+    )
+    return led.select(F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(line, F.lit("[]")).alias("line")).orderBy("block")
+
+
 def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
     results = _results(files, winners, options, SHOWN_PER_FILE)
     lines = F.flatten(

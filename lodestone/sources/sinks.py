@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def result_json(results: DataFrame, pretty: bool = False) -> DataFrame:
-    """One JSON document per result file."""
+def json_document(pretty: bool = False) -> Column:
+    """A result file as a JSON document."""
     matches = F.transform(
         "matches",
         lambda m: F.struct(
@@ -27,8 +27,12 @@ def result_json(results: DataFrame, pretty: bool = False) -> DataFrame:
         iso_utc("mtime").alias("lastModified"),
         F.col("ext").alias("fileExtension"),
     )
-    options = {"pretty": "true"} if pretty else {}
-    return results.select("corpus_id", "path", F.to_json(document, options).alias("json"))
+    return F.to_json(document, {"pretty": "true"} if pretty else {})
+
+
+def result_json(results: DataFrame, pretty: bool = False) -> DataFrame:
+    """One JSON document per result file."""
+    return results.select("corpus_id", "path", json_document(pretty).alias("json"))
 
 
 def iso_utc(column: str):

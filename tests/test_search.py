@@ -109,6 +109,14 @@ def test_json_output(corpus):
     assert doc["fileSizeFormatted"] == "4 Bytes"
 
 
+def test_json_array(corpus):
+    files = corpus({"a.txt": "xhit", "b.txt": "hit hit", "c.txt": "no"})
+    for pattern, want in (("hit", ["b.txt", "a.txt"]), ("no", ["c.txt"]), ("none", [])):
+        text = "\n".join(lines(S.render_json_array(files, SearchOptions(pattern=pattern))))
+        assert [d["filePath"] for d in json.loads(text)] == want
+    assert text == "[]"
+
+
 def test_request_arguments(corpus):
     options = SearchOptions.from_request({"pattern": "", "maxResults": 0, "path": "/a", "regexMode": True, "followSymlinks": False})
     assert (options.pattern, options.max_results, options.search_path) == (".*", 100, "/a")
