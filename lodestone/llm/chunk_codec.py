@@ -65,8 +65,7 @@ class ChunkTable:
         if len(self.table.rows) > TABLE_CHUNKS:
             self.table.clear()
             self.surfaces.clear()
-        self.table.add(every)
-        rows = self.table.positions(every)
+        rows = self.table.rows_of(every)
         surface, at, decoded = self.surfaces, rows.tolist(), []
         start = 0
         for chunks in own:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
 from lodestone.llm.batches import ranges
 
 #: Chunks that a table holds before it starts anew; results don't depend on it.
-TABLE_CHUNKS = 600_000
+TABLE_CHUNKS = 500_000
 
 
 class IdTable:
@@ -26,21 +27,22 @@ class IdTable:
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
 
-    def add(self, chunks: Iterable[str]) -> list[str]:
-        """Segment the chunks that the table doesn't hold; gives them in the order of their rows."""
-        fresh = list(set(chunks).difference(self.rows))
-        if fresh:
-            flat, sizes = self.segment(fresh)
-            ends = np.cumsum(sizes) + len(self.ids)
-            self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
-            self.ids = np.concatenate([self.ids, flat])
-            self.starts = np.concatenate([self.starts, ends - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-        return fresh
-
-    def positions(self, chunks: list[str]) -> np.ndarray:
-        """The row of each chunk; all have to be in the table."""
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+    def rows_of(self, chunks: list[str]) -> np.ndarray:
+        """The row of each chunk; those that the table doesn't hold are segmented and added."""
+        at = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys([chunks[i] for i in missing])))
+            at[missing] = [self.rows[chunks[i]] for i in missing]
+        return at
+
+    def _add(self, fresh: list[str]) -> None:
+        flat, sizes = self.segment(fresh)
+        ends = np.cumsum(sizes) + len(self.ids)
+        self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
+        self.ids = np.concatenate([self.ids, flat])
+        self.starts = np.concatenate([self.starts, ends - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the chunks at ``rows``, one after another."""

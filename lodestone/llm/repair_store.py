@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.llm.batches import map_batches, ranges, text_slices, texts
-from lodestone.llm.chunks import TABLE_CHUNKS, IdTable, flatten
+from lodestone.llm.chunks import IdTable, flatten
 
 #: Ids of a shard, the unit with a grammar of its own; one longer document makes a shard of its own.
 SHARD_IDS = 1 << 20
+#: Chunks that a worker's table holds before it starts anew; results don't depend on it.
+STORED_CHUNKS = 800_000
 #: How often pairs are counted and replaced in a shard, and how many pairs at once.
 ROUNDS, PAIRS = 4, 2048
 #: A pair is frequent from this many occurrences in a shard on.
@@ -80,10 +82,9 @@ class TextEncoder:
         """The ids of all texts one after another, and each text's number of ids."""
         own = [self.split(text) if text else [] for text in documents]
         every = [c for chunks in own for c in chunks]
-        if len(self.table.rows) > TABLE_CHUNKS:
+        if len(self.table.rows) > STORED_CHUNKS:
             self.table.clear()
-        self.table.add(every)
-        rows = self.table.positions(every)
+        rows = self.table.rows_of(every)
         return self.table.take(rows), self.table.sizes_of(rows, list(map(len, own)))
 
 
