@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import map_batches, raw_texts, row_schema, text_slices
 from lodestone.llm.components import connected_components
+from lodestone.llm.hashing import POWER, mix, stretch_hashes
 from lodestone.materialize import materialize
 
 SHINGLE = 5
@@ -24,35 +25,6 @@ DENSE = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_POWER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 64-bit numbers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of a number and of its inverse modulo 2**64, as many as were asked for so far."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            base = np.full(n, _POWER, np.uint64)
-            base[0] = 1
-            self.up = np.multiply.accumulate(base)
-            base[1:] = pow(_POWER, -1, 1 << 64)
-            self.down = np.multiply.accumulate(base)
-        return self.up, self.down
-
-
-_powers = _Powers()
 
 
 def shingle_sets(documents: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -62,17 +34,14 @@ def shingle_sets(documents: list[bytes], size: int = SHINGLE) -> list[np.ndarray
     raw = np.frombuffer(joined, np.uint8)
     if not len(raw):
         return [np.empty(0, np.uint64) for _ in documents]
-    up, down = _powers.upto(len(raw) + 1)
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    # a word's hash is a polynomial in its bytes, from differences of sums over the whole text
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    words = stretch_hashes(raw, starts, ends)
     runs = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for i in range(size):
-        runs = runs * np.uint64(_POWER) + words[i : i + len(runs)]
-    runs = _mix(runs)
+        runs = runs * np.uint64(POWER) + words[i : i + len(runs)]
+    runs = mix(runs)
     lengths = np.fromiter(map(len, documents), np.int64, len(documents))
     text_starts = np.cumsum(lengths + 1) - (lengths + 1)
     first = np.searchsorted(starts, text_starts).tolist()
@@ -85,8 +54,8 @@ def shingle_sets(documents: list[bytes], size: int = SHINGLE) -> list[np.ndarray
             h = np.uint64(b - a)
             with np.errstate(over="ignore"):
                 for w in words[a:b]:
-                    h = h * np.uint64(_POWER) + w
-            out.append(_mix(np.array([h], np.uint64) + np.uint64(b - a)))
+                    h = h * np.uint64(POWER) + w
+            out.append(mix(np.array([h], np.uint64) + np.uint64(b - a)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -129,7 +98,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signatures[:, : bands * rows].reshape(len(signatures), bands, rows).astype(np.uint64)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(signatures), bands))
     for i in range(rows):
-        keys = _mix(keys * np.uint64(_POWER) + parts[:, :, i])
+        keys = mix(keys * np.uint64(POWER) + parts[:, :, i])
     return keys.astype(np.int64)
 
 
@@ -162,7 +131,7 @@ def _linked(sets: list[np.ndarray], units: np.ndarray, percent: int) -> np.ndarr
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     owner = np.repeat(np.arange(n), sizes)
-    keys = np.concatenate(sets) ^ _mix(units.astype(np.uint64))[owner]
+    keys = np.concatenate(sets) ^ mix(units.astype(np.uint64))[owner]
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

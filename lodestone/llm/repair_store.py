@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -14,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm.batches import map_batches, ranges, text_slices, texts
-from lodestone.llm.chunks import IdTable, flatten
+from lodestone.llm.batches import map_batches, ranges, raw_texts, text_slices
+from lodestone.llm.chunks import HashedIdTable, flatten
+from lodestone.llm.hashing import stretch_hashes
 
 #: Ids of a shard, the unit with a grammar of its own; one longer document makes a shard of its own.
 SHARD_IDS = 1 << 20
@@ -26,13 +26,16 @@ ROUNDS, PAIRS = 4, 2048
 #: A pair is frequent from this many occurrences in a shard on.
 FREQUENT = 8
 
-# white space in the sense of Unicode; a token never goes on from other characters into it
-_CODES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_SPACES = frozenset(map(chr, _CODES))
-_SPACE = "".join(map(chr, _CODES))
-# nor from a letter into what is neither letter nor number
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_CHUNK = re.compile(rf"[{_SPACE}]*[{_LETTERS}]+(?!\w)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# white space in the sense of Unicode
+_SPACES = frozenset(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+# kinds of bytes: white space, letters, other signs of ASCII; 0 for the rest
+_KIND = np.zeros(256, np.uint8)
+_KIND[:0x80] = 3
+_KIND[[*range(0x09, 0x0E), 0x20]] = 1
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_KIND[0x30:0x3A] = 0
 
 _tokenizers: dict[str, TextEncoder] = {}
 
@@ -46,9 +49,9 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.table = IdTable(self._segment)
+        self.tokenizer.model._resize_cache(0)  # the table sees to it that no chunk comes twice
+        self.table = HashedIdTable(self._segment)
         self.splits = splits_at_space(tokenizer_json)
-        self.split = _CHUNK.findall if self.splits else lambda text: [text]
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, number in vocabulary.items():  # byte-level: a character of a token stands for a byte
@@ -78,14 +81,47 @@ class TextEncoder:
         ids[of_joined], ids[~of_joined] = one, two
         return ids, sizes
 
-    def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and each text's number of ids."""
-        own = [self.split(text) if text else [] for text in documents]
-        every = [c for chunks in own for c in chunks]
-        if len(self.table.rows) > STORED_CHUNKS:
+    def encode(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (as UTF-8) one after another, and each text's number of ids."""
+        joined = b"".join(documents)
+        lengths = np.fromiter(map(len, documents), np.int64, len(documents))
+        text_ends = np.cumsum(lengths)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(documents), np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        begins = chunk_begins(raw) if self.splits else np.zeros(len(raw), bool)
+        begins[(text_ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(raw))
+        if len(self.table) > STORED_CHUNKS:
             self.table.clear()
-        rows = self.table.rows_of(every)
-        return self.table.take(rows), self.table.sizes_of(rows, list(map(len, own)))
+
+        def chunks_at(places: np.ndarray) -> list[str]:
+            return [joined[a:b].decode() for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
+
+        rows = self.table.rows_of_hashes(stretch_hashes(raw, starts, ends), chunks_at)
+        counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+        return self.table.take(rows), self.table.sizes_of(rows, counts)
+
+
+def chunk_begins(raw: np.ndarray) -> np.ndarray:
+    """Where a text may be cut: no token goes on from another character into white space, nor from a letter into a sign."""
+    kind = _KIND[raw]
+    begins = np.zeros(len(raw), bool)
+    begins[1:] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
+    # white space outside ASCII before white space: not between characters of one run
+    at = np.flatnonzero(begins[1:] & (raw[:-1] >= 0x80) & (kind[1:] == 1)) + 1
+    one, two = raw[at - 1], raw[np.maximum(at - 2, 0)]
+    three = raw[np.maximum(at - 3, 0)]
+    wide = (
+        ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+        | ((three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)))
+        | ((three == 0xE2) & (two == 0x81) & (one == 0x9F))
+        | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+        | ((three == 0xE1) & (two == 0x9A) & (one == 0x80))
+    )
+    begins[at[wide]] = False
+    return begins
 
 
 def splits_at_space(tokenizer_json: str) -> bool:
@@ -264,7 +300,7 @@ def write_store(
             )
 
         for batch in text_slices(batches):
-            flat, counts = encoder.encode(texts(batch.column("text")))
+            flat, counts = encoder.encode(raw_texts(batch.column("text")))
             flat = np.insert(flat, np.cumsum(counts), end_id)
             ids.append(flat)
             keys.append(batch.column("key"))

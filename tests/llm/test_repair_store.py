@@ -39,7 +39,7 @@ def test_chunks_match_the_library(library):
     rng = random.Random(5)
     letters = " \t\n\r\x0b\x85\xa0\u2003\u3000 abT'sll're123é²½中.!?<|endoftext|>\x1c\x1d\u200b\xad\u0301😀"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    ids, sizes = encoder.encode(texts)
+    ids, sizes = encoder.encode([t.encode() for t in texts])
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library(t) for t in texts]
 
 
