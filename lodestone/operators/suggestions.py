@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import name_key, suggest_score
 from ..functions.paths import ancestors, basename, dirname
 from .joins import salted_join
-from .project_roots import find_project_roots
+from .project_roots import MAX_DEPTH, find_project_roots
 from .ranking import locale_order
 
 # How many suggestions are given for paths and for names.
@@ -117,25 +117,26 @@ def suggest_paths(
 
 
 def suggest_project(requests: DataFrame, files: DataFrame, k: int = PATH_LIMIT) -> DataFrame:
-    """Sibling directories first, then project roots below the path; ``k`` in all, repeats kept."""
-    near = suggest_paths(requests, files, k, dirs_only=True).select(
-        "corpus_id", "request_id", F.lit(0).alias("origin"), "rank", "suggestion"
+    """Sibling directories first, then project roots below the path; ``k`` in all, repeats kept.
+
+    Each path asked for is worked on once, however many requests name it. A manifest counts for the nearest directories above it
+    only, as deep as roots are looked for.
+    """
+    asked = requests.select("corpus_id", "path").distinct()
+    near = suggest_paths(asked.withColumn("request_id", F.col("path")), files, k, dirs_only=True).select(
+        "corpus_id", F.col("request_id").alias("path"), F.lit(0).alias("origin"), "rank", "suggestion"
     )
     manifests = files.filter(F.col("basename") == "package.json")
-    tops = requests.select("corpus_id", "request_id", F.col("path").alias("top"))
+    tops = asked.withColumnRenamed("path", "top")
+    above = _directories_above(F.col("path"))
+    nearest = F.slice(above, F.greatest(F.size(above) - MAX_DEPTH, F.lit(1)), F.lit(MAX_DEPTH + 1))
     below = salted_join(
-        manifests.select(
-            "corpus_id", "path", "parent_dir", "basename",
-            F.explode(_directories_above(F.col("path"))).alias("top"),
-        ),
-        tops,
-        ["corpus_id", "top"],
-        ["path"],
+        manifests.select("corpus_id", "path", "parent_dir", "basename", F.explode(nearest).alias("top")), tops, ["corpus_id", "top"], ["path"]
     )
-    # each request is a small corpus of its own, rooted at the path it asked for
+    # each path asked for is a small corpus of its own
     rel = F.when(F.col("top") == ".", F.col("path")).otherwise(F.substr("path", F.length("top") + 2))
     rooted = below.select(
-        F.to_json(F.struct("corpus_id", "request_id")).alias("corpus_id"),
+        F.to_json(F.struct("corpus_id", "top")).alias("corpus_id"),
         F.when(F.col("top") == ".", F.lit("")).otherwise(F.col("top")).alias("root"),
         "path",
         rel.alias("rel_path"),
@@ -143,17 +144,15 @@ def suggest_project(requests: DataFrame, files: DataFrame, k: int = PATH_LIMIT)
         "basename",
         (F.size(F.split(rel, "/")) - 1).alias("depth"),
     )
-    kind = requests.select("corpus_id", "request_id").schema.simpleString()[len("struct<"):-1]
     roots = find_project_roots(rooted, limit=k).select(
-        F.from_json("corpus_id", kind.replace(":", " ").replace(",", ", ")).alias("of"), "rank", "dir"
+        F.from_json("corpus_id", "corpus_id string, top string").alias("of"), "rank", "dir"
     )
     found = roots.select(
-        "of.corpus_id", "of.request_id", F.lit(1).alias("origin"), "rank", F.col("dir").alias("suggestion")
+        F.coalesce("of.corpus_id", F.lit("")).alias("corpus_id"), F.col("of.top").alias("path"), F.lit(1).alias("origin"), "rank",
+        F.col("dir").alias("suggestion"),
     )
-    order = Window.partitionBy("corpus_id", "request_id").orderBy("origin", "rank")
-    return (
-        near.unionByName(found)
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k)
-        .select("corpus_id", "request_id", F.col("place").alias("rank"), "suggestion")
+    order = Window.partitionBy("corpus_id", "path").orderBy("origin", "rank")
+    best = near.unionByName(found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return best.join(requests.select("corpus_id", "path", "request_id"), ["corpus_id", "path"]).select(
+        "corpus_id", "request_id", F.col("place").alias("rank"), "suggestion"
     )
