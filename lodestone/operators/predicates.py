@@ -11,6 +11,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import ancestors
 from ..functions.patterns import to_java_regex
 
 # Directory names that are never part of a project's own sources.
@@ -62,6 +63,28 @@ def under_roots(files: DataFrame, roots: list[str]) -> DataFrame:
     return files.filter(allowed(F.col("path"), roots)) if roots else files
 
 
+def under_root_table(files: DataFrame, roots: DataFrame, column: str = "root") -> DataFrame:
+    """Keep files at or below one of the roots in a table of resolved paths; an empty table keeps all.
+
+    Roots below other roots are dropped first, so that a file meets one at most: each file's path and directories are looked up by an
+    equi-join, in which Spark broadcasts the roots where they measure small."""
+    named = roots.select(F.rtrim(F.trim(F.col(column)), F.lit("/")).alias("_at")).filter(F.col("_at").isNotNull() & (F.trim(F.col(column)) != ""))
+    # the bare root becomes the empty path, which is above all absolute ones
+    named = named.distinct()
+    if named.isEmpty():
+        return files
+    nested = named.select(F.col("_at").alias("_of"), F.explode(_paths_above(F.col("_at"))).alias("_at")).join(named, "_at", "left_semi")
+    tops = named.join(nested.select(F.col("_of").alias("_at")), "_at", "left_anti")
+    reached = F.concat(_paths_above(F.col("path")), F.array(F.col("path")))
+    return files.withColumn("_at", F.explode(reached)).join(tops, "_at", "left_semi").drop("_at")
+
+
+def _paths_above(path: Column) -> Column:
+    """The ancestors of a path; of an absolute one also the bare root, as the empty path."""
+    bare = F.when(path.startswith("/"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(bare, ancestors(path))
+
+
 def ext_in(files: DataFrame, exts: list[str] | None) -> DataFrame:
     """Include list in dot form: ``js`` without its dot matches nothing, ``.`` matches files
     without an extension."""

@@ -84,3 +84,11 @@ def test_relative_path_outside_the_root(spark):
     rows = [("/a/b/c.py", "/a/b"), ("/a/x/c.py", "/a/b"), ("/q", "/a/b/c"), ("/a/b", "/a/b"), ("x/y", "/a")]
     df = spark.createDataFrame(rows, "path string, root string").select(relative_path(F.col("path"), F.col("root")))
     assert [r[0] for r in df.collect()] == ["c.py", "../x/c.py", "../../../q", "", "x/y"]
+
+
+def test_table_of_roots(spark, corpus):
+    files = corpus({n: "x" for n in ["/a/b/c.py", "/a/b", "/ab/x", "/q/r/s", "/q/t", "rel/x"]})
+    kept = lambda *roots: paths(P.under_root_table(files, spark.createDataFrame([(r,) for r in roots], "root string")))
+    assert kept("/a/b", "/a/b/c.py", " /q/r/ ", None, " ") == ["/a/b", "/a/b/c.py", "/q/r/s"]
+    assert kept("/") == ["/a/b", "/a/b/c.py", "/ab/x", "/q/r/s", "/q/t"]
+    assert kept("rel") == ["rel/x"] and len(kept()) == 6 and kept("/none") == []
