@@ -383,6 +383,23 @@ SELECT project, CAST(CASE WHEN good THEN 5 ELSE 0 END AS BIGINT) AS n_checked, C
 ORACLES["report_status"] = f"""WITH {RUNS}
 SELECT project, CASE WHEN k % 20 = 19 THEN 'missing_manifest' WHEN r = 1 THEN 'ok' WHEN r < 8 THEN 'outdated' WHEN r = 8 THEN 'failed'
   WHEN k % 4 = 1 THEN 'command_missing' WHEN k % 8 = 3 THEN 'timeout' WHEN k % 8 = 7 THEN 'bad_directory' ELSE 'failed' END AS status FROM runs"""
+ORACLES["outdated_detailed"] = f"""WITH {RUNS}, shown AS (SELECT project, k, r IN (0, 2, 3, 4, 5, 6, 7) AS good FROM runs WHERE r < 8),
+placed AS (SELECT *, 7 + 6 * CASE package WHEN 'brand' THEN 1 WHEN 'list' THEN 2 ELSE 0 END AS pos FROM rows)
+SELECT project, CAST(0 AS BIGINT) AS ord, '# NPM Outdated Check Results' AS line FROM shown
+UNION ALL SELECT project, 1, '' FROM shown
+UNION ALL SELECT project, 2, '**Project:** ' || project || '/package.json' FROM shown
+UNION ALL SELECT project, 3, '**Total Packages Checked:** ' || CASE WHEN good THEN 5 ELSE 0 END FROM shown
+UNION ALL SELECT project, 4, '' FROM shown
+UNION ALL SELECT project, 5, CASE WHEN good THEN 'Found 3 outdated packages:' ELSE 'All packages are up to date! 🎉' END FROM shown
+UNION ALL SELECT project, 6, '' FROM shown WHERE good
+UNION ALL SELECT project, pos, '📦 ' || package FROM placed
+UNION ALL SELECT project, pos + 1, '   Current: ' || current FROM placed
+UNION ALL SELECT project, pos + 2, '   Wanted:  ' || wanted FROM placed
+UNION ALL SELECT project, pos + 3, '   Latest:  ' || latest FROM placed
+UNION ALL SELECT project, pos + 4, '   Type:    ' || type FROM placed
+UNION ALL SELECT project, pos + 5, '' FROM placed
+UNION ALL SELECT project, 25, 'Run ''npm update'' to update to wanted versions or ''npm install <package>@latest'' for latest versions.' FROM shown WHERE good"""
+
 ORACLES["outdated_text"] = f"""WITH {RUNS}, shown AS (SELECT project, k, r IN (0, 2, 3, 4, 5, 6, 7) AS good FROM runs WHERE r < 8)
 SELECT project, CAST(0 AS BIGINT) AS ord, '# NPM Outdated Check Results' AS line FROM shown
 UNION ALL SELECT project, 1, '' FROM shown

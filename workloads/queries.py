@@ -540,6 +540,11 @@ def report_status(spark, sf_dir):
     return outdated.report_status(_runs(spark, sf_dir)).select("project", "status")
 
 
+@query
+def outdated_detailed(spark, sf_dir):
+    return render_outdated(_runs(spark, sf_dir)).select("project", long("ord").alias("ord"), "line")
+
+
 @query
 def outdated_text(spark, sf_dir):
     return render_outdated(_runs(spark, sf_dir), "summary").select("project", long("ord").alias("ord"), "line")
