@@ -76,7 +76,8 @@ def op5_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json").decode(), end_id=2)
+    vocabulary = tokenizer_file("byte_bpe_50k.json").decode()
+    write_store(table(spark, sf_dir, "documents"), path, vocabulary, end_id=2, special_in_text=True)
     return read_store(spark, path)
 
 

@@ -37,21 +37,25 @@ _KIND[[*range(0x09, 0x0E), 0x20]] = 1
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _KIND[0x30:0x3A] = 0
 
-_tokenizers: dict[str, TextEncoder] = {}
+_tokenizers: dict[tuple[str, bool], TextEncoder] = {}
 
 
 class TextEncoder:
-    """The ids of whole texts, as the tokenizers library gives them without special tokens."""
+    """The ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``. A special token's name that stands
+    in a text is text like any other, or with ``special_in_text``, the library's default, that token."""
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, special_in_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_in_text
         self.tokenizer.model._resize_cache(0)  # the table sees to it that no chunk comes twice
         self.table = HashedIdTable(self._segment)
-        self.splits = splits_at_space(tokenizer_json)
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (special_in_text or not t.special)]
+        # where white space may be part of a token, texts aren't cut at it
+        self.splits = splits_at_space(tokenizer_json) and not any(_SPACES & set(t.content) for t in added)
+        self.added = [t.content.encode() for t in added] if self.splits else []
         vocabulary = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, number in vocabulary.items():  # byte-level: a character of a token stands for a byte
@@ -82,7 +86,21 @@ class TextEncoder:
         return ids, sizes
 
     def encode(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (as UTF-8) one after another, and each text's number of ids."""
+        """The ids of all texts (as UTF-8) one after another, and each text's number of ids. Texts with an added token in them go
+        through the library whole."""
+        whole = [i for i, d in enumerate(documents) if any(t in d for t in self.added)]
+        if not whole:
+            return self._encode_chunks(documents)
+        rest = list(documents)
+        for i in whole:
+            rest[i] = b""
+        ids, sizes = self._encode_chunks(rest)
+        own, counts = flatten([e.ids for e in self.tokenizer.encode_batch_fast([documents[i].decode() for i in whole], add_special_tokens=False)])
+        places = np.repeat(np.cumsum(sizes)[whole], counts)
+        sizes[whole] = counts
+        return np.insert(ids, places, own), sizes
+
+    def _encode_chunks(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(documents)
         lengths = np.fromiter(map(len, documents), np.int64, len(documents))
         text_ends = np.cumsum(lengths)
@@ -257,7 +275,8 @@ FORMAT = "part int, shard int, n_ids long, terminals int, rules binary, lengths
 
 
 def write_store(
-    docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS
+    docs: DataFrame, path: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS,
+    special_in_text: bool = False,
 ) -> None:
     """Encode every document of ``docs``, append ``end_id`` to each, and write the ids to ``path`` in ascending order of the key.
 
@@ -266,7 +285,8 @@ def write_store(
     the shard's place (``part``, ``shard``), by which shards are in the order of their documents.
 
     Null and empty texts have the end id alone. Null keys come first; rows of one key are in the order of a hash of the text, and a key
-    with many rows is dealt out by it. An empty table makes a store without rows. Other columns are not looked at.
+    with many rows is dealt out by it. ``special_in_text``: whether the name of a special token in a text gives that token, as with the
+    library's defaults, or the ids of its letters. An empty table makes a store without rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).alias("key"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
     key_type = docs.select(doc_id).schema[0].dataType.simpleString()
@@ -275,9 +295,9 @@ def write_store(
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
 
     def run(batches):
-        source = shared.value
+        source = shared.value, special_in_text
         if source not in _tokenizers:
-            _tokenizers[source] = TextEncoder(source)
+            _tokenizers[source] = TextEncoder(*source)
         encoder, part = _tokenizers[source], TaskContext.get().partitionId()
         terminals = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         ids, keys, sizes, held, number = [], [], [], 0, 0

@@ -72,3 +72,14 @@ def test_awkward_rows(spark, awkward, none_at_all, library, tmp_path, shard_ids)
     assert R.read_range(spark, path, first.part, first.shard, 3, 9) == every[: first.n_ids][3:9]
     R.write_store(none_at_all, path + "-none", source, 2)
     assert R.read_store(spark, path + "-none").collect() == []
+
+
+def test_query_reads_added_tokens_as_the_untouched_library(spark, tmp_path):
+    token = "<|endoftext|>"
+    texts = [f"a {token} b", token, f"x{token}{token}\n y", "plain text, as before", "", None, f"<|endof text|> {token[:-1]}", f"é {token}\u3000 'll"]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    untouched = Tokenizer.from_str(tokenizer_file(VOCABULARY).decode())
+    library = lambda text: untouched.encode(text or "", add_special_tokens=False).ids
+    assert library(texts[0]) == [64, 220, 50256, 275]
+    check(op6_repair_store(spark, str(tmp_path)).collect(), docs, library)
