@@ -63,7 +63,7 @@ def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

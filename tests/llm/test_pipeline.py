@@ -32,3 +32,20 @@ def test_stages_take_awkward_and_empty_tables(spark, awkward, none_at_all):
             assert out.count() <= table.count()
             if number + 1 < len(P.STAGES):
                 assert out.columns == table.columns
+
+
+def test_stage_links_from_four_fifths_on(spark):
+    """A pair with a similarity between 0.80 and 0.85 is linked, one below isn't."""
+    base = [f"w{i}" for i in range(100)]
+    # n words added to 96 shingles: similarities of 96/96+n
+    documents = [(10 * g + k, " ".join([f"g{g}", *base, *(f"x{g}.{i}" for i in range(k * n))])) for g, n in enumerate([20, 24, 25, 30]) for k in (0, 1)]
+    documents = [(i, " ".join(w if w[0] in "gx" else f"{i // 10}{w}" for w in t.split())) for i, t in documents]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    kept = {r.doc_id for r in P.remove_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i, _, c in components(documents, percent=80) if i == c} != {i for i, _, c in components(documents) if i == c}
+
+
+def test_bands_follow_the_limit():
+    from lodestone.llm.near_dedup import bands_for
+
+    assert (bands_for(85), bands_for(80), bands_for(100)) == (25, 37, 1)
