@@ -20,9 +20,13 @@ from lodestone.materialize import materialize
 
 #: Most words whose counts every task holds; the counts of all others are joined.
 HEAD_WORDS = 200_000
-#: The most frequent words, which clustering assigns to classes; all others have a class by their shape.
+#: The core: the most frequent words, which exchange clustering assigns to classes on the driver.
 CLUSTERED, CLASSES = 2_048, 96
 EXCHANGE_ROUNDS = 6
+#: Every further word that occurs so often joins the core's class that suits its neighbours best; rarer ones have a class by their shape.
+LEARNED_FROM = 5
+#: Contexts that a task holds before it hands them on, and further words whose classes are tried at once.
+HELD_CONTEXTS, TRIED_WORDS = 1 << 21, 256
 #: Added to a word's count, and the weight of the classes' own frequencies beside a class's successors.
 WORD_PRIOR, CLASS_PRIOR = 0.1, 5.0
 #: Distinct words that a task counts before it hands them on.
@@ -133,6 +137,124 @@ def _symbols(texts: list[list[bytes]], known: dict[bytes, int], end: int) -> np.
     return ids
 
 
+def count_contexts(train: DataFrame, symbols: Symbols, classes: np.ndarray, text: str = "text") -> DataFrame:
+    """Rows ``(word, code, n)`` for all words besides the clustered ones: how often a class stands before the word (``code`` is the class) or
+    after it (the class plus the number of classes). Tasks sum up before the shuffle."""
+    shared = train.sparkSession.sparkContext.broadcast((symbols, classes))
+    size = int(classes.max()) + 1
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own, of = shared.value
+        known = {w: i for i, w in enumerate(own.clustered)}
+        numbers: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def rows():
+            keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            words = pa.array(list(numbers), pa.binary()).take(pa.array(keys // (2 * size)))
+            return pa.RecordBatch.from_arrays([words, pa.array((keys % (2 * size)).astype(np.int32)), pa.array(n)], names=["word", "code", "n"])
+
+        for part in text_slices(batches):
+            texts = [words_of(b) for b in raw_texts(part.column("text"))]
+            ids = _symbols(texts, known, own.end)
+            every = [END, *(w for words in texts for w in (*words, END))]
+            at = np.flatnonzero(ids > own.end)
+            word = np.fromiter((numbers.setdefault(every[i], len(numbers)) for i in at.tolist()), np.int64, len(at)) * (2 * size)
+            held += [word + of[ids[at - 1]], word + size + of[ids[at + 1]]]
+            waiting += 2 * len(at)
+            if waiting > HELD_CONTEXTS or len(numbers) > COUNTED_WORDS:
+                yield rows()
+                numbers.clear()
+                held.clear()
+                waiting = 0
+        yield rows()
+
+    partial = map_batches(train.select(F.col(text).alias("text")), run, "word binary, code int, n long")
+    return partial.groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def learn_classes(contexts: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
+    """Rows ``(word, cls)`` for the words with ``LEARNED_FROM`` occurrences: that of the first ``classes`` classes with which the likelihood of
+    the class bigrams gains most by the word's own neighbours. ``pairs`` are the bigrams of all classes; a word has at most two contexts for each."""
+    size = len(pairs)
+    shared = contexts.sparkSession.sparkContext.broadcast(pairs.astype(np.float64))
+    after = F.col("code") >= size
+    own = contexts.groupBy("word").agg(F.sum(F.when(after, F.col("n")).otherwise(F.lit(0))).alias("total"), F.collect_list(F.struct("code", "n")).alias("own"))
+    own = own.filter(F.col("total") >= LEARNED_FROM).select("word", "total", F.col("own.code").alias("codes"), F.col("own.n").alias("times"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        bigrams = shared.value
+        # rows by context: what each class has before and after it
+        table = np.concatenate([bigrams[:, :classes], bigrams[:classes].T])
+        left, right = bigrams.sum(axis=1)[:classes], bigrams.sum(axis=0)[:classes]
+        x_log_x = lambda x: x * np.log(np.maximum(x, 1))
+        for batch in batches:
+            for part in (batch.slice(i, TRIED_WORDS) for i in range(0, batch.num_rows, TRIED_WORDS)):
+                codes = part.column("codes").flatten().to_numpy()
+                times = part.column("times").flatten().to_numpy().astype(np.float64)
+                sizes = np.array([len(c) for c in part.column("codes")])
+                there = table[codes]
+                gain = np.add.reduceat(x_log_x(there + times[:, None]) - x_log_x(there), np.cumsum(sizes) - sizes, axis=0)
+                n = part.column("total").to_numpy().astype(np.float64)[:, None]
+                gain -= x_log_x(left + n) - x_log_x(left) + x_log_x(right + n) - x_log_x(right)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(gain.argmax(axis=1).astype(np.int32))], names=["word", "cls"])
+
+    return map_batches(own, run, "word binary, cls int")
+
+
+def count_class_pairs(train: DataFrame, words: list[bytes], classes: np.ndarray, end: int, shapes: np.ndarray, size: int, rest: DataFrame, text: str = "text") -> np.ndarray:
+    """How often each class follows each other one. ``classes`` are those of ``words``, which every task holds; pairs with another word are joined
+    with ``rest(word, cls)``, and have the class of its shape if it has none there."""
+    shared = train.sparkSession.sparkContext.broadcast((words, classes))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own, of = shared.value
+        known = dict(zip(own, of.tolist(), strict=True))
+        known[END] = end
+        counts = np.zeros(size * size, np.int64)
+        others: Counter[tuple] = Counter()
+
+        def rows():
+            left_word, left, right_word, right = zip(*others, strict=True) if others else ((), (), (), ())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(left_word, pa.binary()), pa.array(left, pa.int32()), pa.array(right_word, pa.binary()), pa.array(right, pa.int32()),
+                    pa.array(list(others.values()), pa.int64()),
+                ],
+                names=["left_word", "left", "right_word", "right", "n"],
+            )
+
+        for part in text_slices(batches):
+            every = [END, *(w for b in raw_texts(part.column("text")) for w in (*words_of(b), END))]
+            ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+            sure = (ids[:-1] >= 0) & (ids[1:] >= 0)
+            counts += np.bincount(ids[:-1][sure] * size + ids[1:][sure], minlength=size * size)
+            for i in np.flatnonzero(~sure).tolist():
+                ends = []
+                for k in (i, i + 1):
+                    ends += (None, int(ids[k])) if ids[k] >= 0 else (every[k], int(shapes[shape_of(every[k])]))
+                others[tuple(ends)] += 1
+            if len(others) > COUNTED_WORDS:
+                yield rows()
+                others.clear()
+        for at in np.flatnonzero(counts).tolist():
+            others[None, at // size, None, at % size] += int(counts[at])
+        yield rows()
+
+    schema = "left_word binary, left int, right_word binary, right int, n long"
+    found = materialize(map_batches(train.select(F.col(text).alias("text")), run, schema), "class_pairs")
+    learned = rest.filter(F.col("cls").isNotNull()).select(F.col("word").alias("of"), "cls")
+    for side in ("left", "right"):
+        word = F.col(f"{side}_word")
+        looked_up = found.filter(word.isNotNull()).join(learned, word == F.col("of"), "left").withColumn(side, F.coalesce("cls", side)).drop("of", "cls")
+        found = looked_up.unionByName(found.filter(word.isNull()))
+    pairs = np.zeros((size, size))
+    summed = found.groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    pairs[summed.column("left").to_numpy(), summed.column("right").to_numpy()] = summed.column("n").to_numpy()
+    return pairs
+
+
 def exchange(transitions: np.ndarray, words: int, classes: int = CLASSES, rounds: int = EXCHANGE_ROUNDS) -> np.ndarray:
     """A class for each symbol: the first ``words`` symbols, given by descending frequency, are assigned to ``classes`` classes, and every
     other symbol keeps a class of its own. Each word in turn moves to the class with which the likelihood of the class bigrams is
@@ -180,12 +302,13 @@ def exchange(transitions: np.ndarray, words: int, classes: int = CLASSES, rounds
 
 @dataclass
 class ClassModel:
-    """What scoring needs in every task: the head words with their counts, and the classes' tables."""
+    """What scoring needs in every task: the head words with their counts and classes, and the classes' tables."""
 
     words: list[bytes]  # by descending count; the first ones are clustered
     counts: np.ndarray
     clustered: int
     classes: np.ndarray  # of the symbols
+    head_classes: np.ndarray  # of the words
     moves: np.ndarray  # log10 of a class's probability after a class
     totals: np.ndarray  # log10 of a class's smoothed number of tokens
     ends: int  # training texts
@@ -213,7 +336,11 @@ def head_threshold(counts: DataFrame, most: int = HEAD_WORDS) -> int:
 
 
 def train_model(train: DataFrame, text: str = "text") -> tuple[ClassModel, DataFrame]:
-    """The model of all texts of ``train``, and the counts ``(word, n)`` of the words that it doesn't hold."""
+    """The model of all texts of ``train``, and the counts and learned classes ``(word, n, cls)`` of the words that it doesn't hold; ``cls`` is null for
+    words with the class of their shape.
+
+    The core's classes come from exchange clustering on the driver. Every other word with ``LEARNED_FROM`` occurrences joins the class of highest gain, in
+    tasks, by its own neighbours; these are summed up in a table that grows with the input. Then the class bigrams are counted by the classes of all words."""
     counts = materialize(count_words(train, text), "word_counts")
     tokens, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     ends = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
@@ -221,30 +348,39 @@ def train_model(train: DataFrame, text: str = "text") -> tuple[ClassModel, DataF
     head = [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= least).collect()]  # HEAD_WORDS rows at most
     head = sorted((w for w in head if w[0] != END), key=lambda x: (-x[1], x[0]))
     symbols = Symbols([w for w, _ in head[:CLUSTERED]])
+    core = len(symbols.clustered)
     transitions = count_transitions(train, symbols, text)
-    classes = exchange(transitions, len(symbols.clustered))
+    classes = exchange(transitions, core)
     size = int(classes.max()) + 1
-    sums = np.zeros((size, len(classes)))
-    np.add.at(sums, classes, transitions)
     pairs = np.zeros((size, size))
-    np.add.at(pairs.T, classes, sums.T)
+    np.add.at(pairs, (classes[:, None], classes[None, :]), transitions)
+    learned = learn_classes(count_contexts(train, symbols, classes, text), pairs, min(CLASSES, max(1, core)))
+    learned = learned.withColumnRenamed("word", "of")
+    counts = materialize(counts.join(learned, F.col("word") == F.col("of"), "left").select("word", "n", "cls"), "word_classes")
+    rest = counts.filter((F.col("n") < least) & (F.col("word") != F.lit(END)))
+    known = {bytes(r.word): r.cls for r in counts.filter((F.col("n") >= least) & F.col("cls").isNotNull()).select("word", "cls").collect()}
+    shapes = classes[symbols.end + 1 :]
+    others = [known[w] if w in known else shapes[shape_of(w)] for w, _ in head[core:]]
+    head_classes = np.concatenate([classes[:core], np.array(others, np.int64)])
+    pairs = count_class_pairs(train, [w for w, _ in head], head_classes, int(classes[symbols.end]), shapes, size, rest, text)
     # a class's successors, smoothed with the classes' frequencies and those with a uniform share
     share = (pairs.sum(axis=0) + 1) / (pairs.sum() + size)
     moves = np.log10((pairs + CLASS_PRIOR * share) / (pairs.sum(axis=1, keepdims=True) + CLASS_PRIOR))
-    # words of each class: clustered ones are known, those with a shape are counted in the table
-    words = np.bincount(classes[: len(symbols.clustered)], minlength=size).astype(float)
+    # words of each class: clustered ones are known, the others are counted in the table
+    words = np.bincount(classes[:core], minlength=size).astype(float)
     words[classes[symbols.end]] = 1
-    shapes = _words_by_shape(counts, symbols, text)
-    words[classes[symbols.end + 1 :]] = shapes
+    for row in counts.filter(F.col("cls").isNotNull()).groupBy("cls").count().collect():
+        words[row["cls"]] += row["count"]
+    words[shapes] = _words_by_shape(counts.filter(F.col("cls").isNull()), symbols, text)
     totals = np.log10(pairs.sum(axis=0) + WORD_PRIOR * (words + 1))
     model = ClassModel(
-        [w for w, _ in head], np.array([n for _, n in head], np.float64), len(symbols.clustered), classes, moves, totals, ends, int(tokens or 0), int(distinct)
+        [w for w, _ in head], np.array([n for _, n in head], np.float64), core, classes, head_classes, moves, totals, ends, int(tokens or 0), int(distinct)
     )
-    return model, counts.filter((F.col("n") < least) & (F.col("word") != F.lit(END)))
+    return model, rest
 
 
 def _words_by_shape(counts: DataFrame, symbols: Symbols, text: str) -> np.ndarray:
-    """How many distinct words of each shape there are besides the clustered ones."""
+    """How many distinct words of each shape ``counts`` has besides the clustered ones."""
     known = frozenset(symbols.clustered)
 
     def run(batches):
@@ -266,14 +402,18 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
 
     ``score`` is the log10 probability of the text's words and its end: for each, the probability of its class after the class before
     times the word's share of its class. ``base_score`` is the same by the words' smoothed frequencies alone. A task knows the counts of the head
-    words; the distinct other words of each text are joined with ``rest``, and what they add is summed up by text.
+    words; the distinct other words of each text are joined with ``rest``, and what they add by their counts and classes is summed up by text.
 
     A null or empty text has the end alone. Repeated rows give repeated results, an empty table no rows; other columns are not looked at.
     Without any training text the model is uniform over one unknown word for each class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = docs.select(F.col(doc_id).alias("key"))
-    ddl = "row long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
+    ddl = (
+        "row long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>, "
+        # for each other word its shape's class; for each place of one: which word it is, and the classes beside it, or -1 for another such word
+        "shapes array<int>, which array<int>, before array<int>, after array<int>"
+    )
     schema = StructType([*key.schema.fields, *StructType.fromDDL(ddl).fields])
 
     def run(batches):
@@ -283,16 +423,14 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
         end_class = m.classes[end]
         logs = np.log10(m.counts + WORD_PRIOR)
         end_count = float(m.ends)
-        # class of each head word; then of the end and of every shape
-        head_class = np.array([m.classes[i] if i < m.clustered else m.classes[end + 1 + shape_of(w)] for i, w in enumerate(m.words)], np.int64)
         for part in text_slices(batches):
             lists = [words_of(b) for b in raw_texts(part.column("text"))]
             every = [w for words in lists for w in (*words, END)]
             ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
             ends = np.cumsum(np.fromiter((len(w) + 1 for w in lists), np.int64, len(lists)))
             starts = np.concatenate([[0], ends[:-1]])
-            of = np.zeros(len(every), np.int64)
-            of[ids >= 0] = head_class[ids[ids >= 0]]
+            of = np.full(len(every), -1, np.int64)
+            of[ids >= 0] = m.head_classes[ids[ids >= 0]]
             gain = np.zeros(len(every))
             gain[ids >= 0] = logs[ids[ids >= 0]]
             known_here = (ids >= 0).astype(np.int64)
@@ -300,18 +438,23 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
             others = ids < 0
             others[ends - 1] = False
             at = np.flatnonzero(others)
-            of[at] = m.classes[end + 1 + np.fromiter((shape_of(every[i]) for i in at.tolist()), np.int64, len(at))]
             before = np.concatenate([[end_class], of[:-1]])
             before[starts] = end_class
+            after = np.append(of[1:], end_class)
             base = np.add.reduceat(gain, starts)
-            score = np.add.reduceat(gain + m.moves[before, of] - m.totals[of], starts)
-            words, times = [], []
+            sure = of >= 0
+            moves = np.where(sure & (before >= 0), m.moves[before, of], 0.0) - np.where(sure, m.totals[of], 0.0)
+            score = np.add.reduceat(gain + moves, starts)
+            words, times, shapes, which = [], [], [], []
             bounds = np.searchsorted(at, np.append(starts, len(every)))
             listed = [every[i] for i in at.tolist()]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 counts = Counter(listed[a:b])
                 words.append(list(counts.keys()))
                 times.append(list(counts.values()))
+                shapes.append([int(m.classes[end + 1 + shape_of(w)]) for w in counts])
+                places = {w: i for i, w in enumerate(counts)}
+                which.append([places[w] for w in listed[a:b]])
             sizes = ends - starts
             yield pa.RecordBatch.from_arrays(
                 [
@@ -323,6 +466,8 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
                     pa.array(score),
                     pa.array(words, pa.list_(pa.binary())),
                     pa.array(times, pa.list_(pa.int64())),
+                    *(pa.array(x, pa.list_(pa.int32())) for x in (shapes, which)),
+                    *(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x[at], pa.int32())) for x in (before, after)),
                 ],
                 names=schema.names,
             )
@@ -330,23 +475,46 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
 
     rows = map_batches(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")), run, schema)
     rows = materialize(rows, "scored")
-    listed = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
-    listed = listed.select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    found = listed.join(rest.select(F.col("word").alias("of"), "n"), F.col("word") == F.col("of"), "left")
+    listed = rows.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("pos", "x"))
+    listed = listed.select("row", "pos", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    found = listed.join(rest.select(F.col("word").alias("of"), "n", "cls"), F.col("word") == F.col("of"), "left")
     count = F.coalesce("n", F.lit(0))
     added = found.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(count + F.lit(WORD_PRIOR))).alias("more"),
         F.sum(F.when(count > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"),
+        F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("pos", "cls"))).alias("learned"),
     )
     joined = rows.drop("words", "times").join(added.withColumnRenamed("row", "of_row"), F.col("row") == F.col("of_row"), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select(
-        F.col("key").alias(doc_id),
+    more, nothing = F.coalesce("more", F.lit(0.0)), F.array().cast("array<int>")
+    joined = joined.select(
+        "key",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
         (F.col("score") + more).alias("score"),
+        *("shapes", "which", "before", "after"),
+        F.coalesce("learned.pos", nothing).alias("pos"),
+        F.coalesce("learned.cls", nothing).alias("cls"),
+    )
+    whole = StructType([*key.schema.fields, *StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
+
+    def with_classes(batches):
+        m: ClassModel = shared.value
+        for batch in batches:
+            flat = {k: batch.column(k).flatten().to_numpy().astype(np.int64) for k in ("shapes", "which", "before", "after", "pos", "cls")}
+            sizes = {k: batch.column(k).value_lengths().to_numpy() for k in ("shapes", "which", "pos")}
+            first = np.cumsum(sizes["shapes"]) - sizes["shapes"]
+            of_word = flat["shapes"].copy()
+            of_word[np.repeat(first, sizes["pos"]) + flat["pos"]] = flat["cls"]
+            of = of_word[np.repeat(first, sizes["which"]) + flat["which"]]
+            before = np.where(flat["before"] >= 0, flat["before"], np.append(of[:1], of[:-1]))
+            moves = m.moves[before, of] - m.totals[of] + np.where(flat["after"] >= 0, m.moves[of, flat["after"]], 0.0)
+            more = np.bincount(np.repeat(np.arange(batch.num_rows), sizes["which"]), moves, batch.num_rows)
+            score = batch.column("score").to_numpy() + more
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score)], names=whole.names)
+
+    return map_batches(joined, with_classes, whole).select(
+        F.col("key").alias(doc_id), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

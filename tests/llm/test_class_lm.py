@@ -75,3 +75,31 @@ def test_awkward_rows(spark, awkward, none_at_all):
     assert C.score_corpus(none_at_all).collect() == []
     nobody = awkward.filter("doc_id is null")
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in C.score_corpus(nobody).collect())
+
+
+def test_words_beyond_the_core_have_learned_classes(spark, monkeypatch):
+    """Words of two kinds alternate and have one shape: with few of them in the core the others fall into the classes of their kinds."""
+    monkeypatch.setattr(C, "CLUSTERED", 12)
+    monkeypatch.setattr(C.exchange, "__defaults__", (2, C.EXCHANGE_ROUNDS))
+    monkeypatch.setattr(C, "CLASSES", 2)
+    rng = np.random.default_rng(3)
+    names = [chr(97 + i) * 2 + "x" for i in range(24)]
+    texts = [" ".join(names[2 * rng.integers(0, 12) + k % 2] for k in range(40)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "once"], 1)), "doc_id long, text string")
+    model, rest = C.train_model(docs)
+    of = dict(zip(model.words, model.head_classes.tolist(), strict=True))
+    assert model.clustered == 12 and len(of) == 25 and rest.count() == 0
+    assert len({(i % 2, of[n.encode()]) for i, n in enumerate(names)}) == 2
+    assert of[b"once"] == model.classes[model.clustered + 1 + C.shape_of(b"once")] >= 2
+
+
+def test_joined_words_count_as_held_ones(spark, monkeypatch):
+    """The same scores whether tasks hold the further words or these are joined."""
+    monkeypatch.setattr(C, "CLUSTERED", 40)
+    scores = []
+    for head in (C.HEAD_WORDS, 60):
+        monkeypatch.setattr(C.head_threshold, "__defaults__", (head,))
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in op4_class_bigrams(spark, SF).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    for i, one in scores[0].items():
+        assert one == pytest.approx(scores[1][i], rel=1e-9)
