@@ -93,7 +93,8 @@ def _compare(pivot: int, left: dict, right: dict | None, least: float, shared: i
     member[np.arange(n)[:, None], column.reshape(n, -1)] = 1
     counts = member @ member.T
     below = member[:, names < pivot]
-    retrieved = (counts >= shared) & (below @ below.T == 0)
+    # where fewer reference points were drawn than have to be shared, all of them are
+    retrieved = (counts >= min(shared, both["pivots"].shape[1])) & (below @ below.T == 0)
     rows = both["rows"]
     linked = retrieved & (rows @ rows.T >= least)
     np.fill_diagonal(linked, False)

@@ -69,3 +69,13 @@ def test_awkward_rows(spark):
     ]
     assert found(P.near_duplicate_vectors(table(spark, rows))) == brute(rows)
     assert P.near_duplicate_vectors(table(spark, rows).filter("false")).collect() == []
+
+
+def test_dimension_with_one_reference_point(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=3)
+    rows = [(i, (base + rng.normal(size=3) * 0.02 * (i % 4)).tolist(), 1) for i in range(12)]
+    monkeypatch.setattr(P, "choose_pivots", lambda nodes, n: {3: P.unit_rows(P.pa.array([rows[5][1]], P.pa.list_(P.pa.float64())))})
+    table_ = table(spark, rows)
+    want = brute([(r.vec_id, r.embedding, r.label) for r in table_.collect()])
+    assert any(n for _, n, _ in want) and found(P.near_duplicate_vectors(table_)) == want
