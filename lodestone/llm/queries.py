@@ -13,6 +13,7 @@ from lodestone.llm.class_lm import score_corpus
 from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.language_id import identify_languages, learnable, train
 from lodestone.llm.longest_match import count_pieces
+from lodestone.llm.main_text import extract_main_text
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.pivot_index import near_duplicate_vectors
 from lodestone.llm.repair_store import read_store, write_store
@@ -107,6 +108,10 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_network": op1_byte_network,
     "op2_wu_manber": op2_wu_manber,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_pivot_index": op9_pivot_index,
     "op10_chunk_table": op10_chunk_table,
+    "op13_tree_scoring": op13_tree_scoring,
 }
 
 ORACLES: dict[str, str] = {
