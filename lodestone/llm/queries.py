@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.chunk_codec import encode_and_decode
 from lodestone.llm.class_lm import score_corpus
 from lodestone.llm.decontaminate import find_contamination, hit_words
+from lodestone.llm.filter_audit import audit_filters
 from lodestone.llm.language_id import identify_languages, learnable, train
 from lodestone.llm.longest_match import count_pieces
 from lodestone.llm.main_text import extract_main_text
@@ -108,6 +109,10 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_term_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_pivot_index": op9_pivot_index,
     "op10_chunk_table": op10_chunk_table,
+    "op12_term_matrix": op12_term_matrix,
     "op13_tree_scoring": op13_tree_scoring,
 }
 
@@ -149,5 +155,37 @@ SELECT page_id, host, path, rule, CASE
   WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op12_term_matrix": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), judged AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS failed
+  FROM words
+), own AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN own USING (doc_id) GROUP BY part, failed
+), letters(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND (p.b | q.b | r.b | s.b | t.b) = 31
+), places AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, range(1, 6) AS steps(step)
+)
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN (failed & (before | bit)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN (failed & bit) > 0 AND (failed & before) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN (failed & bit) > 0 AND (failed & before) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN (failed & bit) > 0 AND (failed & before) = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN (failed & bit) > 0 AND (failed & before) = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN (failed & bit) > 0 THEN n * (120 // bit_count(failed)) ELSE 0 END) AS BIGINT) AS shapley
+FROM counts, places GROUP BY part, filter_order, step
 """,
 }
