@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.chunk_codec import encode_and_decode
 from lodestone.llm.class_lm import score_corpus
+from lodestone.llm.collocations import collocations
 from lodestone.llm.decontaminate import find_contamination, hit_words
 from lodestone.llm.filter_audit import audit_filters
 from lodestone.llm.language_id import identify_languages, learnable, train
@@ -30,6 +31,8 @@ URL_RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
+#: Phrases that the collocation query gives for each language.
+PHRASES = 2_000
 #: Host labels whose pages make up the list of keys in the url query.
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
@@ -109,6 +112,11 @@ def op10_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations(table(spark, sf_dir, "documents"), PHRASES)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_term_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -128,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_pivot_index": op9_pivot_index,
     "op10_chunk_table": op10_chunk_table,
+    "op11_phrase_index": op11_phrase_index,
     "op12_term_matrix": op12_term_matrix,
     "op13_tree_scoring": op13_tree_scoring,
 }
@@ -155,6 +164,39 @@ SELECT page_id, host, path, rule, CASE
   WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op11_phrase_index": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS sizes(k) WHERE len(w) >= k
+  )
+), counted AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counted WHERE k > 1 AND f >= 100
+), inside AS (
+  SELECT DISTINCT s.lang, inner_phrase AS phrase FROM (
+    SELECT c.lang, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) AS inner_phrase, a FROM candidates c WHERE k > 2
+  ) x JOIN candidates s ON s.lang = x.lang AND s.phrase = inner_phrase AND 100 * x.a >= 100 * s.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, array_to_string(w[1 : cut], ' ') AS first, array_to_string(w[cut + 1 : k], ' ') AS rest
+  FROM candidates c, range(1, 5) AS cutting(cut) WHERE cut < k AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, p.f AS l, q.f AS r, n, 1000 * CAST(c.a AS HUGEINT) * n // (CAST(p.f AS HUGEINT) * q.f) AS score
+  FROM cuts c JOIN counted p ON p.lang = c.lang AND p.phrase = first JOIN counted q ON q.lang = c.lang AND q.phrase = rest JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
 """,
     "op12_term_matrix": r"""
 WITH words AS (
