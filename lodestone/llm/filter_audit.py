@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.term_matrix import document_term_matrix, row_sums
+from lodestone.llm.term_matrix import count_bytes, document_term_matrix, row_sums
 from lodestone.materialize import materialize
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT_PERCENT, MOST_CAPITALS_PERCENT = 200, 50, 2
-SYMBOLS = "#$%&*|"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = b"#$%&*|"
+
+_BYTES = np.arange(256)
+MEASURES = {
+    "capitals": count_bytes((_BYTES >= 65) & (_BYTES <= 90)),
+    "symbols": count_bytes(np.isin(_BYTES, list(SYMBOLS))),
+    "code_points": count_bytes((_BYTES & 0xC0) != 0x80),
+}
 
 
 def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
@@ -23,21 +30,21 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A and B come from the row sums and the numbers of pairs of the document-term matrix, C and D from the text; E from the least id of each text.
     A null text counts as empty, a null part as the empty string; a null id as larger than all others. Rows of one id with one text are no copies of each other.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    capitals = F.char_length(body) - F.char_length(F.translate(body, _CAPITALS, ""))
-    many_capitals = 100 * capitals > MOST_CAPITALS_PERCENT * F.char_length(body)
-    has_symbols = F.char_length(F.translate(body, SYMBOLS, "")) < F.char_length(body)
     carried = {
         "key": F.col(doc_id),
         "part": F.coalesce(F.col(part).cast("string"), F.lit("")),
-        "node": F.unhex(F.sha2(body, 256)),
-        "flags": F.when(many_capitals, 4).otherwise(0) + F.when(has_symbols, 8).otherwise(0),
+        "node": F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)),
     }
-    _, matrix = document_term_matrix(docs, carried, text)
-    rows = row_sums(matrix, list(carried))
-    few = F.when(F.col("n_words") < LEAST_WORDS, 1).otherwise(0)
-    repeated = F.when(100 * F.col("n_distinct") < LEAST_DISTINCT_PERCENT * F.col("n_words"), 2).otherwise(0)
-    rows = materialize(rows.withColumn("flags", F.col("flags") + few + repeated), "judged")
+    _, matrix = document_term_matrix(docs, carried, text, MEASURES)
+    rows = row_sums(matrix, [*carried, *MEASURES])
+    fails = [
+        F.col("n_words") < LEAST_WORDS,
+        100 * F.col("n_distinct") < LEAST_DISTINCT_PERCENT * F.col("n_words"),
+        100 * F.col("capitals") > MOST_CAPITALS_PERCENT * F.col("code_points"),
+        F.col("symbols") > 0,
+    ]
+    flags = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
+    rows = materialize(rows.withColumn("flags", flags).drop(*MEASURES), "judged")
     first = rows.groupBy("node").agg(F.min("key").alias("least")).withColumnRenamed("node", "of")
     # joined by text and id: copies of a text, however many, spread over all tasks
     found = rows.join(first, (F.col("node") == F.col("of")) & F.col("key").eqNullSafe(F.col("least")), "left")

@@ -2,11 +2,12 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm.filter_audit import audit_filters, judge_documents
-from lodestone.llm.term_matrix import document_term_matrix, row_sums
+from lodestone.llm.term_matrix import count_bytes, document_term_matrix, row_sums
 
 from .conftest import LONG
 
@@ -95,20 +96,24 @@ def test_copies_by_smaller_id(spark):
     assert got == sorted([(3, True), (1, False), (1, False), (None, True), (None, False), (None, False), (4, False), (5, True), (6, False)], key=str)
 
 
-def test_matrix(spark, monkeypatch):
-    """The matrix holds each document's words once, with their counts, under the dictionary's ids; shards of any size are equal."""
+@pytest.mark.parametrize("bits, shard_bytes", [(62, 1 << 24), (62, 300), (2, 300)])
+def test_matrix(spark, bits, shard_bytes):
+    """The matrix holds each document's words once, with their counts, under the dictionary's ids, whatever the shards' size, and also if hashes are shared."""
     texts = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i))) for i in range(40)] + [(90, LONG), (91, None), (92, "a A a")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    dictionary, matrix = document_term_matrix(docs, {"key": F.col("doc_id")})
+    size = {"size": count_bytes(np.ones(256, bool))}
+    dictionary, matrix = document_term_matrix(docs, {"key": F.col("doc_id")}, measures=size, shard_bytes=shard_bytes, hash_bits=bits)
+    assert (matrix.count() > 4) == (shard_bytes < 1_000)
     words = {r.id: bytes(r.word).decode() for r in dictionary.collect()}
-    assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
+    assert len(set(words.values())) == len(words) == dictionary.count()
     got = {}
     for shard in matrix.collect():
         at = 0
-        for key, size in zip(shard.key, shard.sizes, strict=True):
-            got[key] = {words[i]: n for i, n in zip(shard.ids[at : at + size], shard.counts[at : at + size], strict=True)}
+        for key, size, total in zip(shard.key, shard.sizes, shard["size"], strict=True):
+            got[key] = {words[shard.terms[c]]: n for c, n in zip(shard.columns[at : at + size], shard.counts[at : at + size], strict=True)}
+            assert total == len((dict(texts)[key] or "").encode())
             at += size
-        assert at == len(shard.ids) == len(shard.counts)
+        assert at == len(shard.columns) == len(shard.counts)
     assert got == {i: dict(Counter((t or "").split())) for i, t in texts}
     sums = {r.key: (r.n_words, r.n_distinct) for r in row_sums(matrix, ["key"]).collect()}
     assert sums == {i: (sum(own.values()), len(own)) for i, own in got.items()}
