@@ -1,8 +1,8 @@
 """Imports, exports, functions and module specifiers of source files, by language.
 
-One scan serves all languages: the extension picks the expression that cuts a text into pieces, the
-pieces are exploded, and the declarations of each piece are built from its own short text. The only
-shuffle is the final merge of repeated declarations, which partial aggregation shrinks first.
+One scan serves all languages and nothing is shuffled: the extension picks the expression that cuts a text into
+pieces, the declarations of each piece are built from its own short text, and repeated ones are merged, all inside
+the file's row. Specifiers alone have a path of their own, which builds no declarations.
 """
 
 from __future__ import annotations
@@ -14,29 +14,39 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...functions.arrays import bind
 from ...functions.paths import SCRIPT_EXTS
-from .common import DECL_COLUMNS, DECL_TYPE
+from .common import DECL_COLUMNS, DECL_TYPE, no_decls
 from .go import go, go_segments
 from .line_languages import (
     csharp, csharp_segments, java, java_segments, kotlin, kotlin_segments,
 )
 from .python import python, python_segments
 from .rust import rust, rust_segments
-from .script import script, script_segments
+from .script import script, script_segments, script_specifier
 
-Segments = Callable[[Column], Column]
+Segments = Callable[[Column, Column], Column]
 Declared = Callable[[Column, Column], Column]
 
+
+
+def _of_text(segments: Callable[[Column], Column]) -> Segments:
+    return lambda text, _ext: segments(text)
+
+
 LANGUAGES: dict[str, tuple[list[str], Segments, Declared]] = {
     "script": (SCRIPT_EXTS, script_segments, script),
-    "python": ([".py"], python_segments, python),
-    "rust": ([".rs"], rust_segments, rust),
-    "go": ([".go"], go_segments, go),
-    "java": ([".java"], java_segments, java),
-    "kotlin": ([".kt", ".kts"], kotlin_segments, kotlin),
-    "csharp": ([".cs"], csharp_segments, csharp),
+    "python": ([".py"], _of_text(python_segments), python),
+    "rust": ([".rs"], _of_text(rust_segments), rust),
+    "go": ([".go"], _of_text(go_segments), go),
+    "java": ([".java"], _of_text(java_segments), java),
+    "kotlin": ([".kt", ".kts"], _of_text(kotlin_segments), kotlin),
+    "csharp": ([".cs"], _of_text(csharp_segments), csharp),
 }
 
+#: Languages with an expression that gives a piece's specifier, or null, without its declarations.
+SPECIFIERS: dict[str, Callable[[Column], Column]] = {"script": script_specifier}
+
 
 def language(ext: Column, names: list[str] | None = None) -> Column:
     return reduce(
@@ -57,17 +67,38 @@ def _once(files: DataFrame, name: str, what: str, build: Callable[[], Column]) -
     return known[name, what]
 
 
-def _segments(files: DataFrame, name: str) -> Column:
-    return _once(files, name, "segments", lambda: LANGUAGES[name][1](F.col("content")))
+def _pieces(files: DataFrame, name: str) -> Column:
+    """All pieces of a file in order, each with the state of its segment."""
+
+    def build() -> Column:
+        segments = LANGUAGES[name][1](F.col("content"), F.col("ext"))
+        return F.flatten(
+            F.transform(
+                segments,
+                lambda s: F.transform(s["pieces"], lambda p: F.struct(s["state"].alias("state"), p.alias("piece"))),
+            )
+        )
+
+    return _once(files, name, "pieces", build)
 
 
 def _declared(files: DataFrame, name: str) -> Column:
-    return _once(
-        files,
-        name,
-        "declared",
-        lambda: LANGUAGES[name][2](F.col("piece"), F.col("state")).cast(f"array<{DECL_TYPE}>"),
-    )
+    def build() -> Column:
+        declare = LANGUAGES[name][2]
+        built = F.transform("pieces", lambda p: F.coalesce(declare(p["piece"], p["state"]).cast(f"array<{DECL_TYPE}>"), no_decls()))
+        return F.filter(F.flatten(built), lambda d: d.isNotNull())
+
+    return _once(files, name, "declared", build)
+
+
+def _specifiers(files: DataFrame, name: str) -> Column:
+    def build() -> Column:
+        if name in SPECIFIERS:
+            return F.array_compact(F.transform("pieces", lambda p: SPECIFIERS[name](p["piece"])))
+        found = F.filter(_declared(files, name), lambda d: d["section"] == "specifier")
+        return F.transform(found, lambda d: d["source"])
+
+    return _once(files, name, "specifiers", build)
 
 
 def _by_language(names: list[str], value: Callable[[str], Column]) -> Column:
@@ -80,41 +111,54 @@ def _by_language(names: list[str], value: Callable[[str], Column]) -> Column:
     )
 
 
-def _flat_pieces(segments: str) -> Column:
-    """All pieces of a file in order, each with the state of its segment."""
-    return F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.transform(s["pieces"], lambda p: F.struct(s["state"].alias("state"), p.alias("piece"))),
+def _chosen(languages: list[str] | None) -> list[str]:
+    names = list(languages or LANGUAGES)
+    if unknown := set(names) - set(LANGUAGES):
+        raise ValueError(f"unknown languages: {', '.join(sorted(unknown))}")
+    return names
+
+
+def _cut(files: DataFrame, names: list[str]) -> DataFrame:
+    """One row a file with all its pieces."""
+    exts = [e for name in names for e in LANGUAGES[name][0]]
+    cut = files.filter(F.col("ext").isin(exts)).select("corpus_id", "path", "ext", language(F.col("ext"), names).alias("lang"), "content")
+    return cut.select("corpus_id", "path", "lang", _by_language(names, lambda name: _pieces(files, name)).alias("pieces"))
+
+
+def _first_of_each(decls: Column) -> Column:
+    """The declarations without repeated ones, the first of each kept in its place. Keys are looked up as strings; only a file that does repeat
+    itself is sorted."""
+
+    def merged(held: Column) -> Column:
+        placed = F.transform(held["decls"], lambda d, i: F.struct(F.get(held["keys"], i).alias("key"), i.alias("at"), d.alias("d")))
+        fresh = bind(
+            F.array_sort(placed),
+            lambda ordered: F.filter(ordered, lambda x, i: (i == 0) | (x["key"] != F.get(ordered, i - 1)["key"])),
         )
+        firsts = F.array_sort(F.transform(fresh, lambda x: F.struct(x["at"].alias("at"), x["d"].alias("d"))))
+        return F.transform(firsts, lambda x: x["d"])
+
+    keys = lambda own: F.transform(own, lambda d: F.to_json(d))
+    return bind(
+        bind(decls, lambda own: F.struct(own.alias("decls"), keys(own).alias("keys"))),
+        lambda held: F.when(F.size(F.array_distinct(held["keys"])) == F.size(held["keys"]), held["decls"]).otherwise(merged(held)),
     )
 
 
+def _opened(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """A row for each element of an array, with its place. For a plain ``posexplode`` Spark infers a filter on the array's size, which it would
+    work out by building the whole array once more."""
+    return rows.select(*keys, F.posexplode_outer(column).alias("ord", name)).filter(F.col(name).isNotNull())
+
+
 def extract_all(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Distinct declarations and specifiers (``section`` import, export, function, specifier) per
     file; ``ord`` grows in first-seen order within a file."""
-    names = list(languages or LANGUAGES)
-    if unknown := set(names) - set(LANGUAGES):
-        raise ValueError(f"unknown languages: {', '.join(sorted(unknown))}")
-    exts = [e for name in names for e in LANGUAGES[name][0]]
+    names = _chosen(languages)
     keys = ["corpus_id", "path", "lang"]
-    segments = _by_language(names, lambda name: _segments(files, name))
-    pieces = (
-        files.filter(F.col("ext").isin(exts))
-        .select("corpus_id", "path", language(F.col("ext"), names).alias("lang"), "content")
-        .select(*keys, segments.alias("segments"))
-        .select(*keys, F.posexplode(_flat_pieces("segments")).alias("pos", "p"))
-        .select(*keys, "pos", "p.state", "p.piece")
-    )
-    declared = _by_language(names, lambda name: _declared(files, name))
-    # piece and declaration are places in arrays, so each fits in 31 bits
-    rows = (
-        pieces.select(*keys, "pos", F.posexplode(declared).alias("at", "d"))
-        .filter(F.col("d").isNotNull())
-        .select(*keys, (F.shiftleft(F.col("pos").cast("long"), 31) + F.col("at")).alias("ord"), "d.*")
-    )
-    same = [c for c in DECL_COLUMNS if c != "ord"]
-    return rows.groupBy(*same).agg(F.min("ord").alias("ord")).select(*DECL_COLUMNS)
+    decls = _by_language(names, lambda name: _declared(files, name))
+    rows = _cut(files, names).select(*keys, decls.alias("decls")).select(*keys, _first_of_each(F.col("decls")).alias("decls"))
+    return _opened(rows, keys, "decls", "d").select(*keys, F.col("ord").cast("long"), "d.*").select(*DECL_COLUMNS)
 
 
 def extract_declarations(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
@@ -123,11 +167,10 @@ def extract_declarations(files: DataFrame, languages: list[str] | None = None) -
 
 def extract_specifiers(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Distinct ``(corpus_id, path, ord, specifier)``, ``ord`` growing in first-seen order."""
-    return (
-        extract_all(files, languages)
-        .filter(F.col("section") == "specifier")
-        .select("corpus_id", "path", "ord", F.col("source").alias("specifier"))
-    )
+    names = _chosen(languages)
+    found = F.array_distinct(_by_language(names, lambda name: _specifiers(files, name)))
+    rows = _opened(_cut(files, names).select("corpus_id", "path", found.alias("found")), ["corpus_id", "path"], "found", "specifier")
+    return rows.select("corpus_id", "path", F.col("ord").cast("long").alias("ord"), "specifier")
 
 
 __all__ = [

@@ -4,8 +4,8 @@ Comments are removed first, with strings kept. The token expression then takes a
 import, an export, a declaration head, a call or an assignment at a time, so that code-like text
 inside a string is passed over. Each token is small and is classified on its own.
 
-Of the code inside template placeholders only module calls are seen. Not seen, for want of a syntax tree: quotes inside
-regular expression literals, apostrophes in markup text, and further names of one exported declaration.
+A text in which a quote or slash may mean something else (regular expressions, markup, nested templates), or a statement may declare several names, first goes
+through the scanner; others need not. Without it, of the code inside template placeholders only module calls are seen.
 """
 
 from __future__ import annotations
@@ -18,14 +18,10 @@ from .common import (
     DECL_TYPE, comma_items, decl, function, given, group, has, no_decls,
     one_segment, quoted_from, render_names, rx, specifier,
 )
+from .scanner import COMMENT, IDENTIFIER, STRING, needs_scan, plain_code
 
-_ID = r"[A-Za-z_$][\w$]*+"
+_ID, _STRING, _COMMENT = IDENTIFIER, STRING, COMMENT
 _TEXT = r"""(?:"[^"\n]++"|'[^'\n]++'|`[^`$\\]++`)"""
-_STRING = (
-    r"""(?:"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"""
-    r"""|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)"""
-)
-_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 _BRACED = r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"
 _FREE = r"(?<![\w$.])"
 # what may not stand before a function that is a declaration
@@ -37,15 +33,18 @@ _CALL = rf"(?:require|import)<s>*\(<s>*{_TEXT}<s>*(?:,[^()]*+)?\)"
 _WHOLE = r"(?!<s>*(?:[.(\[?!&|+*/<>=%^-]|(?:as|satisfies|instanceof|in)\b))"
 _PARAMS = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 _FUNCTION_VALUE = (
-    rf"(?:async\b<s>*)?(?:function\b|(?:<[^()=]*+><s>*)?{_PARAMS}<s>*(?::[^=;\n]*+)?=>|{_ID}<s>*=>)"
+    rf"(?:async\b<s>*)?(?:function\b|(?:<(?:[^()=<>]++|<[^()=<>]*+>)*+><s>*)?{_PARAMS}<s>*(?::[^=;\n]*+)?=>|{_ID}<s>*=>)"
 )
 _ANNOTATION = r"(?:<s>*!?<s>*:[^=;\n]*+(?:=>[^=;\n]*+)*+)?"
 
+# What a reference comment may name.
+_REFERENCES = ["path", "types", "lib"]
+
 _KEYWORDS = "import|export|const|let|var|declare|async|function|require|module|exports"
 
 _TOKENS = rx(
-    # one cheap look ahead before any alternative: a quote, a comma or a whole keyword
-    rf"(?=[\"'`,]|{_FREE}(?:{_KEYWORDS})\b)(?:{_STRING}"
+    # one cheap look ahead before any alternative: a quote or a whole keyword
+    rf"(?=[\"'`]|{_FREE}(?:{_KEYWORDS})\b)(?:{_STRING}"
     rf"|import<s>+(?:type<s>+)?{_ID}<s>*=<s>*require<s>*\(<s>*{_TEXT}<s>*\)"
     rf"|import<s>*(?:(?:type<s>+)?(?:{_ID}<s>*,?<s>*)?(?:\{{[^}}]*+\}}|\*<s>*as<s>+{_ID})?"
     rf"<s>*from<s>*)?{_TEXT}"
@@ -60,17 +59,18 @@ _TOKENS = rx(
     rf"|export<s>+default\b|export<s>*=(?![=>])"
     rf"|(?=async\b|function\b|declare\b){_NOT_VALUE}(?:declare<s>+)?(?:async<s>+)?"
     rf"function\b<s>*\*?<s>*{_ID}"
-    rf"|,<s>*{_ID}<s>*=<s>*{_CALL}{_WHOLE}"
     rf"|(?:require|import)<s>*\(<s>*{_TEXT}(?=<s>*[,)])"
     rf"|(?:module\.exports(?:\.[\w$]++)*+|exports(?:\.[\w$]++)++)<s>*=(?![=>]))"
 )
 
 
-def script_segments(raw: Column) -> Column:
+def script_segments(raw: Column, ext: Column) -> Column:
     """The tokens that declare something, in document order; file references come first."""
+    markup = ext != ".ts"
+    plain = F.when(needs_scan(raw, markup), plain_code(raw, markup)).otherwise(raw)
     # comments and white space outside strings become one character, so that one is enough to look back over
     gap = rf"(?:{_COMMENT}|<b>)"
-    code = F.regexp_replace(raw, rx(rf"({_STRING}){gap}*+|{gap}++"), "$1 ")
+    code = F.regexp_replace(plain, rx(rf"({_STRING}){gap}*+|{gap}++"), "$1 ")
     code = F.regexp_replace(code, rx(r"<b>*(?:\n<b>*)++"), "\n")
     references = F.flatten(
         F.array(
@@ -83,7 +83,7 @@ def script_segments(raw: Column) -> Column:
                     ),
                     lambda name: F.concat(F.lit("///"), name),
                 )
-                for what in ("path", "types", "lib")
+                for what in _REFERENCES
             ]
         )
     )
@@ -357,16 +357,9 @@ def _variables(t: Column) -> Column:
 
 def _call(t: Column) -> Column:
     def rows(v: Column) -> Column:
-        return F.array(
-            specifier(v["source"]), _import_row(v["source"], v["kind"], default=v["name"])
-        )
+        return F.array(specifier(v["source"]), _import_row(v["source"], v["kind"]))
 
-    return given(
-        rows,
-        source=group(t, _CALL_TEXT, 1),
-        kind=_call_kind(t),
-        name=group(t, rf"^,<s>*({_ID})<s>*=", 1),
-    )
+    return given(rows, source=group(t, _CALL_TEXT, 1), kind=_call_kind(t))
 
 
 def _import_equals(t: Column) -> Column:
@@ -400,7 +393,7 @@ def script(t: Column, _state: Column) -> Column:
     decls = (
         F.when(t.startswith("///"), _from_reference(t))
         .when(has(t, _EQUALS), _import_equals(t))
-        .when(has(t, r"^(?:import|require)<s>*\(|^,"), _call(t))
+        .when(has(t, r"^(?:import|require)<s>*\("), _call(t))
         .when(has(t, r"^import\b"), _static_import(t))
         .when(has(t, r"^export<s>*(?:type<s>+)?[*{]"), _export_list(t))
         .when(has(t, _FUNCTION_HEAD), _function_head(t))
@@ -411,3 +404,14 @@ def script(t: Column, _state: Column) -> Column:
         .otherwise(F.array(_export_row("cjs", detail=F.concat(F.lit("target="), target))))
     )
     return decls.cast(f"array<{DECL_TYPE}>")
+
+
+def script_specifier(t: Column) -> Column:
+    """The module that a token names, or null."""
+    called = has(t, r"^(?:import|require)<s>*\(") | (has(t, _VAR_HEAD) & has(t, rf"=<s>*{_CALL}\z"))
+    return (
+        F.when(t.startswith("///"), F.substr(t, F.lit(4)))
+        .when(has(t, _EQUALS), group(t, _TEXT_END, 1))
+        .when(called, group(t, _CALL_TEXT, 1))
+        .when(has(t, r"^import\b|^export<s>*(?:type<s>+)?[*{][^\"'`]*\bfrom<s>*[\"'`]"), group(t, _TEXT_END, 1))
+    )

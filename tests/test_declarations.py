@@ -100,6 +100,34 @@ CASES = {
             "specifier": ["z", "./y", "bare"],
         },
     ),
+    "lexical.tsx": (  # quotes, slashes and angle brackets by what stands around them
+        "const re = /['\"`]/g; import z from 'z'\nconst half = a / 2, r2 = b / 3; import { y } from \"y\";\n"
+        "const el = <p title=\"it's\">don't {/* won't */ require('in-markup')} <br/></p>; import q from 'q';\n"
+        "const t = `a ${f({k: require('n1')})} ${`b ${ {x: `c ${import('n2')}`} } '`} require('no')`;\n"
+        "const g = <T,>(x: T) => x; text.replace(/</g, '&lt;').replace(/[/'\\]]/, require('n3')); if (ok) /\"/.test(x);\n"
+        "const u = require('u') as Map<string, number>; export const view = () => <><A b={() => <i>'</i>} /></>;\n"
+        "function last() { return <b>'</b>; }\nimport('end');\n",
+        {
+            "import": ['from "z", kind=import, default=z', 'from "y", kind=import, named={y}', 'from "in-markup", kind=require',
+                       'from "q", kind=import, default=q', 'from "n1", kind=require', 'from "n2", kind=dynamic', 'from "n3", kind=require',
+                       'from "u", kind=require', 'from "end", kind=dynamic'],
+            "export": ["kind=named, names={view}"],
+            "function": ["g", "view, exported", "last"],
+            "specifier": ["z", "y", "in-markup", "q", "n1", "n2", "n3", "u", "end"],
+        },
+    ),
+    "declarators.ts": (  # every name of a statement
+        "export const a = 1, b = () => 2, { c, d: e } = f(1, 2), g: Map<string, number, X> = new Map<A, B, C>(), h = [1, 2, 3];\n"
+        "let x = 1, y = function () {}, z = require('zz'),\n  // note, w = 1\n  v = async (p, q) => p, s = 'a, t = () => 1'\nk(1), m = () => 2\n"
+        "for (let i = 0, n = () => 1; ;) {}\nconst outer = () => { const inner = 1, deep = () => { let l1 = 1, l2 = x => x; }; }, after = (i, j = 2) => i;\n"
+        "export let first: number,\n  second!: string\nf(a, w = require('bare'));\nexport declare const one: A, two: B;\n",
+        {
+            "import": ['from "zz", kind=require, default=z', 'from "bare", kind=require'],
+            "export": [f"kind=named, names={{{n}}}" for n in ("a", "b", "c", "e", "g", "h", "first", "second", "one", "two")],
+            "function": ["b, exported", "y", "v", "outer", "deep", "l2", "after"],
+            "specifier": ["zz", "bare"],
+        },
+    ),
     "exports.ts": (
         "export * as ns from \"m3\"; export * from './star'\nexport { a as aa, b }; export type { Q } from './q';\n"
         "export default function () {}\nexport async function* gen(a) { function nested() {} }\n"
@@ -152,9 +180,27 @@ def test_long_inputs_do_not_overflow(spark, corpus):
     assert got == {("a.ts", "a"), ("a.rs", "x"), ("a.py", "last")}
 
 
-def test_one_scan_one_shuffle(corpus):
-    plan = extract_all(corpus({"a.ts": "", "b.py": ""}))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Scan") == 1
+def test_one_scan_and_no_shuffle(corpus):
+    files = corpus({"a.ts": "", "b.py": ""})
+    for df in (extract_all(files), extract_specifiers(files)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Scan") == 1
+
+
+def test_specifiers_alone_are_those_of_all_declarations(corpus):
+    files = corpus({name: text for name, (text, _) in CASES.items()})
+    whole = extract_all(files).filter("section = 'specifier'").select("path", "ord", "source").collect()
+    alone = extract_specifiers(files).select("path", "ord", "specifier").collect()
+    listed = lambda rows: [(p, s) for p, _, s in sorted(tuple(r) for r in rows)]
+    assert listed(alone) == listed(whole) and alone
+
+
+def test_repeated_declarations_keep_the_first_place(corpus):
+    lines = [f"import a{i % 700} from 'm{i % 700}'\nfunction f{i % 3}() {{}}" for i in range(2_100)]
+    rows = extract_all(corpus({"a.ts": "\n".join(lines)})).orderBy("ord").collect()
+    assert [r.source for r in rows if r.section == "specifier"] == [f"m{i}" for i in range(700)]
+    assert [r.name for r in rows if r.section == "function"] == ["f0", "f1", "f2"]
+    assert [r.ord for r in rows] == list(range(1_403))
 
 
 def test_language_choice(corpus):

@@ -140,6 +140,27 @@ def script_body() -> Column:
     )
 
 
+def lexical_body() -> Column:
+    """Quotes, slashes and angle brackets that mean something else than in plain code."""
+    order, part, supp, line = item_columns()
+    return text(
+        "const re = /['\"`]/g; import part from '", part_specifier(), "';\nconst half = a / 2, third = b / 3; import { y } from \"../../suppliers/s",
+        supp, "\";\nconst el = <p title=\"it's\">don't {/* won't */ require('in-markup", part, "')} <br/></p>; import q from 'q", order,
+        "';\nconst t = `a ${f({k: require('n", supp, "')})} ${`b ${ {x: `c ${import('deep')}`} } '`} require('no')`;\nexport const view", line,
+        " = () => <i>'</i>;\nfunction last", part, "() { return <b>'</b>; }\nimport('end');\n",
+    )
+
+
+def declarators_body() -> Column:
+    """Statements that declare several names."""
+    order, part, supp, line = item_columns()
+    return text(
+        "export const a", line, " = 1, b", part, " = () => 2, { c, d: e } = f(1, 2), g: Map<string, number, X> = new Map<A, B, C>();\nlet x = 1, y",
+        supp, " = function () {}, z = require('", part_specifier(), "'),\n  // note, w = 1\n  v = async (p, q) => p, s = 'a, t = () => 1';\n",
+        "for (let i = 0, n = () => 1; ;) {}\nconst outer = () => { const inner = 1, deep = x => x; }, after", order, " = (i, j = 2) => i;\n",
+    )
+
+
 FLAGS = ["A", "N", "R"]
 CONFIG = (
     '{ // aliases\n  "compilerOptions": { "baseUrl": ".", "paths": { "@parts/*": ["gone/*", "parts/*"], '

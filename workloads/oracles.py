@@ -253,6 +253,23 @@ EXPECTED: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("export", "'kind=cjs, target=module.exports.legacy'"),
         ("function", "'item' || l || ', exported'"), ("function", "'local' || p"),
     ]),
+    "lexical": (".tsx", [
+        ("specifier", "'../../parts/p' || p"), ("specifier", "'../../suppliers/s' || s"), ("specifier", "'in-markup' || p"),
+        ("specifier", "'q' || o"), ("specifier", "'n' || s"), ("specifier", "'deep'"), ("specifier", "'end'"),
+        ("import", "'from \"../../parts/p' || p || '\", kind=import, default=part'"),
+        ("import", "'from \"../../suppliers/s' || s || '\", kind=import, named={y}'"),
+        ("import", "'from \"in-markup' || p || '\", kind=require'"), ("import", "'from \"q' || o || '\", kind=import, default=q'"),
+        ("import", "'from \"n' || s || '\", kind=require'"), ("import", "'from \"deep\", kind=dynamic'"), ("import", "'from \"end\", kind=dynamic'"),
+        ("export", "'kind=named, names={view' || l || '}'"),
+        ("function", "'view' || l || ', exported'"), ("function", "'last' || p"),
+    ]),
+    "declarators": (".ts", [
+        ("specifier", "'../../parts/p' || p"), ("import", "'from \"../../parts/p' || p || '\", kind=require, default=z'"),
+        ("export", "'kind=named, names={a' || l || '}'"), ("export", "'kind=named, names={b' || p || '}'"), ("export", "'kind=named, names={c}'"),
+        ("export", "'kind=named, names={e}'"), ("export", "'kind=named, names={g}'"),
+        ("function", "'b' || p || ', exported'"), ("function", "'y' || s"), ("function", "'v'"), ("function", "'outer'"), ("function", "'deep'"),
+        ("function", "'after' || o"),
+    ]),
 }
 
 for _lang, (_ext, _rows) in EXPECTED.items():

@@ -354,6 +354,16 @@ def extract_script(spark, sf_dir):
     return _extracted(C.item_sources(spark, sf_dir, ".ts", C.script_body()), "script")
 
 
+@query
+def extract_lexical(spark, sf_dir):
+    return _extracted(C.item_sources(spark, sf_dir, ".tsx", C.lexical_body()), "script")
+
+
+@query
+def extract_declarators(spark, sf_dir):
+    return _extracted(C.item_sources(spark, sf_dir, ".ts", C.declarators_body()), "script")
+
+
 @query
 def extract_counts(spark, sf_dir):
     """All languages in one scan."""
