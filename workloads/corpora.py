@@ -197,12 +197,12 @@ def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(rows, "path", "body", corpus_id="flag", root=F.lit("/shop"))
 
 
-def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per part, under its brand and type."""
+def part_tree(spark: SparkSession, sf_dir: str, content: str | None = None) -> DataFrame:
+    """One file per part, under its brand and type; empty, or with a column as its content."""
     key = F.col("p_partkey")
     path = text("/", F.col("p_brand"), "/", F.col("p_type"), "/p", key, ".ts")
     return corpus_from_table(
-        table(spark, sf_dir, "part"), path, F.lit(""), size=F.col("p_size"), root=F.lit("/")
+        table(spark, sf_dir, "part"), path, F.lit("") if content is None else content, size=F.col("p_size"), root=F.lit("/")
     )
 
 

@@ -436,6 +436,27 @@ ORACLES["rename_paths"] = """WITH n AS (SELECT p_size AS size, CASE
   ELSE '/' || p_brand || '/' || p_type || '/p' || p_partkey || '.ts' END AS path FROM part)
 SELECT path, substring(path, 2) AS rel_path, CAST(size AS BIGINT) AS size FROM n"""
 
+ORACLES["rename_contents"] = """SELECT CASE
+  WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN '/' || p_brand || '/' || p_type || '/q' || p_partkey || '.ts'
+  WHEN p_partkey % 3 = 0 THEN '/' || p_brand || '/moved/p' || p_partkey || '.ts'
+  WHEN p_type = 'PROMO' THEN '/' || p_brand || '/OLD/p' || p_partkey || '.ts'
+  ELSE '/' || p_brand || '/' || p_type || '/p' || p_partkey || '.ts' END AS path, md5(p_name) AS digest FROM part"""
+ORACLES["rename_chain"] = """SELECT '/' || p_brand || CASE WHEN p_partkey % 4 = 0 THEN '/chain/c' WHEN p_type = 'PROMO' THEN '/NEW/deep/p' ELSE '/' || p_type || '/p' END
+  || p_partkey || '.ts' AS path, md5(p_name) AS digest FROM part"""
+ORACLES["rename_chain_status"] = """WITH s AS (SELECT *, '/' || p_brand || '/' || p_type AS stem, '/' || p_brand AS brand FROM part),
+asked AS (
+  SELECT p_partkey * 10 + 1 AS request_id, stem || '/p' || p_partkey || '.ts' AS old_path, stem || '/t' || p_partkey || '.ts' AS new_path, 'rename' AS status FROM s WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey * 10 + 2, stem || '/t' || p_partkey || '.ts', brand || '/chain/c' || p_partkey || '.ts', 'move' FROM s WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey * 10 + 1, stem || '/p' || p_partkey || '.ts', stem || '/w' || p_partkey || '.ts', 'rename' FROM s WHERE p_partkey % 4 = 1
+  UNION ALL SELECT p_partkey * 10 + 2, stem || '/p' || p_partkey || '.ts', stem || '/v' || p_partkey || '.ts', 'source_missing' FROM s WHERE p_partkey % 4 = 1
+  UNION ALL SELECT p_partkey * 10 + 3, stem || '/w' || p_partkey || '.ts', stem || '/p' || p_partkey || '.ts', 'rename' FROM s WHERE p_partkey % 4 = 1
+  UNION ALL SELECT p_partkey * 10 + 1, stem || '/p' || p_partkey || '.ts', stem || '/p' || p_partkey || '.ts', 'destination_exists' FROM s WHERE p_partkey % 4 = 2
+  UNION ALL SELECT 1000000000000 + CAST(substring(p_brand, 7) AS BIGINT) * 10 + n, brand || CASE n WHEN 0 THEN '/PROMO' ELSE '/OLD' END,
+    brand || CASE n WHEN 0 THEN '/OLD' ELSE '/NEW/deep' END,
+    CASE WHEN NOT bool_or(p_partkey % 4 <> 0) THEN 'source_missing' WHEN n = 0 THEN 'rename' ELSE 'move' END
+  FROM s, range(2) AS steps(n) WHERE p_type = 'PROMO' GROUP BY p_brand, brand, n)
+SELECT request_id, old_path, new_path, status FROM asked"""
+
 ORACLES["rename_status"] = """WITH r AS (
   SELECT p_partkey AS request_id, p_brand, p_partkey % 3 = 0 AS present, p_partkey % 2 = 0 AS same_dir,
     '/' || p_brand || '/' || p_type || CASE p_partkey % 3 WHEN 0 THEN '/p' ELSE '/x' END || p_partkey || '.ts' AS old_path,
@@ -449,6 +470,9 @@ SELECT request_id, old_path, new_path, CASE WHEN p_brand NOT IN ('Brand#1', 'Bra
 ORACLES["delete_paths"] = """SELECT '/' || p_brand || '/' || p_type || '/p' || p_partkey || '.ts' AS path, CAST(p_size AS BIGINT) AS size
 FROM part WHERE p_partkey % 4 <> 0 AND p_type <> 'PROMO'"""
 
+ORACLES["delete_contents"] = """SELECT '/' || p_brand || '/' || p_type || '/p' || p_partkey || '.ts' AS path, md5(p_name) AS digest
+FROM part WHERE p_partkey % 4 <> 0 AND p_type <> 'PROMO'"""
+
 ORACLES["delete_status"] = """WITH r AS (
   SELECT p_partkey AS request_id, p_brand, '/' || p_brand || '/' || p_type || CASE p_partkey % 4 WHEN 0 THEN '/p' || p_partkey || '.ts' ELSE '/gone' || p_partkey END AS path,
     CASE p_partkey % 4 WHEN 0 THEN 'deleted_file' ELSE 'missing' END AS status FROM part WHERE p_partkey % 4 <> 3

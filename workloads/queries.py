@@ -591,6 +591,51 @@ def rename_status(spark, sf_dir):
     return status.select("request_id", "old_path", "new_path", "status")
 
 
+def chain_requests(spark, sf_dir) -> DataFrame:
+    """Renames that build on each other: chains, ways back, sources that are gone, directories renamed twice after files in them were moved."""
+    key = F.col("p_partkey")
+    part = C.table(spark, sf_dir, "part")
+    stem = C.text("/", F.col("p_brand"), "/", F.col("p_type"))
+    own = C.text(stem, "/p", key, ".ts")
+
+    def request(step, old, new):
+        return F.struct((key * 10 + step).alias("request_id"), old.alias("old_path"), new.alias("new_path"))
+
+    chain = F.array(
+        request(1, own, C.text(stem, "/t", key, ".ts")), request(2, C.text(stem, "/t", key, ".ts"), C.text("/", F.col("p_brand"), "/chain/c", key, ".ts"))
+    )
+    back = F.array(
+        request(1, own, C.text(stem, "/w", key, ".ts")), request(2, own, C.text(stem, "/v", key, ".ts")), request(3, C.text(stem, "/w", key, ".ts"), own)
+    )
+    single = part.select(F.inline(F.when(key % 4 == 0, chain).when(key % 4 == 1, back).when(key % 4 == 2, F.array(request(1, own, own))).otherwise(F.array().cast("array<struct<request_id:bigint,old_path:string,new_path:string>>"))))
+    brand = C.text("/", F.col("p_brand"))
+    number = F.lit(1_000_000_000_000) + F.regexp_extract("p_brand", r"\d+", 0).cast("long") * 10
+    twice = F.array(
+        F.struct(number.alias("request_id"), C.text(brand, "/PROMO").alias("old_path"), C.text(brand, "/OLD").alias("new_path")),
+        F.struct((number + 1).alias("request_id"), C.text(brand, "/OLD").alias("old_path"), C.text(brand, "/NEW/deep").alias("new_path")),
+    )
+    whole = part.filter(F.col("p_type") == "PROMO").select("p_brand").distinct().select(F.inline(twice))
+    return single.unionByName(whole).withColumn("corpus_id", F.lit(""))
+
+
+@query
+def rename_chain(spark, sf_dir):
+    after, _ = edits.rename_in_order(C.part_tree(spark, sf_dir, "p_name"), chain_requests(spark, sf_dir))
+    return after.select("path", F.md5("content").alias("digest"))
+
+
+@query
+def rename_chain_status(spark, sf_dir):
+    _, status = edits.rename_in_order(C.part_tree(spark, sf_dir), chain_requests(spark, sf_dir))
+    return status.select("request_id", "old_path", "new_path", "status")
+
+
+@query
+def rename_contents(spark, sf_dir):
+    after, _ = edits.rename_paths(C.part_tree(spark, sf_dir, "p_name"), rename_requests(spark, sf_dir))
+    return after.select("path", F.md5("content").alias("digest"))
+
+
 def delete_requests(spark, sf_dir) -> DataFrame:
     key = F.col("p_partkey")
     part = C.table(spark, sf_dir, "part")
@@ -613,6 +658,12 @@ def delete_paths(spark, sf_dir):
     return after.select("path", "size")
 
 
+@query
+def delete_contents(spark, sf_dir):
+    after, _ = edits.delete_paths(C.part_tree(spark, sf_dir, "p_name"), delete_requests(spark, sf_dir))
+    return after.select("path", F.md5("content").alias("digest"))
+
+
 @query
 def delete_status(spark, sf_dir):
     status = edits.delete_status(C.part_tree(spark, sf_dir), delete_requests(spark, sf_dir), ["/Brand#1", "/Brand#2"])
