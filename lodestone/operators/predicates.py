@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
 from ..functions.patterns import to_java_regex
+from .lookup import PathTable
 
 # Directory names that are never part of a project's own sources.
 DEFAULT_EXCLUDED_DIRS = [
@@ -64,18 +65,20 @@ def under_roots(files: DataFrame, roots: list[str]) -> DataFrame:
 
 
 def under_root_table(files: DataFrame, roots: DataFrame, column: str = "root") -> DataFrame:
-    """Keep files at or below one of the roots in a table of resolved paths; an empty table keeps all.
+    """Keep files at or below one of the roots in a table of resolved paths; an empty table keeps all. Runs jobs while the plan is built.
 
-    Roots below other roots are dropped first, so that a file meets one at most: each file's path and directories are looked up by an
-    equi-join, in which Spark broadcasts the roots where they measure small."""
+    Files are looked up in the roots inside their rows, so up to ``lookup.MOST`` roots no content is copied or shuffled. Of more roots, those below others
+    are dropped, so that a file meets one at most in a join on its path and directories."""
     named = roots.select(F.rtrim(F.trim(F.col(column)), F.lit("/")).alias("_at")).filter(F.col("_at").isNotNull() & (F.trim(F.col(column)) != ""))
     # the bare root becomes the empty path, which is above all absolute ones
     named = named.distinct()
-    if named.isEmpty():
-        return files
+    table = PathTable.of(named.withColumnRenamed("_at", "key"), "key")
+    path = F.col("path")
+    reached = F.concat(_paths_above(path), F.array(path))
+    if table is not None:
+        return files.filter(F.exists(reached, lambda at: table.find(at).isNotNull())) if table else files
     nested = named.select(F.col("_at").alias("_of"), F.explode(_paths_above(F.col("_at"))).alias("_at")).join(named, "_at", "left_semi")
     tops = named.join(nested.select(F.col("_of").alias("_at")), "_at", "left_anti")
-    reached = F.concat(_paths_above(F.col("path")), F.array(F.col("path")))
     return files.withColumn("_at", F.explode(reached)).join(tops, "_at", "left_semi").drop("_at")
 
 

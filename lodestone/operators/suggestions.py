@@ -65,9 +65,10 @@ def siblings(requests: DataFrame, files: DataFrame) -> DataFrame:
     ``(corpus_id, parent_dir, name, is_dir)``. Directories are implied by the files below them."""
     path = F.col("path")
     wanted = requests.select("corpus_id", "parent_dir").distinct()
-    placed = files.select("corpus_id", "path", F.explode(_directories_above(path)).alias("parent_dir"))
+    bare = F.when(path.startswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
+    placed = files.select("corpus_id", "path", F.explode(F.concat(bare, _directories_above(path))).alias("parent_dir"))
     below = F.when(F.col("parent_dir") == ".", path).otherwise(
-        F.substr(path, F.length("parent_dir") + 2)
+        F.substr(path, F.length(F.rtrim("parent_dir", F.lit("/"))) + 2)
     )
     return (
         salted_join(placed, wanted, ["corpus_id", "parent_dir"], ["path"])
@@ -107,7 +108,7 @@ def suggest_paths(
         F.col("wanted_path").alias("path"),
         "rank",
         F.when(F.col("parent_dir") == ".", F.col("name"))
-        .otherwise(F.concat("parent_dir", F.lit("/"), "name"))
+        .otherwise(F.concat(F.rtrim("parent_dir", F.lit("/")), F.lit("/"), "name"))
         .alias("suggestion"),
         "score",
     )

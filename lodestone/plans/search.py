@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.paths import format_size, normalize_path
 from ..functions.patterns import CompiledPattern, compile_pattern
 from ..operators import matching, predicates, ranking
+from ..operators.numbering import numbered
 from ..sources.sinks import iso_utc, json_document, result_json
 from ..sources.tables import FILE_COLUMNS, FILE_KEYS, describe_files
 from .options import SearchOptions
@@ -77,12 +78,15 @@ def ranked_files(files: DataFrame, options: SearchOptions) -> DataFrame:
     return ranking.top_files(counted, options.sort_by, options.max_results)
 
 
-def _winners(files: DataFrame, options: SearchOptions) -> DataFrame:
-    """Narrow rows of the limited files with their ``place`` in the order and, under a limit, their number."""
+def _winners(files: DataFrame, options: SearchOptions, gapless: bool = True) -> DataFrame:
+    """Narrow rows of the limited files with their ``place`` in the order and, under a limit, their number. Places without gaps
+    take a job while the plan is built if there is no limit."""
     ranked = ranked_files(files, options)
+    if options.max_results is None and not gapless:
+        return ranked.withColumn("place", F.monotonically_increasing_id() + 1)  # sorted over many tasks
     if options.max_results is None:
-        # sorted over many tasks; places grow with the order but leave gaps
-        return ranked.withColumn("place", F.monotonically_increasing_id() + 1)
+        placed = numbered(ranked, "place", ranking.sort_keys(options.sort_by))
+        return placed.withColumn("place", F.col("place") + 1)
     # at most max_results short rows
     order = Window.orderBy(*ranking.sort_keys(options.sort_by))
     return ranked.withColumns({"place": F.row_number().over(order).cast("long"), "n_files": F.count("*").over(Window.partitionBy())})
@@ -109,7 +113,7 @@ def _results(files: DataFrame, winners: DataFrame, options: SearchOptions, shown
 
 def search(files: DataFrame, options: SearchOptions) -> DataFrame:
     """One row per file with its ``matches`` array, in order, at most ``max_results`` files."""
-    return _results(files, _winners(files, options), options).orderBy("place").drop("place", "n_files")
+    return _results(files, _winners(files, options, gapless=False), options).orderBy("place").drop("place", "n_files")
 
 
 def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -120,7 +124,7 @@ def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataF
 
 def flat_matches(files: DataFrame, options: SearchOptions) -> DataFrame:
     """Match rows in file order, cut at ``max_results`` matches."""
-    return _flat(files, _winners(files, options), options).drop("place", "n_files")
+    return _flat(files, _winners(files, options, gapless=False), options).drop("place", "n_files")
 
 
 def _summary(winners: DataFrame) -> DataFrame:
@@ -177,18 +181,26 @@ def render_search(files: DataFrame, options: SearchOptions) -> DataFrame:
 
 
 def render_json_array(files: DataFrame, options: SearchOptions) -> DataFrame:
-    """The results as the lines ``(block, line)`` of one pretty JSON array, a block for each file; ``[]`` without any. Needs a
-    limit on files; without one the results are a table of documents (``result_json``)."""
+    """The results as the lines ``(block, line)`` of one pretty JSON array, a block for each file; ``[]`` without any."""
+    winners = _winners(files, options)
+    document = json_document(pretty=True).alias("document")
     if options.max_results is None:
-        raise ValueError("an array needs max_results")
-    results = _results(files, _winners(files, options), options)
-    documents = results.select(F.col("place").alias("block"), "n_files", json_document(pretty=True).alias("document"))
+        # the number of files is known once they are placed
+        n_files = winners.count()
+        documents = _results(files, winners, options).select(F.col("place").alias("block"), F.lit(n_files).alias("n_files"), document)
+        if not n_files:
+            return files.sparkSession.createDataFrame([(0, "[]")], "block long, line string")
+        return documents.select("block", _array_line().alias("line")).orderBy("block")
+    documents = _results(files, winners, options).select(F.col("place").alias("block"), "n_files", document)
     seed = files.sparkSession.range(1).withColumnRenamed("id", "seed")
     led = seed.join(documents, F.col("seed") == F.least("block", F.lit(0)), "left")
-    line = F.concat(
+    return led.select(F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(_array_line(), F.lit("[]")).alias("line")).orderBy("block")
+
+
+def _array_line() -> Column:
+    return F.concat(
         F.when(F.col("block") == 1, "[ ").otherwise(""), "document", F.when(F.col("block") == F.col("n_files"), " ]").otherwise(",")
     )
-    return led.select(F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(line, F.lit("[]")).alias("line")).orderBy("block")
 
 
 def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -219,7 +231,8 @@ def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions)
 def _flat_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
     rows = _flat(files, winners, options)
     if options.max_results is None:
-        n = F.monotonically_increasing_id() + 1  # grows with the order
+        rows = numbered(rows, "_at", ["place", "line_no", "match_ord"])
+        n = F.col("_at") + 1
     else:
         # at most max_results short rows
         n = F.row_number().over(Window.orderBy("place", "line_no", "match_ord")).cast("long")

@@ -92,3 +92,20 @@ def test_table_of_roots(spark, corpus):
     assert kept("/a/b", "/a/b/c.py", " /q/r/ ", None, " ") == ["/a/b", "/a/b/c.py", "/q/r/s"]
     assert kept("/") == ["/a/b", "/a/b/c.py", "/ab/x", "/q/r/s", "/q/t"]
     assert kept("rel") == ["rel/x"] and len(kept()) == 6 and kept("/none") == []
+
+
+def test_roots_table_leaves_contents_alone(spark, tmp_path, monkeypatch):
+    rows = [("", "", f"/r/d{i}/f{j}", f"text {i}") for i in range(6) for j in range(3)] + [("", "", "/r/d1", "x"), ("", "", "/q", "y")]
+    made = corpus_from_table(spark.createDataFrame(rows, "c string, t string, p string, x string"), "p", "x", corpus_id="c", root="t")
+    made.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    roots = spark.createDataFrame([("/r/d1/",), (" /r/d2",), ("/r/d2/f1",), (None,), ("",), ("/none",)], "root string")
+    kept = P.under_root_table(files, roots)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "content" in plan and not any(word in plan for word in ("Exchange", "Generate", "Join"))
+    want = sorted(["/r/d1"] + [f"/r/d{i}/f{j}" for i in (1, 2) for j in range(3)])
+    assert sorted(r.path for r in kept.collect()) == want
+    assert P.under_root_table(files, roots.filter("false")).count() == 20
+    assert P.under_root_table(files, spark.createDataFrame([("/",)], "root string")).count() == 20
+    monkeypatch.setattr(P.PathTable, "of", lambda *a, **k: None)  # as for more roots than are sent
+    assert sorted(r.path for r in P.under_root_table(files, roots).collect()) == want

@@ -112,8 +112,9 @@ def test_json_output(corpus):
 def test_json_array(corpus):
     files = corpus({"a.txt": "xhit", "b.txt": "hit hit", "c.txt": "no"})
     for pattern, want in (("hit", ["b.txt", "a.txt"]), ("no", ["c.txt"]), ("none", [])):
-        text = "\n".join(lines(S.render_json_array(files, SearchOptions(pattern=pattern))))
-        assert [d["filePath"] for d in json.loads(text)] == want
+        for limit in (100, None):
+            text = "\n".join(lines(S.render_json_array(files, SearchOptions(pattern=pattern, max_results=limit))))
+            assert [d["filePath"] for d in json.loads(text)] == want
     assert text == "[]"
 
 

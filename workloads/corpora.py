@@ -157,7 +157,8 @@ def declarators_body() -> Column:
     return text(
         "export const a", line, " = 1, b", part, " = () => 2, { c, d: e } = f(1, 2), g: Map<string, number, X> = new Map<A, B, C>();\nlet x = 1, y",
         supp, " = function () {}, z = require('", part_specifier(), "'),\n  // note, w = 1\n  v = async (p, q) => p, s = 'a, t = () => 1';\n",
-        "for (let i = 0, n = () => 1; ;) {}\nconst outer = () => { const inner = 1, deep = x => x; }, after", order, " = (i, j = 2) => i;\n",
+        "for (let i = 0, n = () => 1; ;) {}\nconst outer = () => { const inner = 1, deep = x => x; }, after", order, " = (i, j = 2) => i;\nimport eq = require('eq",
+        order, "');\n",
     )
 
 

@@ -148,6 +148,12 @@ SELECT path, {SIZE_TEXT.replace('size', 't.size')} AS size_text, {ISO.replace('m
   row_number() OVER (PARTITION BY path ORDER BY line_no, match_ord) - 1 AS at, line_no, snippet
 FROM found JOIN top t USING (path)"""
 
+ORACLES["search_json_array"] = f"""WITH {PER_FILE}, placed AS (SELECT path, n_matches, row_number() OVER (ORDER BY size DESC, path) AS block FROM ranked)
+SELECT block, path, CAST(n_matches AS BIGINT) AS n_matches, CAST(block = count(*) OVER () AS BIGINT) AS is_last FROM placed"""
+
+ORACLES["search_lines_all"] = f"""WITH {PER_FILE}, {hits_of('ing')}
+SELECT row_number() OVER (ORDER BY f.size DESC, path, line_no, match_ord) AS block, path || ':' || line_no AS place FROM found f JOIN ranked USING (path)"""
+
 ORACLES["mask_comments_html"] = """WITH m AS (
   SELECT 'pages/' || page_id || '.html' AS path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS body FROM pages)
 SELECT path, length(body) AS n_chars, md5(body) AS digest FROM m"""
@@ -181,6 +187,10 @@ ORACLES["prune_and_allow"] = f"""WITH {MANIFESTS}
 SELECT brand AS corpus_id, 'package.json' AS basename, count(*) AS n, CAST(sum(CASE k WHEN 0 THEN 2 WHEN 3 THEN 6 ELSE 3 END) AS BIGINT) AS depth_sum
 FROM tree WHERE k <> 2 AND (t IN ('ECONOMY', 'PROMO') OR (t = 'STANDARD' AND z = 1)) GROUP BY 1"""
 
+ORACLES["roots_table"] = f"""WITH {MANIFESTS}
+SELECT brand AS corpus_id, 'package.json' AS basename, count(*) AS n, CAST(sum(CASE k WHEN 0 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 3 END) AS BIGINT) AS depth_sum
+FROM tree WHERE t IN ('ECONOMY', 'PROMO') OR (t = 'STANDARD' AND z = 1) GROUP BY 1"""
+
 ORACLES["format_size"] = f"""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice * pow(10, o_orderkey % 7 - 3)) AS BIGINT) AS size FROM orders)
 SELECT o_orderkey, size, {SIZE_TEXT} AS shown FROM o"""
 
@@ -267,6 +277,7 @@ EXPECTED: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("specifier", "'../../parts/p' || p"), ("import", "'from \"../../parts/p' || p || '\", kind=require, default=z'"),
         ("export", "'kind=named, names={a' || l || '}'"), ("export", "'kind=named, names={b' || p || '}'"), ("export", "'kind=named, names={c}'"),
         ("export", "'kind=named, names={e}'"), ("export", "'kind=named, names={g}'"),
+        ("specifier", "'eq' || o"), ("import", "'from \"eq' || o || '\", kind=import=, default=eq'"),
         ("function", "'b' || p || ', exported'"), ("function", "'y' || s"), ("function", "'v'"), ("function", "'outer'"), ("function", "'deep'"),
         ("function", "'after' || o"),
     ]),
@@ -384,6 +395,27 @@ both_kinds AS (SELECT * FROM near UNION ALL
   FROM customer WHERE c_custkey % 4 IN (0, 1))
 SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY origin, place) AS rank, suggestion FROM both_kinds QUALIFY rank <= 5"""
 
+_MEANT = "coalesce(' Did you mean: ' || string_agg(suggestion, ', ' ORDER BY rank) || '?', '') AS hint"
+for _asker, _before, _after in (
+    ("search", "'The path '''", "''' does not exist or cannot be accessed.'"),
+    ("explore", "'The path '''", "''' does not exist or is not a directory.'"),
+):
+    ORACLES[f"{_asker}_missing"] = f"""WITH {ENTRIES}, asked AS (SELECT c_custkey AS request_id, c_custkey // 10 AS g FROM customer WHERE c_custkey % 4 NOT IN (0, 1)),
+pairs AS (SELECT request_id, name, 'c/g' || e.g || '/' || e.name AS suggestion, 'd' || request_id AS q, lower(e.name) AS c
+  FROM asked r JOIN entries e ON e.g = r.g WHERE e.is_dir),
+near AS (SELECT request_id, suggestion, row_number() OVER (PARTITION BY request_id ORDER BY {SCORE}, name) AS rank FROM pairs QUALIFY rank <= 5),
+hints AS (SELECT request_id, {_MEANT} FROM near GROUP BY 1)
+SELECT request_id, {_before} || 'c/g' || g || '/d' || request_id || {_after} || coalesce(hint, '') AS message FROM asked LEFT JOIN hints USING (request_id)"""
+for _asker, _before, _after in (("rename", "'Source path \"'", "'\" does not exist.'"), ("delete", "'Path \"'", "'\" does not exist.'")):
+    ORACLES[f"{_asker}_missing"] = f"""WITH near AS ({ORACLES["suggest_paths"].replace("rank <= 3", "rank <= 5")}),
+hints AS (SELECT request_id, {_MEANT} FROM near GROUP BY 1)
+SELECT c_custkey AS request_id, {_before} || 'c/g' || c_custkey // 10 || '/fil_' || c_custkey || '.jsn' || {_after} || coalesce(hint, '') AS message
+FROM customer LEFT JOIN hints ON request_id = c_custkey"""
+ORACLES["outdated_missing"] = f"""WITH near AS ({ORACLES["suggest_project"]}),
+hints AS (SELECT request_id, {_MEANT} FROM near GROUP BY 1)
+SELECT c_custkey AS request_id, 'package.json not found in "c/g' || c_custkey // 10 || '/d' || c_custkey || '".' || coalesce(hint, '') AS message
+FROM customer LEFT JOIN hints ON request_id = c_custkey WHERE c_custkey % 4 <> 0"""
+
 RUNS = """runs AS (SELECT p_partkey AS k, p_partkey % 10 AS r, p_size AS z, '/projects/p' || p_partkey AS project FROM part),
 rows AS (
   SELECT k, project, 'part' || k AS package, '1.' || z AS current, '2.0' AS wanted, '3.0' AS latest, project AS location,

@@ -14,6 +14,7 @@ from lodestone.operators import edits, graph, matching, outdated, predicates, re
 from lodestone.operators.declarations import extract_all, extract_specifiers
 from lodestone.operators.project_roots import find_project_roots
 from lodestone.plans import search as S
+from lodestone.plans.answers import missing_paths
 from lodestone.plans.explore import explore
 from lodestone.plans.options import SearchOptions
 from lodestone.plans.outdated import render_outdated
@@ -196,6 +197,24 @@ def search_json(spark, sf_dir):
     ).select("path", "size_text", "modified", long("at").alias("at"), F.col("m.lineNumber").alias("line_no"), "m.snippet")
 
 
+@query
+def search_json_array(spark, sf_dir):
+    """One JSON array of all files, without a limit: its lines, put together again."""
+    lines = S.render_json_array(C.documents(spark, sf_dir), SearchOptions(pattern="ing", sort_by="size", max_results=None))
+    item = F.regexp_replace("line", r"^\[ |(?: \]|,)\z", "")
+    shape = "filePath string, matches array<struct<lineNumber: long>>"
+    parsed = lines.select(long("block").alias("block"), F.from_json(item, shape).alias("j"), F.col("line").endswith(" ]").alias("is_last"))
+    return parsed.select("block", F.col("j.filePath").alias("path"), long(F.size("j.matches")).alias("n_matches"), long("is_last").alias("is_last"))
+
+
+@query
+def search_lines_all(spark, sf_dir):
+    """Blocks of a flat text without a limit are numbered without gaps."""
+    options = SearchOptions(pattern="ing", sort_by="size", group_by_file=False, max_results=None)
+    lines = S.render_search(C.documents(spark, sf_dir), options).filter("block > 0")
+    return lines.select(long("block").alias("block"), F.substring_index("line", ":", 2).alias("place"))
+
+
 @query
 def mask_comments_html(spark, sf_dir):
     masked = T.mask_comments(F.col("content"), F.col("ext"))
@@ -274,6 +293,18 @@ def prune_and_allow(spark, sf_dir):
     return kept.groupBy("corpus_id", "basename").agg(F.count("*").alias("n"), F.sum("depth").alias("depth_sum"))
 
 
+@query
+def roots_table(spark, sf_dir):
+    """An allow-list from a table, with roots below roots and repeated ones."""
+    part = C.table(spark, sf_dir, "part")
+    listed = F.array(C.text(" /r/", F.col("p_type"), "/"), C.text("/r/", F.col("p_type"), "/s", F.col("p_size")), F.lit(""))
+    roots = part.filter(F.col("p_type").isin("ECONOMY", "PROMO")).select(F.explode(listed).alias("root")).unionByName(
+        part.filter("p_type = 'STANDARD' AND p_size = 1").select(C.text("/r/STANDARD/s1").alias("root"))
+    )
+    kept = predicates.under_root_table(C.manifest_tree(spark, sf_dir), roots)
+    return kept.groupBy("corpus_id", "basename").agg(F.count("*").alias("n"), F.sum("depth").alias("depth_sum"))
+
+
 @query
 def format_size(spark, sf_dir):
     orders = C.table(spark, sf_dir, "orders")
@@ -515,6 +546,36 @@ def suggest_project(spark, sf_dir):
     return got.select("request_id", long("rank").alias("rank"), "suggestion")
 
 
+def _answers(spark, sf_dir, asker: str) -> DataFrame:
+    asked = C.customer_requests(spark, sf_dir, "fil_", ".jsn") if asker in ("rename", "delete") else C.customer_requests(spark, sf_dir, "d")
+    return missing_paths(C.customer_tree(spark, sf_dir), asked, asker).select("request_id", "message")
+
+
+@query
+def search_missing(spark, sf_dir):
+    return _answers(spark, sf_dir, "search")
+
+
+@query
+def explore_missing(spark, sf_dir):
+    return _answers(spark, sf_dir, "explore")
+
+
+@query
+def outdated_missing(spark, sf_dir):
+    return _answers(spark, sf_dir, "outdated")
+
+
+@query
+def rename_missing(spark, sf_dir):
+    return _answers(spark, sf_dir, "rename")
+
+
+@query
+def delete_missing(spark, sf_dir):
+    return _answers(spark, sf_dir, "delete")
+
+
 # -- freshness reports ----------------------------------------------------------------------------
 
 
