@@ -133,6 +133,22 @@ def test_delete(spark, tree):
     assert sorted(r.path for r in after.collect()) == ["/r/src/lib/package.json", "/r/src/main.ts", "/r/src/mani.ts"]
 
 
+@pytest.mark.parametrize("order", ["k", "d", "t", "x", "s"])
+def test_newest_by_any_order(spark, order):
+    """Few rows reach the sort, whatever the order's type, with equal values, nulls and what is not a number."""
+    log = spark.range(3_000).select(
+        "id", F.when(F.col("id") % 10 != 0, F.col("id") * 7 % 901).alias("k"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 400).cast("int")).alias("d"),
+        F.timestamp_seconds(F.col("id") * F.col("id")).alias("t"), F.col("id").cast("string").alias("s"),
+        F.when(F.col("id") == 5, float("nan")).when(F.col("id") == 6, float("inf")).when(F.col("id") == 7, float("-inf")).otherwise(F.sqrt("id")).alias("x"),
+    )
+    for n in (1, 50, 2_900, 5_000):
+        want = [r.id for r in log.orderBy(F.desc(order), F.desc("id")).limit(n).collect()]
+        assert [r.id for r in retention.latest_n(log, [order, "id"], n).collect()] == want
+    if order != "s":
+        assert retention._newest_steps(log, order, log.schema[order].dataType, 50).count() < 200
+    assert retention.latest_n(log.filter("false"), [order, "id"]).count() == 0
+
+
 def test_retention(spark):
     log = spark.range(1001).select(F.col("id"), (F.timestamp_seconds(F.col("id"))).alias("ts"))
     kept = retention.latest_n(log, ["ts", "id"])
