@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..materialize import materialize
+from ..operators.packing import packed
 from ..operators.predicates import DEFAULT_EXCLUDED_DIRS
 from ..ship import ship_package
 from .tables import describe_files
@@ -32,6 +33,8 @@ _ARROW = pa.schema(
 )
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 32 << 20
+#: File bytes that one task reads, unless a single file has more.
+TASK_BYTES = 128 << 20
 
 
 def _list_dir(directory: str) -> Iterator[tuple[str, bool, int, datetime]]:
@@ -119,44 +122,54 @@ def scan_corpus(
     return describe_files(files.select(F.col("root").alias("corpus_id"), "root", "path", "size", "mtime"))
 
 
-def _read_bytes(path: str) -> bytes | None:
+def _open(path: str):
+    if "://" in path:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        return store.open_input_stream(inner)
+    return open(path, "rb")
+
+
+def _read_bytes(path: str, binary: bool) -> tuple[bytes | None, bool | None]:
+    """A file's bytes and whether it is binary, from its first bytes; of a binary file that isn't wanted, nothing but these is read."""
     try:
-        if "://" in path:
-            from pyarrow import fs
-
-            store, inner = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as stream:
-                return stream.read()
-        with open(path, "rb") as handle:
-            return handle.read()
+        with _open(path) as stream:
+            head = stream.read(text.BINARY_SNIFF_BYTES)
+            if b"\0" not in head:
+                return head + stream.read(), False
+            return (head + stream.read() if binary else None), True
     except OSError:
-        return None
+        return None, None
 
 
-def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _attach(batches: Iterator[pa.RecordBatch], binary: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        start, held, blobs = 0, 0, []
+        start, held, blobs, kinds = 0, 0, [], []
         for i, path in enumerate(batch.column("path").to_pylist()):
-            blob = _read_bytes(path)
+            blob, kind = _read_bytes(path, binary)
             blobs.append(blob)
+            kinds.append(kind)
             held += len(blob or b"")
             if held >= _BATCH_BYTES or i == batch.num_rows - 1:
                 part = batch.slice(start, i + 1 - start)
-                yield part.append_column("content", pa.array(blobs, type=pa.large_binary()))
-                start, held, blobs = i + 1, 0, []
+                part = part.append_column("content", pa.array(blobs, type=pa.large_binary()))
+                yield part.append_column("is_binary", pa.array(kinds, type=pa.bool_()))
+                start, held, blobs, kinds = i + 1, 0, [], []
 
 
-def with_content(files: DataFrame, partitions: int | None = None) -> DataFrame:
+def with_content(files: DataFrame, partitions: int | None = None, task_bytes: int | None = TASK_BYTES, binary: bool = True) -> DataFrame:
     """Read the bytes of the files that are left after the metadata filters.
 
-    Adds ``is_binary`` and ``content`` (text); an unreadable file keeps its row with null content.
-    ``partitions`` spreads the reads when the filters left the listing lopsided.
+    Adds ``is_binary`` and ``content`` (text); an unreadable file keeps its row with null in both. Files are dealt to tasks by their
+    sizes, at most ``task_bytes`` to one unless a file is larger, or to a number of ``partitions``, or, with neither, left
+    where they are. Without ``binary``, binary files keep null content and only their first bytes are read.
     """
     if partitions:
         files = files.repartition(partitions)
+    elif task_bytes:
+        files = packed(files, "size", task_bytes)
     ship_package(files.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    raw = files.mapInArrow(_attach, f"{schema}, content binary")
-    return raw.withColumn("is_binary", text.is_binary(F.col("content"))).withColumn(
-        "content", text.bytes_to_text(F.col("content"))
-    )
+    raw = files.mapInArrow(lambda batches: _attach(batches, binary), f"{schema}, content binary, is_binary boolean")
+    return raw.withColumn("content", text.bytes_to_text(F.col("content")))

@@ -1,11 +1,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import predicates as P
 from lodestone.plans.options import SearchOptions
 from lodestone.plans.search import search
-from lodestone.sources import sinks
+from lodestone.sources import listing, sinks
 from lodestone.sources.listing import scan_corpus, with_content
 
 
@@ -74,3 +75,26 @@ def test_sinks(spark, tree, tmp_path):
     files = with_content(scan_corpus(spark, [tree]))
     sinks.write_json(search(files, SearchOptions(pattern="hit")), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_tasks_read_by_bytes(spark, tmp_path):
+    sizes = [10, 90, 0, 50, 50, 1, 500, 99, 3] * 6
+    for i, n in enumerate(sizes):
+        (tmp_path / f"f{i}").write_bytes(b"x" * n)
+    files = scan_corpus(spark, [str(tmp_path)], tasks=2)
+    read = with_content(files, task_bytes=100).withColumn("task", F.spark_partition_id()).select("task", "size", F.length("content").alias("n"))
+    tasks = read.groupBy("task").agg(F.sum("size").alias("size"), F.max("size").alias("most"), F.count("*").alias("n"), F.sum("n").alias("read")).collect()
+    assert sum(t.n for t in tasks) == len(sizes) and sum(t.read for t in tasks) == sum(sizes)
+    assert all(t["size"] <= 100 or (t["size"] == t.most == 500) for t in tasks) and len(tasks) < len(sizes)
+    assert with_content(files.filter("false")).count() == 0
+
+
+def test_binary_files_are_not_read_whole(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"\0" + b"y" * 5_000)
+    (tmp_path / "late.txt").write_bytes(b"z" * 1_024 + b"\0")
+    files = scan_corpus(spark, [str(tmp_path)])
+    for binary in (True, False):
+        got = {r.basename: r for r in with_content(files, binary=binary).collect()}
+        assert got["a.bin"].is_binary and not got["late.txt"].is_binary and len(got["late.txt"].content) == 1_025
+        assert (got["a.bin"].content is None) == (not binary)
+    assert listing._read_bytes(str(tmp_path / "a.bin"), False) == (None, True)
