@@ -28,18 +28,23 @@ def suggest_names(
 ) -> DataFrame:
     """``(query, rank, candidate, score)``: the closest distinct candidates to each distinct query.
 
-    The queries are a list or a column ``query`` of a table. They are the stated set that is compared with all candidates, in
-    blocks of about ``QUERY_BLOCK`` dealt by a hash: a candidate meets a block as one row, which scores the block's queries, and
-    each task keeps ``k`` rows per query. Blank queries give nothing.
+    The queries are a list or a column ``query`` of a table, which is counted while the plan is built. They are the stated set that is
+    compared with all candidates, in blocks of about ``QUERY_BLOCK`` (a table's are dealt by a hash): a candidate meets a block as
+    one row, which scores the block's queries, and each task keeps ``k`` rows per query. Blank queries give nothing.
     """
     spark = candidates.sparkSession
-    if not isinstance(queries, DataFrame):
-        queries = spark.createDataFrame([(q,) for q in queries], f"`{query}` string")
-    asked = queries.select(F.col(query).alias("query")).filter(F.trim(F.col("query")) != "").distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query", name_key(F.col("query")).alias("wanted"))).alias("asked")
-    )  # a block's queries are bounded by QUERY_BLOCK
+    wanted = F.transform("queries", lambda q: F.struct(q.alias("query"), name_key(q).alias("wanted")))
+    if isinstance(queries, DataFrame):
+        asked = queries.select(F.col(query).alias("query")).filter(F.trim(F.col("query")) != "").distinct()
+        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+        dealt = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(
+            F.collect_list("query").alias("queries")
+        )  # a block's queries are bounded by QUERY_BLOCK
+    else:
+        named = [q for q in dict.fromkeys(queries) if q and q.strip(" ")]
+        blocks = max(1, -(-len(named) // QUERY_BLOCK))
+        dealt = spark.createDataFrame([(b, named[b::blocks]) for b in range(blocks)], "block long, queries array<string>")
+    dealt = dealt.select("block", wanted.alias("asked"))
     distinct = (
         candidates.select(F.col(column).alias("candidate"))
         .filter(F.col("candidate") != "")
