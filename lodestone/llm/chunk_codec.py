@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.batches import list_column, map_batches, row_schema, text_slices, texts
-from lodestone.llm.chunks import TABLE_CHUNKS, IdTable, flatten
+from lodestone.llm.chunks import IdTable, flatten, worker_table
+
+#: Text bytes coded at once: ids and decoded texts take several times as much.
+CODED_BYTES = 1 << 20
 
 MARK = "▁"  # stands for a space inside pieces
 #: A chunk: spaces and what follows them up to the next space.
 _CHUNK = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
-_tables: dict[bytes, ChunkTable] = {}
-
 
 def inner_marks(model: bytes) -> list[str]:
     """Pieces of a model that hold a space mark after another character. Chunks are exact only without any."""
@@ -55,14 +57,16 @@ class ChunkTable:
 
     def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = self.processor.encode(chunks, num_threads=1)
-        self.surfaces.extend(self.processor.decode(parts))
+        decoded = self.processor.decode(parts)
+        self.table.bytes += sum(map(getsizeof, decoded))
+        self.surfaces.extend(decoded)
         return flatten(parts)
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The ids of all texts one after another, each text's number of ids, and its decoded text."""
         own = [_CHUNK.findall(" " + text) if text else [] for text in documents]
         every = [c for chunks in own for c in chunks]
-        if len(self.table.rows) > TABLE_CHUNKS:
+        if self.table.full:
             self.table.clear()
             self.surfaces.clear()
         rows = self.table.rows_of(every)
@@ -91,10 +95,8 @@ def encode_and_decode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", tex
     schema = row_schema(docs, doc_id, "ids array<int>, decoded string")
 
     def run(batches):
-        if small.value not in _tables:  # stays for the worker's later tasks
-            _tables[small.value] = ChunkTable(small.value)
-        table = _tables[small.value]
-        for part in text_slices(batches):
+        table = worker_table(("codec", small.value), lambda: ChunkTable(small.value))
+        for part in text_slices(batches, limit=CODED_BYTES):
             ids, sizes, decoded = table.encode(texts(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), list_column(ids, sizes), pa.array(decoded, pa.string())], names=schema.names

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import repeat
+from sys import getsizeof
 
 import numpy as np
 
 from lodestone.llm.batches import ranges
 
-#: Chunks that a table holds before it starts anew; results don't depend on it.
-TABLE_CHUNKS = 500_000
+#: Bytes that a worker's table may take, its chunks included, before it starts anew; results don't depend on it.
+TABLE_BYTES = 32 << 20
+_latest: list = []
+
+
+def worker_table(key: tuple, build: Callable[[], object]):
+    """The table that a worker keeps for its later tasks. There is one at a time: another stage's table goes when a task asks for its own."""
+    if not _latest or _latest[0] != key:
+        _latest.clear()
+        _latest[:] = [key, build()]
+    return _latest[1]
 
 
 class IdTable:
@@ -26,6 +36,11 @@ class IdTable:
         self.ids = np.empty(0, np.int32)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
+        self.bytes = 0
+
+    @property
+    def full(self) -> bool:
+        return self.bytes > TABLE_BYTES
 
     def rows_of(self, chunks: list[str]) -> np.ndarray:
         """The row of each chunk; those that the table doesn't hold are segmented and added."""
@@ -40,11 +55,16 @@ class IdTable:
 
     def _append(self, fresh: list[str]) -> None:
         flat, sizes = self.segment(fresh)
+        self.bytes += flat.nbytes + self._entry_bytes(fresh)
         ends = np.cumsum(sizes) + len(self.ids)
         self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
 
+    def _entry_bytes(self, fresh: list[str]) -> int:
+        """What chunks take besides their ids: themselves, a place in the dictionary and in the arrays."""
+        return sum(map(getsizeof, fresh)) + 160 * len(fresh)
+
     def take(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the chunks at ``rows``, one after another."""
         return self.ids[ranges(self.starts[rows], self.sizes[rows])]
@@ -67,6 +87,9 @@ class HashedIdTable(IdTable):
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def _entry_bytes(self, fresh: list[str]) -> int:
+        return 40 * len(fresh)  # chunks aren't held
+
     def rows_of_hashes(self, hashes: np.ndarray, chunks_at: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """The row of each hash; ``chunks_at`` gives the chunks at some places of ``hashes``, for those that are new."""
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)

@@ -12,19 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import list_column, map_batches, raw_texts, text_slices
+from lodestone.llm.chunks import worker_table
 from lodestone.materialize import materialize
 
 WINDOW = 10
-#: Benchmark bytes whose tables a task holds at once; a larger benchmark is searched for in several passes.
-BLOCK_BYTES = 32 << 20
+#: Benchmark bytes whose tables a task holds at once, about 200 bytes for each; a larger benchmark is searched for in several passes.
+BLOCK_BYTES = 512 << 10
 #: Words that make up a block of the shift table.
 BLOCK_WORDS = 2
 
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))
 
-_latest: list = []
-
 
 def words_of(text: bytes) -> list[bytes]:
     """Runs of digits, letters a-z (A-Z are lowered) and all that is not ASCII."""
@@ -160,16 +159,10 @@ def find_contamination(
     return state
 
 
-def _search_for(items: list, window: int) -> WindowSearch:
-    """A worker's tables for a broadcast list, which stay for the worker's later tasks."""
-    if not _latest or _latest[0] is not items or _latest[1] != window:
-        _latest[:] = [items, window, WindowSearch(items, window)]
-    return _latest[2]
-
-
 def _pass(items, at: int, names: list[str], window: int):
     def run(batches):
-        search = _search_for(items.value, window)
+        own = items.value  # kept with its tables, so that its identity stays its own
+        search = worker_table(("windows", id(own), window), lambda: (own, WindowSearch(own, window)))[1]
         for part in text_slices(batches, names[at]):
             n = part.num_columns
             counts, spans, sizes, ids = [], [], [], []

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -19,8 +19,6 @@ WINDOW = 256
 STEP = WINDOW - max(WIDTHS) + 1
 #: The classifier is fitted on at most so many documents (the bound of its sample), dealt evenly to the languages.
 TRAIN_DOCS = 4_000
-#: Most languages that are learned; of more, the most frequent.
-MAX_LANGUAGES = 200
 #: Windows that are learned from each of them, and steps of the fit.
 TRAIN_WINDOWS = 3
 STEPS, BATCH, RATE = 900, 64, 4e-3
@@ -164,37 +162,37 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) != 0, F.lit(False))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS) -> ByteNet | None:
-    """A network fitted to a sample of at most ``limit`` learnable documents with text and language, or None without any.
-
-    The sample takes the documents with the smallest hashes, about equally many of each language; from each a few
-    windows at places given by a hash. Only these windows come to the driver."""
+def training_windows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS
+) -> list[tuple[str, bytes]]:
+    """Windows of a sample of ``limit`` learnable documents with text and language, with their language: equally many documents of each
+    language, those with the smallest hashes, and one of each if there are more languages than that. From each a few windows at places
+    given by a hash. Only these windows come to the driver, and a count for each language."""
     d, body, label = (F.col(f"`{c}`") for c in (doc_id, text, lang))
-    usable = docs.filter(learnable(d) & label.isNotNull() & body.isNotNull())
-    counts = usable.groupBy(label.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    usable = docs.filter(learnable(d) & label.isNotNull() & body.isNotNull() & body.rlike("\\p{L}"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy(label.alias("lang")).count().collect()}
     if not counts:
-        return None
+        return []
     quota = max(1, limit // len(counts))
     draw = F.xxhash64(d, F.lit("sample"))
     uniform = F.shiftrightunsigned(draw, 11) / F.lit(2.0**53)
-    # a share of each language that holds about twice its quota; then the quota by rank, among few rows
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(label == row["lang"], F.lit(2.0 * quota / row["count"] + 100.0 / row["count"])).otherwise(share)
+    # a share of each language that holds about twice its quota, then the quota by rank among these few rows
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, (2.0 * quota + 100.0) / n)])
     length = F.length(body)
     places = [F.pmod(F.xxhash64(d, F.lit(f"place {i}")), F.greatest(length - WINDOW + 1, F.lit(1))) + 1 for i in range(TRAIN_WINDOWS)]
-    drawn = usable.filter((uniform < share) & body.rlike("\\p{L}")).select(
+    drawn = usable.filter(uniform < F.element_at(shares, label)).select(
         label.alias("lang"),
         draw.alias("draw"),
         F.array(*[F.substr(body, p.cast("int"), F.lit(WINDOW)) for p in places]).alias("excerpts"),
     )
-    rows = sorted((r.lang, r.draw, r.excerpts) for r in drawn.orderBy("draw").limit(3 * limit).collect())
-    taken: list[tuple[str, bytes]] = []
-    held: dict[str, int] = {}
-    for language, _, excerpts in rows:
-        if held.get(language, 0) < quota:
-            held[language] = held.get(language, 0) + 1
-            taken.extend((language, x.encode()[:WINDOW]) for x in dict.fromkeys(excerpts))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "excerpts")))
+    rows = sorted((r.lang, r.draw, r.excerpts) for r in ranked.filter(F.col("rank") <= quota).collect())
+    return [(language, x.encode()[:WINDOW]) for language, _, excerpts in rows for x in dict.fromkeys(excerpts)]
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS) -> ByteNet | None:
+    """A network fitted to ``training_windows``, with every language that occurs there, or None without any."""
+    taken = training_windows(docs, doc_id, text, lang, limit)
     if not taken:
         return None
     windows = np.zeros((len(taken), WINDOW), np.uint8)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from lodestone.llm.batches import map_batches, raw_texts, row_schema, text_slices
 
 SYMBOLS = 512  # a byte, or 256 more for the last byte of a word
-#: Words that a worker remembers before it forgets all; results don't depend on it.
-KNOWN_WORDS = 400_000
+#: Bytes that the words whose pieces an automaton has counted may take before it forgets them.
+KNOWN_BYTES = 48 << 20
 END = "</w>"
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -58,6 +58,7 @@ class Automaton:
     fail: list[int]
     popped: list[int]
     known: dict[bytes, int] = field(default_factory=dict)
+    known_bytes: int = 0
 
     @classmethod
     def of(cls, pieces: list[tuple[int, ...]]) -> Automaton:
@@ -114,10 +115,12 @@ class Automaton:
 
     def counts(self, words: list[bytes]) -> list[int]:
         known = self.known
-        if len(known) > KNOWN_WORDS:
+        if self.known_bytes > KNOWN_BYTES:
             known.clear()
+            self.known_bytes = 0
         for word in set(words).difference(known):
             known[word] = self.count(word)
+            self.known_bytes += len(word) + 130  # with its place in the table
         return [known[w] for w in words]
 
 

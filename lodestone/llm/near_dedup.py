@@ -190,7 +190,6 @@ def compare_units(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
     ordered = placed.repartition("unit").sortWithinPartitions("unit", "node")
 
     def links(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        rows = list({(u, v): (u, v, t) for u, v, t in rows}.values())  # repeated rows of one text
         sets = shingle_sets([t for _, _, t in rows])
         number = {u: i for i, u in enumerate(dict.fromkeys(u for u, _, _ in rows))}
         units = np.fromiter((number[u] for u, _, _ in rows), np.int64, len(rows))
@@ -205,6 +204,8 @@ def compare_units(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
         size = whole = 0  # whole: rows of held before its last unit
         for part in text_slices(batches):
             for unit, node, body in zip(part.column("unit").to_pylist(), part.column("node").to_pylist(), raw_texts(part.column("text")), strict=True):
+                if held and held[-1][:2] == (unit, node):
+                    continue  # a repeated row of a text
                 if held and held[-1][0] != unit:
                     if size > UNIT_SHINGLES * 6 or len(held) > UNIT_TEXTS:  # about six bytes a word
                         yield links(held)
@@ -220,8 +221,8 @@ def compare_units(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
 def near_duplicate_components(
     docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", bands: int | None = None, rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows of ``docs`` and, for each distinct text with shingles, ``(of_node, least_key, component)``: the
-    smallest id with that text and the smallest id among all texts that links lead to.
+    """The sketches of all rows of ``docs`` and, for each distinct text with shingles, ``(of_node, least_key, component, root)``: the
+    smallest id with that text, the smallest id among all texts that links lead to, and ``root``, which these texts share.
 
     1. Every text gets a circulant MinHash signature and band keys; equal texts fall into one node, by a minimum that
        is taken before the shuffle.
@@ -270,7 +271,7 @@ def near_duplicate_components(
     least = in_component.groupBy("root").agg(F.min("key").alias("component")).withColumnRenamed("root", "of_root")
     least = materialize(least, "least")  # then a component with very many texts can be split in the join
     found = in_component.join(least, F.col("root") == F.col("of_root")).select(
-        F.col("node").alias("of_node"), F.col("key").alias("least_key"), "component"
+        F.col("node").alias("of_node"), F.col("key").alias("least_key"), "component", "root"
     )
     return sketches, found
 
@@ -327,12 +328,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays (of repeated rows of
-    it, one), and every document without words. All columns are kept. Unlike ``near_duplicates``, whose default is the contract of its
-    query, documents are linked from a similarity of 0.8 on."""
+    """The rows of ``docs`` without near duplicates: of each component one document stays, that with the smallest id, and every document without words. A
+    null id counts as larger than all others; of several texts with the smallest id, or with null ids alone, one stays, and of repeated rows one. Null, empty
+    and blank texts all stay, repeated ones too; an empty table stays empty. All columns are kept. Unlike ``near_duplicates``, whose default is the
+    contract of its query, documents are linked from a similarity of 0.8 on."""
     _, found = near_duplicate_components(docs, percent, doc_id, text)
-    stays = found.filter(F.col("least_key").eqNullSafe(F.col("component"))).select(
-        F.col("of_node").alias("__node"), F.col("least_key").alias("__key")
+    order = F.struct(F.col("least_key").isNull().alias("no_id"), "least_key", "of_node")
+    stays = found.groupBy("root").agg(F.min(order).alias("first")).select(
+        F.col("first.of_node").alias("__node"), F.col("first.least_key").alias("__key")
     )
     has_words = F.coalesce(F.col(f"`{text}`").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     keyed = docs.filter(has_words).withColumns({"__of": text_key(F.col(f"`{text}`")), "__id": F.col(f"`{doc_id}`")})

@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.llm.batches import map_batches, ranges, raw_texts, text_slices
-from lodestone.llm.chunks import HashedIdTable, flatten
+from lodestone.llm.chunks import HashedIdTable, flatten, worker_table
 from lodestone.llm.hashing import stretch_hashes
 
 #: Ids of a shard, the unit with a grammar of its own; one longer document makes a shard of its own.
 SHARD_IDS = 1 << 20
-#: Chunks that a worker's table holds before it starts anew; results don't depend on it.
-STORED_CHUNKS = 800_000
 #: How often pairs are counted and replaced in a shard, and how many pairs at once.
 ROUNDS, PAIRS = 4, 2048
 #: A pair is frequent from this many occurrences in a shard on.
@@ -37,8 +35,6 @@ _KIND[[*range(0x09, 0x0E), 0x20]] = 1
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
 _KIND[0x30:0x3A] = 0
 
-_tokenizers: dict[tuple[str, bool], TextEncoder] = {}
-
 
 class TextEncoder:
     """The ids of whole texts, as the tokenizers library gives them with ``add_special_tokens=False``. A special token's name that stands
@@ -111,7 +107,7 @@ class TextEncoder:
         begins[(text_ends - lengths)[lengths > 0]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(raw))
-        if len(self.table) > STORED_CHUNKS:
+        if self.table.full:
             self.table.clear()
 
         def chunks_at(places: np.ndarray) -> list[str]:
@@ -296,9 +292,7 @@ def write_store(
 
     def run(batches):
         source = shared.value, special_in_text
-        if source not in _tokenizers:
-            _tokenizers[source] = TextEncoder(*source)
-        encoder, part = _tokenizers[source], TaskContext.get().partitionId()
+        encoder, part = worker_table(("ids", *source), lambda: TextEncoder(*source)), TaskContext.get().partitionId()
         terminals = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         ids, keys, sizes, held, number = [], [], [], 0, 0
 

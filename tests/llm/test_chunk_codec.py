@@ -6,6 +6,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from lodestone.llm import chunk_codec as C
+from lodestone.llm import chunks
 from lodestone.llm.queries import op10_chunk_table, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -45,11 +46,18 @@ def test_awkward_rows(spark, awkward, none_at_all, library, monkeypatch):
 
 
 def test_table_starts_anew_when_full(library, monkeypatch):
-    monkeypatch.setattr(C, "TABLE_CHUNKS", 2)
+    monkeypatch.setattr(chunks, "TABLE_BYTES", 1_000)
     table = C.ChunkTable(C.chunk_model(tokenizer_file(MODEL)))
-    for text in ("one two three four", "five one", "two two six"):
+    for text in ("one two three four", "five one", "two two six", "x" * 5_000, "one"):
         ids, _, decoded = table.encode([text])
         assert ids.tolist() == library.encode(text) and decoded == [text]
+    assert len(table.surfaces) == len(table.table.rows) == 1  # one long chunk fills it too
+
+
+def test_a_worker_keeps_one_table():
+    assert chunks.worker_table(("a", 1), list) is chunks.worker_table(("a", 1), list)
+    held = chunks.worker_table(("a", 1), list)
+    assert chunks.worker_table(("b", 1), list) is not held and chunks.worker_table(("a", 1), list) is not held
 
 
 def test_other_models_are_refused():

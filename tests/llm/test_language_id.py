@@ -69,3 +69,32 @@ def test_nothing_to_learn(spark, awkward, none_at_all):
     assert {r.lang_pred for r in L.identify_languages(awkward, None).collect()} == {"und"}
     assert L.identify_languages(none_at_all, None).collect() == []
     assert L.train(awkward.selectExpr("doc_id", "text", "cast(null as string) lang")) is None
+
+
+def test_every_language_is_learned_from(spark):
+    rows = [(i, f"text number {i} of l{i % 300}", f"l{i % 300}") for i in range(1_500)] + [(5_000 + i, "words and words", "big") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    usable = {r.lang for r in docs.filter(L.learnable(docs.doc_id)).collect()}
+    for limit, quota in ((4_000, 4_000 // len(usable)), (10, 1)):
+        taken = L.training_windows(docs, limit=limit)
+        assert {language for language, _ in taken} == usable and len(usable) > 290
+        assert sum(language == "big" for language, _ in taken) <= quota * L.TRAIN_WINDOWS
+    assert L.train(docs.filter("false")) is None
+
+
+def test_probabilities_against_a_plain_convolution():
+    rng = np.random.default_rng(2)
+    net = L.ByteNet.fresh(["a", "b", "c"])
+    texts = [rng.integers(1, 255, n, dtype=np.uint8) for n in (L.WINDOW, 40, 3)]
+    windows = np.zeros((3, L.WINDOW), np.uint8)
+    for row, text in zip(windows, texts, strict=True):
+        row[: len(text)] = text
+    got = net.probabilities(windows)
+    for window, own in zip(L.folded(windows), got, strict=True):
+        pooled = []
+        for width, filters, offset in zip(L.WIDTHS, net.filters, net.offsets, strict=True):
+            responses = [np.concatenate([net.embedding[b] for b in window[i : i + width]]) @ filters for i in range(L.WINDOW - width + 1)]
+            pooled.append(np.maximum(np.max(responses, axis=0) + offset, 0))
+        score = np.concatenate(pooled) @ net.weights + net.bias
+        want = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        assert own == pytest.approx(want, rel=1e-3, abs=1e-5)

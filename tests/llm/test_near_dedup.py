@@ -98,3 +98,17 @@ def test_one_document_of_each_group_stays(spark, awkward):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     want = sorted({(r.doc_id, r.text) for r in awkward.collect()} - {(1, awkward.filter("doc_id = 1").first().text)}, key=repr)
     assert got == want
+
+
+def test_one_survivor_with_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    documents = [(None, base), (None, base + " x"), (None, base + " y"), (7, other), (7, other + " x"), (8, other + " y"), (9, "apart from all"), (9, "apart from all")]
+    kept = N.drop_near_duplicates(spark.createDataFrame(documents, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 7), (False, 9), (True, 0)]
+
+
+def test_units_hold_a_repeated_row_once(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = spark.range(20_000).selectExpr("1L AS doc_id", f"'{base}' AS text").unionByName(spark.createDataFrame([(2, base + " x")], "doc_id long, text string"))
+    assert [(r.doc_id, r.text) for r in N.drop_near_duplicates(texts).collect()] == [(1, base)]

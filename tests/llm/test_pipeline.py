@@ -14,7 +14,7 @@ def test_run_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in P.identify_language(spark, docs, SF).collect()}
     assert len(rows) >= 0.95 * docs.count()
-    least = {i: c for i, _, c in components(list(rows.items()))}
+    least = {i: c for i, _, c in components(list(rows.items()), percent=80)}
     rows = {i: t for i, t in rows.items() if least[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hit = contaminated(list(rows.values()), items)

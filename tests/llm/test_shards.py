@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -48,3 +49,17 @@ def test_weights_are_shares(spark):
 def test_no_python(spark):
     plan = op8_rendezvous_shards(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shards_against_the_draws(spark):
+    """Each row's shard is the one with the largest draw, worked out again in plain Python from the hashes."""
+    weights = [1.0, 2.0, 0.5, 1.0]
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    hashes = rows.select("doc_id", F.array(*[F.xxhash64("doc_id", F.lit(i)) for i in range(5)]).alias("h")).collect()
+
+    def winner(h, own):
+        draws = [(-w / math.log(((x % 2**64 >> 11) + 0.5) / 2.0**53), i) for i, (x, w) in enumerate(zip(h, own))]
+        return max(draws)[1]
+
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in S.assign_shards(rows, weights).collect()}
+    assert got == {r.doc_id: (winner(r.h, weights), winner(r.h, [*weights, 1.0])) for r in hashes}
