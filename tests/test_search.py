@@ -10,6 +10,7 @@ from lodestone.functions.patterns import compile_pattern
 from lodestone.operators import matching
 from lodestone.plans import search as S
 from lodestone.plans.options import SearchOptions
+from lodestone.sources import sinks
 
 
 def spans(files, pattern, **options):
@@ -118,6 +119,19 @@ def test_json_array(corpus):
     assert text == "[]"
 
 
+def test_array_without_a_limit_as_part_files(corpus, spark, tmp_path):
+    """The part files of an array, one after another, are one document."""
+    files = corpus({f"f{i:03}.txt": "hit " * (i % 7 + 1) for i in range(300)}).repartition(6)
+    array = S.render_json_array(files, SearchOptions(pattern="hit", sort_by="file", max_results=None))
+    sinks.write_text(array, str(tmp_path / "array"))
+    parts = sorted((tmp_path / "array").glob("part-*.txt"))
+    found = json.loads("".join(part.read_text() for part in parts))
+    assert [d["filePath"] for d in found] == [f"f{i:03}.txt" for i in range(300)]
+    assert [len(d["matches"]) for d in found] == [i % 7 + 1 for i in range(300)]
+    text = S.render_search(files, SearchOptions(pattern="hit", group_by_file=False, max_results=None))
+    assert [r.block for r in text.filter("block > 0").collect()] == list(range(1, sum(i % 7 + 1 for i in range(300)) + 1))
+
+
 def test_request_arguments(corpus):
     options = SearchOptions.from_request({"pattern": "", "maxResults": 0, "path": "/a", "regexMode": True, "followSymlinks": False})
     assert (options.pattern, options.max_results, options.search_path) == (".*", 100, "/a")
