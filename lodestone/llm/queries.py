@@ -164,6 +164,67 @@ SELECT page_id, host, path, rule, CASE
   WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op2_wu_manber": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS p
+  FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), placed AS (
+  SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS p
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), found AS (
+  SELECT rid, i, k, item FROM placed JOIN windows USING (k, p)
+), hit AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS place FROM found) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+""",
+    "op3_circulant_minhash": r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), pairs AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS both_sets FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * both_sets >= 85 * (x.n + y.n - both_sets)
+), reach(rid, other) AS (
+  SELECT rid, rid FROM docs UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.other
+), components AS (
+  SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.rid = other GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN components USING (rid) LEFT JOIN sizes USING (rid)
+""",
+    "op9_pivot_index": """
+WITH RECURSIVE all_rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), vectors AS (
+  SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM all_rows
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.rid AS a, b.rid AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(rid, other) AS (
+  SELECT rid, rid FROM all_rows UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.other
+), components AS (
+  SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN all_rows v ON v.rid = other GROUP BY 1
+), counts AS (
+  SELECT a AS rid, count(*) AS n FROM links GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM all_rows JOIN components USING (rid) LEFT JOIN counts USING (rid)
 """,
     "op11_phrase_index": r"""
 WITH pieces AS (
