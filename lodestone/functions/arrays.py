@@ -16,6 +16,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def chunks(values: Column) -> Column:
+    """An array in pieces of 512, for folds that append: what they copy on each step stays small."""
+    return bind(
+        values,
+        lambda held: F.transform(
+            F.sequence(F.lit(0), F.greatest((F.size(held) - 1) / _CHUNK, F.lit(0)).cast("int")),
+            lambda c: F.slice(held, c * _CHUNK + 1, F.lit(_CHUNK)),
+        ),
+    )
+
+
 def running(
     values: Column,
     initial: Column,
@@ -30,14 +41,6 @@ def running(
     runs over chunks of 512 and appends whole chunks, which keeps arrays of millions near linear
     while an ordinary array is a single chunk.
     """
-    chunks = bind(
-        values,
-        lambda held: F.transform(
-            F.sequence(F.lit(0), F.greatest((F.size(held) - 1) / _CHUNK, F.lit(0)).cast("int")),
-            lambda c: F.slice(held, c * _CHUNK + 1, F.lit(_CHUNK)),
-        ),
-    )
-
     def one(acc: Column, value: Column) -> Column:
         return F.struct(
             step(acc["state"], value).alias("state"),
@@ -55,7 +58,7 @@ def running(
         )
 
     return F.aggregate(
-        chunks,
+        chunks(values),
         F.struct(initial.alias("state"), F.array().cast(f"array<array<{emitted}>>").alias("out")),
         fold_chunk,
         lambda a: F.flatten(a["out"]),

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.arrays import bind, running
+from ...functions.arrays import bind, chunks
 
 IDENTIFIER = r"[A-Za-z_$][\w$]*+"
 STRING = (
@@ -185,11 +185,21 @@ def plain_code(raw: Column, markup: Column) -> Column:
     def with_top(state: Column, t: Column, what) -> Column:
         return bind(F.right(state["stack"], F.lit(1)), lambda top: what(state["stack"], top, state["prev"], t, markup))
 
-    out = running(
-        tokens,
-        F.struct(F.lit("c").alias("stack"), F.lit(_OPERATOR).alias("prev")),
-        lambda state, t: with_top(state, t, _step),
-        lambda state, t: with_top(state, t, _emit),
-        "string",
+    def one(acc: Column, t: Column) -> Column:
+        return F.struct(
+            with_top(acc["state"], t, _step).alias("state"), F.concat(acc["out"], with_top(acc["state"], t, _emit)).alias("out")
+        )
+
+    def fold_chunk(acc: Column, chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(acc["state"].alias("state"), F.lit("").alias("out")),
+            one,
+            lambda a: F.struct(a["state"].alias("state"), F.array_append(acc["out"], a["out"]).alias("out")),
+        )
+
+    start = F.struct(F.lit("c").alias("stack"), F.lit(_OPERATOR).alias("prev"))
+    empty = F.array().cast("array<string>")
+    return F.aggregate(
+        chunks(tokens), F.struct(start.alias("state"), empty.alias("out")), fold_chunk, lambda a: F.array_join(a["out"], "")
     )
-    return F.array_join(out, "")
