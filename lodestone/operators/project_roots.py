@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
+from .joins import shuffled
 from .predicates import DEFAULT_EXCLUDED_DIRS
 
 # The manifest's name and the search limits.
@@ -35,12 +36,12 @@ def find_project_roots(
         F.explode(F.array_union(ancestors(F.col("dir")), F.array(top))).alias("above"),
     ).filter(F.col("above") != F.col("dir"))
     nested = above.join(
-        hits.select("corpus_id", F.col("dir").alias("above")), ["corpus_id", "above"], "left_semi"
+        shuffled(hits.select("corpus_id", F.col("dir").alias("above"))), ["corpus_id", "above"], "left_semi"
     ).select("corpus_id", "dir")
     order = Window.partitionBy("corpus_id").orderBy("depth", "dir")
     return (
         hits.select("corpus_id", "dir", "depth")
-        .join(nested, ["corpus_id", "dir"], "left_anti")
+        .join(shuffled(nested), ["corpus_id", "dir"], "left_anti")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select("corpus_id", "rank", "dir", "depth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import name_key, suggest_score
 from ..functions.paths import ancestors, basename, dirname
-from .joins import salted_join
+from .joins import salted_join, shuffled
 from .project_roots import MAX_DEPTH, find_project_roots
 from .ranking import locale_order
 
@@ -117,7 +117,7 @@ def suggest_paths(
         .alias("suggestion"),
         "score",
     )
-    return best.join(requests.select("corpus_id", "path", "request_id"), ["corpus_id", "path"]).select(
+    return best.join(shuffled(requests.select("corpus_id", "path", "request_id")), ["corpus_id", "path"]).select(
         "corpus_id", "request_id", "rank", "suggestion", "score"
     )
 
@@ -159,6 +159,6 @@ def suggest_project(requests: DataFrame, files: DataFrame, k: int = PATH_LIMIT)
     )
     order = Window.partitionBy("corpus_id", "path").orderBy("origin", "rank")
     best = near.unionByName(found).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    return best.join(requests.select("corpus_id", "path", "request_id"), ["corpus_id", "path"]).select(
+    return best.join(shuffled(requests.select("corpus_id", "path", "request_id")), ["corpus_id", "path"]).select(
         "corpus_id", "request_id", F.col("place").alias("rank"), "suggestion"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.edits import existing_paths
+from ..operators.joins import shuffled
 from ..operators.predicates import allowed
 from ..operators.suggestions import PATH_LIMIT, suggest_paths, suggest_project
 
@@ -40,7 +41,7 @@ def missing_paths(files: DataFrame, requests: DataFrame, asker: str, roots: list
     found = existing_paths(files, asked)
     if asker in ("search", "explore"):
         found = found.filter("is_dir")
-    missing = asked.join(found.select("corpus_id", "at"), ["corpus_id", "at"], "left_anti").select("corpus_id", "request_id", "path")
+    missing = asked.join(shuffled(found.select("corpus_id", "at")), ["corpus_id", "at"], "left_anti").select("corpus_id", "request_id", "path")
     if asker == "outdated":
         near = suggest_project(missing, files)
     else:
@@ -48,5 +49,5 @@ def missing_paths(files: DataFrame, requests: DataFrame, asker: str, roots: list
     listed = near.groupBy("corpus_id", "request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))).alias("near"))  # a few each
     meant = F.coalesce(F.transform("near", lambda n: n["suggestion"]), F.array().cast("array<string>"))
     hint = F.when(F.size("suggestions") > 0, F.concat(F.lit(" Did you mean: "), F.array_join("suggestions", ", "), F.lit("?"))).otherwise("")
-    answered = missing.join(listed, ["corpus_id", "request_id"], "left").withColumn("suggestions", meant)
+    answered = missing.join(shuffled(listed), ["corpus_id", "request_id"], "left").withColumn("suggestions", meant)
     return answered.select("corpus_id", "request_id", "path", "suggestions", F.concat(_message(asker, F.col("path")), hint).alias("message"))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.materialize import materialize
 from lodestone.plans.answers import missing_paths
 
 
@@ -41,3 +42,11 @@ def test_no_requests_and_unknown_askers(spark, tree):
     assert missing_paths(tree, asked(spark, "/r/q").filter("false"), "search").count() == 0
     with pytest.raises(ValueError):
         missing_paths(tree, asked(spark, "/r"), "print")
+
+
+@pytest.mark.parametrize("asker", ["search", "explore", "outdated", "rename", "delete"])
+def test_requests_that_look_small_are_not_sent_to_the_driver(spark, tree, asker):
+    """Files of known, small size; a table of the same estimate may be many times larger once its paths are built and repeated."""
+    files, requests = materialize(tree, "files"), materialize(asked(spark, "/r/sourc", "/r/none/x"), "asked")
+    plan = missing_paths(files, requests, asker)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
