@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import dirname
 from ..materialize import materialize
 from ..sources.tables import describe_files
-from .joins import salted_join
+from .joins import salted_join, shuffled
 from .lookup import PathTable, path_key, self_and_above
 from .predicates import allowed
 
@@ -49,7 +49,7 @@ def _with_rule(files: DataFrame, rules: DataFrame, order: str, *columns: str) ->
     reached = files.select("corpus_id", "path", F.explode(self_and_above(F.col("path"))).alias("at"))
     touched = salted_join(reached, rules.select("corpus_id", *values), ["corpus_id", "at"], ["path"])
     touched = touched.groupBy("corpus_id", "path").agg(F.min(F.struct(*values)).alias("_rule"))
-    return files.join(touched, ["corpus_id", "path"], "left")
+    return files.join(shuffled(touched), ["corpus_id", "path"], "left")
 
 
 def _moved(files: DataFrame) -> DataFrame:
@@ -68,12 +68,12 @@ def rename_status(files: DataFrame, requests: DataFrame, roots: list[str] | None
     found = existing_paths(files, wanted)
     checked = (
         requests.join(
-            found.select("corpus_id", F.col("at").alias("old_path"), F.lit(True).alias("has_old")),
+            shuffled(found.select("corpus_id", F.col("at").alias("old_path"), F.lit(True).alias("has_old"))),
             ["corpus_id", "old_path"],
             "left",
         )
         .join(
-            found.select("corpus_id", F.col("at").alias("new_path"), F.lit(True).alias("has_new")),
+            shuffled(found.select("corpus_id", F.col("at").alias("new_path"), F.lit(True).alias("has_new"))),
             ["corpus_id", "new_path"],
             "left",
         )
@@ -92,7 +92,7 @@ def rename_status(files: DataFrame, requests: DataFrame, roots: list[str] | None
     good = F.col("status").isin("rename", "move")
     first = checked.filter(good).groupBy("corpus_id", "new_path").agg(F.min("request_id").alias("taken_by"))
     late = good & (F.col("request_id") > F.col("taken_by"))
-    return checked.join(first, ["corpus_id", "new_path"], "left").select(
+    return checked.join(shuffled(first), ["corpus_id", "new_path"], "left").select(
         "corpus_id",
         "request_id",
         "old_path",
@@ -120,7 +120,7 @@ def delete_status(files: DataFrame, requests: DataFrame, roots: list[str] | None
     found = existing_paths(files, requests.select("corpus_id", F.col("path").alias("at")))
     return (
         requests.join(
-            found.select("corpus_id", F.col("at").alias("path"), "is_dir"), ["corpus_id", "path"], "left"
+            shuffled(found.select("corpus_id", F.col("at").alias("path"), "is_dir")), ["corpus_id", "path"], "left"
         )
         .withColumn(
             "status",
@@ -153,33 +153,33 @@ def _first_of_related(pending: DataFrame) -> DataFrame:
     touched = pending.select("corpus_id", "request_id", F.explode(F.array("old_path", "new_path")).alias("at"))
     spread = touched.select("corpus_id", "request_id", "at", F.explode(self_and_above(F.col("at"))).alias("above"))
     here = touched.groupBy("corpus_id", "at").agg(F.min("request_id").alias("least")).withColumnRenamed("at", "above")
-    above = spread.join(here, ["corpus_id", "above"]).select("corpus_id", "request_id", "least")
+    above = spread.join(shuffled(here), ["corpus_id", "above"]).select("corpus_id", "request_id", "least")
     under = spread.groupBy("corpus_id", "above").agg(F.min("request_id").alias("least")).withColumnRenamed("above", "at")
-    below = touched.join(under, ["corpus_id", "at"]).select("corpus_id", "request_id", "least")
+    below = touched.join(shuffled(under), ["corpus_id", "at"]).select("corpus_id", "request_id", "least")
     least = above.unionByName(below).groupBy("corpus_id", "request_id").agg(F.min("least").alias("least"))
-    return pending.join(least.filter("least = request_id").drop("least"), ["corpus_id", "request_id"])
+    return pending.join(shuffled(least.filter("least = request_id").drop("least")), ["corpus_id", "request_id"])
 
 
 def _put_under(rows: DataFrame, column: str, good: DataFrame) -> DataFrame:
     """``rows`` with the paths in ``column`` rewritten by the one request of ``good`` that reaches them, if any."""
     reached = rows.select("corpus_id", column, F.explode(self_and_above(F.col(column))).alias("old_path"))
-    moved = reached.join(good.select("corpus_id", "old_path", "new_path"), ["corpus_id", "old_path"])
+    moved = reached.join(shuffled(good.select("corpus_id", "old_path", "new_path")), ["corpus_id", "old_path"])
     moved = moved.select("corpus_id", column, F.concat("new_path", F.substr(column, F.length("old_path") + 1)).alias("_to")).distinct()
-    return rows.join(moved, ["corpus_id", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+    return rows.join(shuffled(moved), ["corpus_id", column], "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def _more_anchors(anchors: DataFrame, good: DataFrame) -> DataFrame:
     """Where the tops of moved trees stood at first (``orig_at``) and stand now (``cur_at``), after the good requests of a round."""
     above = good.select("corpus_id", "old_path", "new_path", F.explode(self_and_above(F.col("old_path"))).alias("cur_at"))
-    covers = above.join(anchors, ["corpus_id", "cur_at"]).groupBy("corpus_id", "old_path").agg(
+    covers = above.join(shuffled(anchors), ["corpus_id", "cur_at"]).groupBy("corpus_id", "old_path").agg(
         F.max(F.struct(F.length("cur_at").alias("n"), "cur_at", "orig_at")).alias("c")
     )
-    known = good.join(covers, ["corpus_id", "old_path"], "left")
+    known = good.join(shuffled(covers), ["corpus_id", "old_path"], "left")
     suffix = F.substr("old_path", F.length("c.cur_at") + 1)
     fresh = known.filter(F.col("c").isNull() | (F.col("c.cur_at") != F.col("old_path"))).select(
         "corpus_id", F.when(F.col("c").isNull(), F.col("old_path")).otherwise(F.concat("c.orig_at", suffix)).alias("orig_at"), F.col("new_path").alias("cur_at")
     )
-    fresh = fresh.join(anchors.select("corpus_id", "orig_at"), ["corpus_id", "orig_at"], "left_anti")
+    fresh = fresh.join(shuffled(anchors.select("corpus_id", "orig_at")), ["corpus_id", "orig_at"], "left_anti")
     return _put_under(anchors, "cur_at", good).select("corpus_id", "orig_at", "cur_at").unionByName(fresh)
 
 
@@ -207,8 +207,8 @@ def rename_in_order(files: DataFrame, requests: DataFrame, roots: list[str] | No
         ready = materialize(_first_of_related(pending).select(*columns), "ready")
         found = existing_paths(region, ready.select("corpus_id", F.explode(F.array(old, new)).alias("at"))).select("corpus_id", "at", F.lit(True).alias("there"))
         judged = (
-            ready.join(found.withColumnsRenamed({"at": "old_path", "there": "has_old"}), ["corpus_id", "old_path"], "left")
-            .join(found.withColumnsRenamed({"at": "new_path", "there": "has_new"}), ["corpus_id", "new_path"], "left")
+            ready.join(shuffled(found.withColumnsRenamed({"at": "old_path", "there": "has_old"})), ["corpus_id", "old_path"], "left")
+            .join(shuffled(found.withColumnsRenamed({"at": "new_path", "there": "has_new"})), ["corpus_id", "new_path"], "left")
             .select(
                 *columns,
                 F.when(F.col("has_old").isNull(), "source_missing")
@@ -224,7 +224,7 @@ def rename_in_order(files: DataFrame, requests: DataFrame, roots: list[str] | No
         good = judged.filter(F.col("status").isin("rename", "move"))
         anchors = materialize(_more_anchors(anchors, good), "anchors")
         region = materialize(_put_under(region, "path", good).select("corpus_id", "path"), "region")
-        pending = materialize(pending.join(ready.select("corpus_id", "request_id"), ["corpus_id", "request_id"], "left_anti"), "pending")
+        pending = materialize(pending.join(shuffled(ready.select("corpus_id", "request_id")), ["corpus_id", "request_id"], "left_anti"), "pending")
     status = reduce(DataFrame.unionByName, done)
     depth = (-F.length("orig_at")).alias("outwards")  # the deepest one comes first
     key = path_key(F.col("corpus_id"), F.col("orig_at")).alias("key")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.materialize import materialize
 from lodestone.operators import edits
 from lodestone.operators.lookup import PathTable, path_key
 
@@ -89,6 +90,17 @@ def test_contents_are_not_shuffled(spark, made, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_requests_that_look_small_are_not_sent_to_the_driver(spark, made, monkeypatch):
+    files = materialize(made([f"/r/d{i % 7}/f{i}" for i in range(50)]), "files")
+    renames = materialize(spark.createDataFrame([("p", i, f"/r/d{i}", f"/r/e{i}") for i in range(5)], FORM), "asked")
+    deletes = renames.selectExpr("corpus_id", "request_id", "old_path AS path", "true AS recursive", "false AS force")
+    monkeypatch.setattr(edits.PathTable, "of", lambda *a, **k: None)
+    judged = [edits.rename_status(files, renames), edits.delete_status(files, deletes)]
+    for df in (*judged, edits.rename_paths(files, renames)[0], edits.rename_in_order(files, renames)[0], edits.delete_paths(files, deletes)[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_more_rules_than_are_sent(spark, made, monkeypatch):
     paths = [f"/r/d{i}/f" for i in range(6)]
     asked = [(i, f"/r/d{i}", f"/r/e{i}") for i in range(4)] + [(9, "/r/e1", "/r/g")]
