@@ -5,7 +5,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import SPACE, SPACE_INNER
 from lodestone.operators.declarations import extract_all, extract_specifiers
+from lodestone.operators.declarations.heads import words
 
 CASES = {
     "a.py": (
@@ -209,3 +211,12 @@ def test_language_choice(corpus):
     with pytest.raises(ValueError):
         extract_all(files, ["cobol"])
     assert extract_all(files).select(F.countDistinct("lang")).head()[0] == 2
+
+
+def test_words_are_matched_as_a_split_gives_them(spark):
+    """Without compiling an expression for each text, which ``split`` does."""
+    texts = ["", " ", "a", "a b", "  a\t b ", "　", "func (x)  y{", "é﻿ü~!\x7f\x80 z", "\na\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(words(F.col("t")).alias("w"), F.split("t", f"{SPACE}+", -1).alias("s"), F.split("t", f"[{SPACE_INNER}]+", -1).alias("plain"))
+    assert all(r.w == r.s == r.plain for r in got.collect())
+    assert "regexp_extract_all" in str(words(F.col("t")))
