@@ -45,9 +45,15 @@ def suggest_names(
         blocks = max(1, -(-len(named) // QUERY_BLOCK))
         dealt = spark.createDataFrame([(b, named[b::blocks]) for b in range(blocks)], "block long, queries array<string>")
     dealt = dealt.select("block", wanted.alias("asked"))
+    if not isinstance(queries, DataFrame):
+        # nothing is known of a list's size, so that Spark would rather collect the candidates, to meet them in one task
+        dealt = F.broadcast(dealt)
+    # names weigh little and their scores much, which are sorted in each task: sized by bytes, a few tasks would hold all of them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = (
         candidates.select(F.col(column).alias("candidate"))
         .filter(F.col("candidate") != "")
+        .repartition(parts, "candidate")
         .distinct()
         .withColumn("key", name_key(F.col("candidate")))
     )

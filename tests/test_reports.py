@@ -167,3 +167,11 @@ def test_falsy_fields_and_missing_manifests(spark):
                                  "project string, exit_code int, stdout string, stderr string, has_manifest boolean")
     rows = explode_outdated(parse_outdated(runs)).collect()
     assert [tuple(r) for r in rows] == [("p", "a", "unknown", "unknown", "unknown", "5", "true")]
+
+
+def test_a_list_of_queries_is_sent_to_the_candidates(spark):
+    """Not the candidates to the list, whose few rows would leave the scores of all names to one task."""
+    names = spark.range(100).selectExpr("concat('n', id) AS n")
+    plan = suggestions.suggest_names(names, "n", ["n1", "n2"], 2)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in join and "BuildRight" in join and "REPARTITION_BY_NUM" in plan
