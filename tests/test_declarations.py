@@ -220,3 +220,14 @@ def test_words_are_matched_as_a_split_gives_them(spark):
     got = rows.select(words(F.col("t")).alias("w"), F.split("t", f"{SPACE}+", -1).alias("s"), F.split("t", f"[{SPACE_INNER}]+", -1).alias("plain"))
     assert all(r.w == r.s == r.plain for r in got.collect())
     assert "regexp_extract_all" in str(words(F.col("t")))
+
+
+def test_specifiers_are_read_off_the_whole_text(corpus):
+    """No lambda looks at tokens one by one, but for texts that need it; what those give is the same."""
+    files = corpus({"a.ts": "import a from './x'; export { b } from \"y\";\nconst c = require(`z`); use(import('./x'));", "b.ts": "import c from \"it's\";\nf(`${require('p')}`)"})
+    found = extract_specifiers(files, ["script"])
+    assert [(r.path, r.ord, r.specifier) for r in found.orderBy("path", "ord").collect()] == [
+        ("a.ts", 0, "./x"), ("a.ts", 1, "y"), ("a.ts", 2, "z"), ("b.ts", 0, "s"), ("b.ts", 1, "p")
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS pieces" not in plan
