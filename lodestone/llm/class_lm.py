@@ -6,16 +6,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.llm.batches import map_batches, raw_texts, text_slices
+from lodestone.llm.batches import list_column, map_batches, raw_texts, text_slices
 from lodestone.materialize import materialize
 
 #: Most words whose counts every task holds; the counts of all others are joined.
@@ -25,13 +26,15 @@ CLUSTERED, CLASSES = 2_048, 96
 EXCHANGE_ROUNDS = 6
 #: Every further word that occurs so often joins the core's class that suits its neighbours best; rarer ones have a class by their shape.
 LEARNED_FROM = 5
-#: Contexts that a task holds before it hands them on, and further words whose classes are tried at once.
+#: Contexts (or pairs) that a task holds before it hands them on, and further words whose classes are tried at once.
 HELD_CONTEXTS, TRIED_WORDS = 1 << 21, 256
 #: Added to a word's count, and the weight of the classes' own frequencies beside a class's successors.
 WORD_PRIOR, CLASS_PRIOR = 0.1, 5.0
 #: Distinct words that a task counts before it hands them on.
 COUNTED_WORDS = 300_000
 
+#: Two classes or numbers of words in one: the left one times this.
+_SIDE = 1 << 31
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b""  # the token after a text's last word; no word is empty
 SHAPES = 20
@@ -58,6 +61,42 @@ def shape_of(word: bytes) -> int:
     return kind * 4 + (not word.isascii()) * 2 + (len(word) > 9)
 
 
+class Numbers(dict):
+    """Numbers of words: those of the given words and, after them, of others in the order in which they are met, with their shapes."""
+
+    def __init__(self, given: list[bytes]) -> None:
+        super().__init__(zip(given, range(len(given)), strict=True))
+        self.given, self.shapes = len(given), []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.shapes.append(shape_of(word))
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def shapes_of_others(self) -> np.ndarray:
+        return np.array(self.shapes, np.int64)
+
+    def others(self) -> pa.Array:
+        return pa.array(list(islice(self, self.given, None)), pa.binary())
+
+    def forget_others(self) -> None:
+        for _ in self.shapes:
+            self.popitem()
+        self.shapes = []
+
+
+def _tokens(texts: list[bytes]) -> list[bytes]:
+    """The tokens of texts one after another, with an end before, between and after them."""
+    every = [END]
+    for text in texts:
+        every += words_of(text)
+        every.append(END)
+    return every
+
+
 def learnable(doc_id: Column) -> Column:
     """Documents that may be learned from; the others are held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) != 0, F.lit(False))
@@ -109,12 +148,13 @@ def count_transitions(train: DataFrame, symbols: Symbols, text: str = "text") ->
     n = symbols.count
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(shared.value.clustered)}
-        end = shared.value.end
+        numbers = Numbers([*shared.value.clustered, END])
         counts = np.zeros(n * n, np.int64)
         for part in text_slices(batches):
-            ids = _symbols([words_of(b) for b in raw_texts(part.column("text"))], known, end)
+            ids = _symbols(numbers.of(_tokens(raw_texts(part.column("text")))), numbers)
             counts += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
+            if len(numbers.shapes) > COUNTED_WORDS:
+                numbers.forget_others()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
@@ -125,63 +165,57 @@ def count_transitions(train: DataFrame, symbols: Symbols, text: str = "text") ->
     return counts.reshape(n, n)
 
 
-def _symbols(texts: list[list[bytes]], known: dict[bytes, int], end: int) -> np.ndarray:
-    """The symbols of texts one after another, with an end before, between and after them."""
-    every: list[bytes] = [END]
-    for words in texts:
-        every += words
-        every.append(END)
-    ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
-    for i in np.flatnonzero(ids < 0).tolist():
-        ids[i] = end + 1 + shape_of(every[i]) if every[i] else end
-    return ids
+def _symbols(ids: np.ndarray, numbers: Numbers) -> np.ndarray:
+    """The symbols of tokens by their numbers, the clustered words and the end being the given ones."""
+    return np.append(np.arange(numbers.given), numbers.given + numbers.shapes_of_others())[ids]
 
 
 def count_contexts(train: DataFrame, symbols: Symbols, classes: np.ndarray, text: str = "text") -> DataFrame:
-    """Rows ``(word, code, n)`` for all words besides the clustered ones: how often a class stands before the word (``code`` is the class) or
-    after it (the class plus the number of classes). Tasks sum up before the shuffle."""
+    """Rows ``(word, codes, times)`` for all words besides the clustered ones: how often a class stands before the word (the code is the class) or
+    after it (the class plus the number of classes). A word has a row from each task, or several."""
     shared = train.sparkSession.sparkContext.broadcast((symbols, classes))
     size = int(classes.max()) + 1
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         own, of = shared.value
-        known = {w: i for i, w in enumerate(own.clustered)}
-        numbers: dict[bytes, int] = {}
+        numbers = Numbers([*own.clustered, END])
         held: list[np.ndarray] = []
         waiting = 0
 
         def rows():
             keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-            words = pa.array(list(numbers), pa.binary()).take(pa.array(keys // (2 * size)))
-            return pa.RecordBatch.from_arrays([words, pa.array((keys % (2 * size)).astype(np.int32)), pa.array(n)], names=["word", "code", "n"])
+            word, codes = np.divmod(keys, 2 * size)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(first, append=len(word))
+            return pa.RecordBatch.from_arrays(
+                [numbers.others().take(pa.array(word[first] - numbers.given)), list_column(codes.astype(np.int32), sizes), list_column(n, sizes)],
+                names=["word", "codes", "times"],
+            )
 
         for part in text_slices(batches):
-            texts = [words_of(b) for b in raw_texts(part.column("text"))]
-            ids = _symbols(texts, known, own.end)
-            every = [END, *(w for words in texts for w in (*words, END))]
-            at = np.flatnonzero(ids > own.end)
-            word = np.fromiter((numbers.setdefault(every[i], len(numbers)) for i in at.tolist()), np.int64, len(at)) * (2 * size)
-            held += [word + of[ids[at - 1]], word + size + of[ids[at + 1]]]
+            ids = numbers.of(_tokens(raw_texts(part.column("text"))))
+            beside = of[_symbols(ids, numbers)]
+            at = np.flatnonzero(ids >= numbers.given)
+            word = ids[at] * (2 * size)
+            held += [word + beside[at - 1], word + size + beside[at + 1]]
             waiting += 2 * len(at)
-            if waiting > HELD_CONTEXTS or len(numbers) > COUNTED_WORDS:
+            if waiting > HELD_CONTEXTS or len(numbers.shapes) > COUNTED_WORDS:
                 yield rows()
-                numbers.clear()
+                numbers.forget_others()
                 held.clear()
                 waiting = 0
         yield rows()
 
-    partial = map_batches(train.select(F.col(text).alias("text")), run, "word binary, code int, n long")
-    return partial.groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return map_batches(train.select(F.col(text).alias("text")), run, "word binary, codes array<int>, times array<long>")
 
 
 def learn_classes(contexts: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
     """Rows ``(word, cls)`` for the words with ``LEARNED_FROM`` occurrences: that of the first ``classes`` classes with which the likelihood of
-    the class bigrams gains most by the word's own neighbours. ``pairs`` are the bigrams of all classes; a word has at most two contexts for each."""
+    the class bigrams gains most by the word's own neighbours. ``pairs`` are the bigrams of all classes; a word has at most two contexts for each.
+
+    The rows of a word come one after another in a task, which sums them up as they come and so holds the sums of ``TRIED_WORDS`` words and one batch."""
     size = len(pairs)
     shared = contexts.sparkSession.sparkContext.broadcast(pairs.astype(np.float64))
-    after = F.col("code") >= size
-    own = contexts.groupBy("word").agg(F.sum(F.when(after, F.col("n")).otherwise(F.lit(0))).alias("total"), F.collect_list(F.struct("code", "n")).alias("own"))
-    own = own.filter(F.col("total") >= LEARNED_FROM).select("word", "total", F.col("own.code").alias("codes"), F.col("own.n").alias("times"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         bigrams = shared.value
@@ -189,18 +223,44 @@ def learn_classes(contexts: DataFrame, pairs: np.ndarray, classes: int) -> DataF
         table = np.concatenate([bigrams[:, :classes], bigrams[:classes].T])
         left, right = bigrams.sum(axis=1)[:classes], bigrams.sum(axis=0)[:classes]
         x_log_x = lambda x: x * np.log(np.maximum(x, 1))
-        for batch in batches:
-            for part in (batch.slice(i, TRIED_WORDS) for i in range(0, batch.num_rows, TRIED_WORDS)):
-                codes = part.column("codes").flatten().to_numpy()
-                times = part.column("times").flatten().to_numpy().astype(np.float64)
-                sizes = np.array([len(c) for c in part.column("codes")])
-                there = table[codes]
-                gain = np.add.reduceat(x_log_x(there + times[:, None]) - x_log_x(there), np.cumsum(sizes) - sizes, axis=0)
-                n = part.column("total").to_numpy().astype(np.float64)[:, None]
-                gain -= x_log_x(left + n) - x_log_x(left) + x_log_x(right + n) - x_log_x(right)
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(gain.argmax(axis=1).astype(np.int32))], names=["word", "cls"])
 
-    return map_batches(own, run, "word binary, cls int")
+        def best(words: pa.Array, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            total = sums[:, size:].sum(axis=1)
+            tried = np.flatnonzero(total >= LEARNED_FROM)
+            if not len(tried):
+                return
+            at, codes = np.nonzero(sums[tried])
+            times = sums[tried[at], codes][:, None]
+            there = table[codes]
+            gain = np.add.reduceat(x_log_x(there + times) - x_log_x(there), np.searchsorted(at, np.arange(len(tried))), axis=0)
+            n = total[tried][:, None]
+            gain -= x_log_x(left + n) - x_log_x(left) + x_log_x(right + n) - x_log_x(right)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(tried)), pa.array(gain.argmax(axis=1).astype(np.int32))], names=["word", "cls"])
+
+        # the last word may go on in the next batch
+        last, last_sums = pa.array([], pa.binary()), np.zeros((0, 2 * size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = pa.concat_arrays([last, batch.column("word")])
+            new = np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False).astype(bool))
+            group = np.cumsum(new) - 1
+            words, of_row = word.take(pa.array(np.flatnonzero(new))), group[len(last) :]
+            codes, times = (batch.column(c).flatten().to_numpy() for c in ("codes", "times"))
+            of = np.repeat(of_row, batch.column("codes").value_lengths().to_numpy())
+            for start in range(0, len(words), TRIED_WORDS):
+                stop = min(start + TRIED_WORDS, len(words))
+                a, b = np.searchsorted(of, [start, stop])
+                sums = np.bincount((of[a:b] - start) * (2 * size) + codes[a:b], times[a:b], (stop - start) * 2 * size).reshape(-1, 2 * size)
+                if not start and len(last):
+                    sums[0] += last_sums[0]
+                whole = stop - start - (stop == len(words))
+                yield from best(words.slice(start, whole), sums[:whole])
+                last_seen = sums[whole:]
+            last, last_sums = words.slice(len(words) - 1), last_seen
+        yield from best(last, last_sums)
+
+    return map_batches(contexts.repartition("word").sortWithinPartitions("word"), run, "word binary, cls int")
 
 
 def count_class_pairs(train: DataFrame, words: list[bytes], classes: np.ndarray, end: int, shapes: np.ndarray, size: int, rest: DataFrame, text: str = "text") -> np.ndarray:
@@ -210,37 +270,40 @@ def count_class_pairs(train: DataFrame, words: list[bytes], classes: np.ndarray,
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         own, of = shared.value
-        known = dict(zip(own, of.tolist(), strict=True))
-        known[END] = end
+        numbers = Numbers([*own, END])
+        of = np.append(of, end)
         counts = np.zeros(size * size, np.int64)
-        others: Counter[tuple] = Counter()
+        held: list[np.ndarray] = []
+        waiting = 0
 
         def rows():
-            left_word, left, right_word, right = zip(*others, strict=True) if others else ((), (), (), ())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(left_word, pa.binary()), pa.array(left, pa.int32()), pa.array(right_word, pa.binary()), pa.array(right, pa.int32()),
-                    pa.array(list(others.values()), pa.int64()),
-                ],
-                names=["left_word", "left", "right_word", "right", "n"],
-            )
+            # a word without a known class stands in a pair by its number above the classes
+            keys, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            others, own_shapes = numbers.others(), shapes[numbers.shapes_of_others()]
+            columns = []
+            for side in np.divmod(keys, _SIDE):
+                word = side - size
+                columns.append(others.take(pa.array(word, mask=word < 0)))
+                columns.append(pa.array(np.append(np.arange(size), own_shapes)[side].astype(np.int32)))
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["left_word", "left", "right_word", "right", "n"])
 
         for part in text_slices(batches):
-            every = [END, *(w for b in raw_texts(part.column("text")) for w in (*words_of(b), END))]
-            ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
-            sure = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            counts += np.bincount(ids[:-1][sure] * size + ids[1:][sure], minlength=size * size)
-            for i in np.flatnonzero(~sure).tolist():
-                ends = []
-                for k in (i, i + 1):
-                    ends += (None, int(ids[k])) if ids[k] >= 0 else (every[k], int(shapes[shape_of(every[k])]))
-                others[tuple(ends)] += 1
-            if len(others) > COUNTED_WORDS:
+            ids = numbers.of(_tokens(raw_texts(part.column("text"))))
+            side = np.append(of, size + np.arange(len(numbers.shapes)))[ids]
+            sure = (side[:-1] < size) & (side[1:] < size)
+            counts += np.bincount(side[:-1][sure] * size + side[1:][sure], minlength=size * size)
+            held.append(side[:-1][~sure] * _SIDE + side[1:][~sure])
+            waiting += len(held[-1])
+            if waiting > HELD_CONTEXTS or len(numbers.shapes) > COUNTED_WORDS:
                 yield rows()
-                others.clear()
-        for at in np.flatnonzero(counts).tolist():
-            others[None, at // size, None, at % size] += int(counts[at])
+                numbers.forget_others()
+                held.clear()
+                waiting = 0
         yield rows()
+        at = np.flatnonzero(counts)
+        nothing = pa.nulls(len(at), pa.binary())
+        left, right = (pa.array(x.astype(np.int32)) for x in np.divmod(at, size))
+        yield pa.RecordBatch.from_arrays([nothing, left, nothing, right, pa.array(counts[at])], names=["left_word", "left", "right_word", "right", "n"])
 
     schema = "left_word binary, left int, right_word binary, right int, n long"
     found = materialize(map_batches(train.select(F.col(text).alias("text")), run, schema), "class_pairs")
@@ -418,43 +481,41 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
 
     def run(batches):
         m: ClassModel = shared.value
-        known = {w: i for i, w in enumerate(m.words)}
+        numbers = Numbers([*m.words, END])
         end, first = m.clustered, TaskContext.get().partitionId() << 40
         end_class = m.classes[end]
-        logs = np.log10(m.counts + WORD_PRIOR)
-        end_count = float(m.ends)
+        logs = np.log10(np.append(m.counts, m.ends) + WORD_PRIOR)
+        head_classes = np.append(m.head_classes, end_class)
+        there = np.append(np.ones(len(m.words), np.int64), m.ends > 0)
         for part in text_slices(batches):
-            lists = [words_of(b) for b in raw_texts(part.column("text"))]
-            every = [w for words in lists for w in (*words, END)]
-            ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
-            ends = np.cumsum(np.fromiter((len(w) + 1 for w in lists), np.int64, len(lists)))
-            starts = np.concatenate([[0], ends[:-1]])
-            of = np.full(len(every), -1, np.int64)
-            of[ids >= 0] = m.head_classes[ids[ids >= 0]]
-            gain = np.zeros(len(every))
-            gain[ids >= 0] = logs[ids[ids >= 0]]
-            known_here = (ids >= 0).astype(np.int64)
-            of[ends - 1], gain[ends - 1], known_here[ends - 1] = end_class, math.log10(end_count + WORD_PRIOR), end_count > 0
-            others = ids < 0
-            others[ends - 1] = False
-            at = np.flatnonzero(others)
-            before = np.concatenate([[end_class], of[:-1]])
-            before[starts] = end_class
+            every = _tokens(raw_texts(part.column("text")))
+            ids = numbers.of(every)[1:]
+            ends = np.flatnonzero(ids == len(m.words)) + 1
+            starts = np.append(0, ends[:-1])
+            n_others = len(numbers.shapes)
+            of = np.append(head_classes, np.full(n_others, -1))[ids]
+            gain = np.append(logs, np.zeros(n_others))[ids]
+            known_here = np.append(there, np.zeros(n_others, np.int64))[ids]
+            at = np.flatnonzero(of < 0)
+            before = np.append(end_class, of[:-1])  # the end goes before each text
             after = np.append(of[1:], end_class)
             base = np.add.reduceat(gain, starts)
             sure = of >= 0
             moves = np.where(sure & (before >= 0), m.moves[before, of], 0.0) - np.where(sure, m.totals[of], 0.0)
             score = np.add.reduceat(gain + moves, starts)
-            words, times, shapes, which = [], [], [], []
-            bounds = np.searchsorted(at, np.append(starts, len(every)))
-            listed = [every[i] for i in at.tolist()]
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                counts = Counter(listed[a:b])
-                words.append(list(counts.keys()))
-                times.append(list(counts.values()))
-                shapes.append([int(m.classes[end + 1 + shape_of(w)]) for w in counts])
-                places = {w: i for i, w in enumerate(counts)}
-                which.append([places[w] for w in listed[a:b]])
+            # the distinct other words of each text, and which of them stands at each place
+            bounds = np.searchsorted(at, np.append(starts, len(ids)))
+            cells, place, counts = np.unique(
+                np.repeat(np.arange(len(starts)), np.diff(bounds)) * _SIDE + ids[at] - numbers.given, return_inverse=True, return_counts=True
+            )
+            text, word = np.divmod(cells, _SIDE)
+            firsts = np.searchsorted(text, np.arange(len(starts) + 1))
+            which = place - np.repeat(firsts[:-1], np.diff(bounds))
+            per_text = lambda x: pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), x)  # noqa: E731, B023
+            words, times = per_text(numbers.others().take(pa.array(word))), per_text(pa.array(counts, pa.int64()))
+            shapes = per_text(pa.array(m.classes[end + 1 + numbers.shapes_of_others()[word]], pa.int32()))
+            if n_others > COUNTED_WORDS:
+                numbers.forget_others()
             sizes = ends - starts
             yield pa.RecordBatch.from_arrays(
                 [
@@ -464,10 +525,10 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
                     pa.array(np.add.reduceat(known_here, starts)),
                     pa.array(base - sizes * m.base_total),
                     pa.array(score),
-                    pa.array(words, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                    *(pa.array(x, pa.list_(pa.int32())) for x in (shapes, which)),
-                    *(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x[at], pa.int32())) for x in (before, after)),
+                    words,
+                    times,
+                    shapes,
+                    *(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (which, before[at], after[at])),
                 ],
                 names=schema.names,
             )

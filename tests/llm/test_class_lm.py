@@ -103,3 +103,30 @@ def test_joined_words_count_as_held_ones(spark, monkeypatch):
     assert scores[0].keys() == scores[1].keys()
     for i, one in scores[0].items():
         assert one == pytest.approx(scores[1][i], rel=1e-9)
+
+
+def test_contexts_have_one_row_a_word(spark):
+    """A task hands on the contexts of a word together: not a row for each."""
+    docs = spark.createDataFrame([(1, "a new b new a a b a b"), (2, "b new a")], "doc_id long, text string").coalesce(1)
+    symbols = C.Symbols([b"a", b"b"])
+    classes = np.array([0, 1, 2, *[3] * C.SHAPES])
+    rows = [(bytes(r.word), r.codes, r.times) for r in C.count_contexts(docs, symbols, classes).collect()]
+    assert rows == [(b"new", [0, 1, 4, 5], [1, 2, 2, 1])]
+
+
+def test_rows_of_a_word_are_summed_up(spark, monkeypatch):
+    """Over batches and blocks of words too: each context has its share of the sums, and words below the least count are left out."""
+    monkeypatch.setattr(C, "TRIED_WORDS", 2)
+    monkeypatch.setattr(C, "LEARNED_FROM", 3)
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        # of the two classes, 0 stands after 1 and 1 after 0
+        pairs = np.array([[1, 50, 1], [50, 1, 1], [1, 1, 1]])
+        like = {0: [1, 4], 1: [0, 3]}  # the contexts that words of each class have
+        words = [(f"w{i}".encode(), like[i % 2], [1, 1]) for i in range(7) for _ in range(3)] + [(b"rare", like[0], [2, 2])]
+        contexts = spark.createDataFrame(words, "word binary, codes array<int>, times array<long>")
+        found = {bytes(r.word): r.cls for r in C.learn_classes(contexts, pairs, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    assert found == {f"w{i}".encode(): i % 2 for i in range(7)}
