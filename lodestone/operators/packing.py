@@ -13,6 +13,8 @@ from ..materialize import materialize
 from ..ship import ship_package
 
 _PLACE_BITS = 33
+#: Bytes of the rows that a task sorts, what a row counts beside its size, and the ranges of places whose sizes pass the driver.
+SORTED_BYTES, ROW_BYTES, RANGES = 64 << 20, 256, 4096
 
 
 def packed(rows: DataFrame, size: str, target: int) -> DataFrame:
@@ -51,3 +53,23 @@ def packed(rows: DataFrame, size: str, target: int) -> DataFrame:
     place = F.col("__bin").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + F.col("__before")
     dealt = filled.join(F.broadcast(starts), partition == F.col("__p")).withColumn("__bin", place.cast("int"))
     return dealt.repartitionById(total, "__bin").drop("__bin", "__p", "__before")
+
+
+def in_order(rows: DataFrame, places: DataFrame, n: int, place: str, size: str) -> DataFrame:
+    """``rows`` sorted by ``place`` over all partitions, each of which has rows of ``SORTED_BYTES`` at most, or one range of places. ``places`` has the
+    numbers from 1 to ``n``, each with a ``size`` in bytes. Large rows often come together, so ranges of equal counts wouldn't do. Runs a job while the plan is built."""
+    if not n:
+        return rows
+    cell = F.call_function("div", (F.col(place) - 1) * F.lit(RANGES), F.lit(n))
+    weight = F.sum(F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)) + F.lit(ROW_BYTES))
+    weights = {r["cell"]: r["bytes"] for r in places.groupBy(cell.alias("cell")).agg(weight.alias("bytes")).collect()}  # RANGES rows at most
+    target = min(SORTED_BYTES, 1 + sum(weights.values()) // (2 * rows.sparkSession.sparkContext.defaultParallelism))
+    parts, held, part = [], 0, 0
+    for i in range(RANGES):
+        if held and held + weights.get(i, 0) > target:
+            part, held = part + 1, 0
+        held += weights.get(i, 0)
+        parts.append(part)
+    part_of = F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>")
+    dealt = rows.repartitionById(part + 1, F.coalesce(F.get(part_of, cell.cast("int")), F.lit(0)))
+    return dealt.sortWithinPartitions(place)

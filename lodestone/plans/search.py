@@ -10,6 +10,7 @@ from ..functions.paths import format_size, normalize_path
 from ..functions.patterns import CompiledPattern, compile_pattern
 from ..operators import matching, predicates, ranking
 from ..operators.numbering import numbered
+from ..operators.packing import in_order
 from ..sources.sinks import iso_utc, json_document, result_json
 from ..sources.tables import FILE_COLUMNS, FILE_KEYS, describe_files
 from .options import SearchOptions
@@ -100,20 +101,17 @@ def _with_texts(files: DataFrame, winners: DataFrame, options: SearchOptions) ->
     return files.select(*FILE_KEYS, "content").join(winners, FILE_KEYS).withColumn("content", prepared_text(options))
 
 
-def _results(files: DataFrame, winners: DataFrame, options: SearchOptions, shown: int | None = None) -> DataFrame:
+def _results(texts: DataFrame, options: SearchOptions, shown: int | None = None) -> DataFrame:
+    """The files of ``_with_texts`` with their matches, in the order in which they come. Matches may be far larger than the texts, so texts are put in order before."""
     found = matching.file_matches(F.col("content"), pattern_of(options), options.snippet_length)
     found = found if shown is None else F.slice(found, F.lit(1), F.lit(shown))
-    return (
-        _with_texts(files, winners, options)
-        .withColumn("matches", found)
-        .drop("content")
-        .withColumn("size_formatted", format_size(F.col("size")))
-    )
+    return texts.withColumn("matches", found).drop("content").withColumn("size_formatted", format_size(F.col("size")))
 
 
 def search(files: DataFrame, options: SearchOptions) -> DataFrame:
     """One row per file with its ``matches`` array, in order, at most ``max_results`` files."""
-    return _results(files, _winners(files, options, gapless=False), options).orderBy("place").drop("place", "n_files")
+    texts = _with_texts(files, _winners(files, options, gapless=False), options).orderBy("place")
+    return _results(texts, options).drop("place", "n_files")
 
 
 def _flat(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
@@ -187,11 +185,12 @@ def render_json_array(files: DataFrame, options: SearchOptions) -> DataFrame:
     if options.max_results is None:
         # the number of files is known once they are placed
         n_files = winners.count()
-        documents = _results(files, winners, options).select(F.col("place").alias("block"), F.lit(n_files).alias("n_files"), document)
         if not n_files:
             return files.sparkSession.createDataFrame([(0, "[]")], "block long, line string")
-        return documents.select("block", _array_line().alias("line")).orderBy("block")
-    documents = _results(files, winners, options).select(F.col("place").alias("block"), "n_files", document)
+        texts = in_order(_with_texts(files, winners, options), winners, n_files, "place", "size")
+        documents = _results(texts, options).select(F.col("place").alias("block"), F.lit(n_files).alias("n_files"), document)
+        return documents.select("block", _array_line().alias("line"))
+    documents = _results(_with_texts(files, winners, options), options).select(F.col("place").alias("block"), "n_files", document)
     seed = files.sparkSession.range(1).withColumnRenamed("id", "seed")
     led = seed.join(documents, F.col("seed") == F.least("block", F.lit(0)), "left")
     return led.select(F.coalesce("block", F.lit(0)).alias("block"), F.coalesce(_array_line(), F.lit("[]")).alias("line")).orderBy("block")
@@ -204,7 +203,7 @@ def _array_line() -> Column:
 
 
 def _grouped_lines(files: DataFrame, winners: DataFrame, options: SearchOptions) -> DataFrame:
-    results = _results(files, winners, options, SHOWN_PER_FILE)
+    results = _results(_with_texts(files, winners, options), options, SHOWN_PER_FILE)
     lines = F.flatten(
         F.array(
             F.array(

@@ -238,3 +238,27 @@ def test_letters_outside_ascii_fold_among_themselves(corpus):
     count = lambda pattern, **o: {r.path: r.n_matches for r in matching.match_counts(files, compile_pattern(pattern, **o)).collect()}
     assert count("i") == {"c": 2} and count("s") == {"c": 2} and count("k", regex_mode=True) == {"c": 2}
     assert count("é") == {"b": 2} and count("[é]|k", regex_mode=True) == {"b": 2, "c": 2}
+
+
+def test_rows_in_order_by_bytes(spark):
+    """Parts have nearly equal bytes, not counts, and follow one another in order."""
+    from lodestone.operators import packing
+
+    sizes = [1000] * 10 + [1] * 990 + [None] * 1000
+    places = spark.createDataFrame(list(enumerate(sizes, 1)), "place long, size long").withColumn("size", F.col("size") * 1000)
+    rows = packing.in_order(places.orderBy(F.rand(1)), places, 2000, "place", "size")
+    found = rows.withColumn("part", F.spark_partition_id()).collect()
+    assert [r.place for r in found] == list(range(1, 2001))
+    held = [sum(1 for r in found if r.part == p) for p in range(max(r.part for r in found) + 1)]
+    assert held[0] == 1 and min(held) and len(held) > 4
+    assert packing.in_order(places.limit(0), places.limit(0), 0, "place", "size").collect() == []
+
+
+def test_array_is_sorted_before_matches_are_built(corpus):
+    """What is shuffled and sorted has the texts; matches and documents, which may be far larger, are built in order."""
+    files = corpus({f"{i}.txt": "hit " * (i + 1) for i in range(30)})
+    for found in (S.render_json_array(files, SearchOptions(pattern="hit", sort_by="size", max_results=None)),
+                  S.search(files, SearchOptions(pattern="hit", sort_by="size", max_results=None))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        sort = plan.index("Sort [")
+        assert "match_start" in plan[:sort] and "match_start" not in plan[sort:]
