@@ -24,6 +24,7 @@ _TOKEN = re.compile(
     r"|\[\^?(?:\\[\s\S]|[^\]\\])*\]"
     r"|\{\d+(?:,\d*)?\}|\{|[.^$]"
 )
+_WORDLIKE = re.compile(r"\w(?:[ -~]*\w)?", re.ASCII)  # printable ASCII, a word character at both ends
 _KEPT_ESCAPES = set("dDwWfnrt123456789")
 _OUTSIDE = {
     r"\b": ASCII_EDGE, r"\B": NOT_ASCII_EDGE, r"\s": SPACE, r"\S": f"[^{SPACE_INNER}]",
@@ -138,7 +139,10 @@ def compile_pattern(
         if regex_mode
         else _SPECIAL.sub(lambda m: "\\" + m[0], pattern)
     )
-    if word_boundary:
+    if word_boundary and literal is not None and _WORDLIKE.fullmatch(pattern):
+        # the same edges, looked for only where the literal stands
+        body = rf"{body}(?!\w)(?<!\w{body})"
+    elif word_boundary:
         body = ASCII_EDGE + body + ASCII_EDGE
     regex = body if case_sensitive else _folded(body, pattern)
     uncased = pattern.lower() == pattern.upper()

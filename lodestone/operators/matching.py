@@ -14,10 +14,14 @@ DEFAULT_SNIPPET = 50
 
 def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:
     """One row per line, numbered from 1; the text column itself is dropped."""
+    return _exploded_lines(files, split_lines(F.col(text)), text)
+
+
+def _exploded_lines(files: DataFrame, lines: Column, text: str) -> DataFrame:
+    """A row for each of ``lines``. For a plain ``posexplode`` Spark infers a filter on the array's size, for which it would make the text and cut it once more."""
     keep = [c for c in files.columns if c != text]
-    return files.select(
-        *keep, F.posexplode(split_lines(F.col(text))).alias("line_pos", "line")
-    ).select(*keep, (F.col("line_pos") + 1).alias("line_no"), "line")
+    rows = files.select(*keep, F.posexplode_outer(lines).alias("line_pos", "line")).filter(F.col("line").isNotNull())
+    return rows.select(*keep, (F.col("line_pos") + 1).alias("line_no"), "line")
 
 
 def match_counts(files: DataFrame, pattern: CompiledPattern, text: str = "content") -> DataFrame:
@@ -63,10 +67,20 @@ def line_matches(line: Column, pattern: CompiledPattern, snippet: int = DEFAULT_
                 ).alias("snippet"),
             )
 
-        return bind(
+        def only(before: Column, piece: Column) -> Column:
+            cut = F.substring_index(piece, MARK_CLOSE, 1)
+            return bind(cut, lambda text: F.array(F.struct(
+                F.length(before).alias("match_start"),
+                (F.length(before) + F.length(text)).alias("match_end"),
+                F.concat(F.right(before, F.lit(context)), text, F.left(F.substr(piece, F.length(text) + 2), F.lit(context))).alias("snippet"),
+            )))
+
+        several = bind(
             held,
             lambda h: F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p, i: match(h, p, i)),
         )
+        # most lines with a match have one: its context is in the two pieces
+        return F.when(F.size(pieces) == 2, only(F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1)))).otherwise(several)
 
     return bind(F.split(marked, MARK_OPEN, -1), of)
 
@@ -81,13 +95,16 @@ def find_matches(
     """One row per match: ``line_no``, ``match_ord``, ``match_start``, ``match_end``, ``snippet``,
     and the ``line`` if asked for, beside the file's own columns. Narrow transformations only."""
     keep = [c for c in files.columns if c != text]
+    lines = split_lines(F.col(text))
     if pattern.literal is not None:
-        files = files.filter(pattern.in_text(F.col(text)))
+        # the text is made once: a filter would be a second place to make it
+        lines = bind(F.col(text), lambda body: F.when(pattern.in_text(body), split_lines(body)))
     line = ["line"] if with_line else []
     return (
-        explode_lines(files, text)
+        _exploded_lines(files, lines, text)
         .filter(pattern.in_line(F.col("line")))
-        .select(*keep, "line_no", *line, F.posexplode(line_matches(F.col("line"), pattern, snippet)).alias("at", "m"))
+        .select(*keep, "line_no", *line, F.posexplode_outer(line_matches(F.col("line"), pattern, snippet)).alias("at", "m"))
+        .filter(F.col("at").isNotNull())
         .select(*keep, "line_no", (F.col("at") + 1).alias("match_ord"), *line, "m.match_start", "m.match_end", "m.snippet")
     )
 

@@ -262,3 +262,36 @@ def test_array_is_sorted_before_matches_are_built(corpus):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         sort = plan.index("Sort [")
         assert "match_start" in plan[:sort] and "match_start" not in plan[sort:]
+
+
+def test_edges_of_a_literal_are_looked_for_where_it_stands(spark):
+    """The same matches as with both edges before the literal; wide letters are no word characters."""
+    from lodestone.functions.patterns import ASCII_EDGE
+
+    texts = ["import", "Import import", "reimport important _import import_ 1import", "(import)", "éimporté", "importimport import", "", "a.b", "xa.b a.bx a.b.a.b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for literal in ("import", "a.b", "a"):
+        quick = compile_pattern(literal, word_boundary=True).regex
+        plain = f"(?i){ASCII_EDGE}{re.escape(literal)}{ASCII_EDGE}"
+        assert ASCII_EDGE not in quick
+        marked = df.select(F.regexp_replace("t", quick, "<$0>").alias("a"), F.regexp_replace("t", plain, "<$0>").alias("b")).collect()
+        assert any("<" in r.a for r in marked) and all(r.a == r.b for r in marked)
+
+
+def test_text_is_made_once_for_matches(corpus):
+    """Neither the look for the pattern nor the size of an array is a second place where a masked text is made."""
+    files = corpus({"a.py": "import a # import b\n\nimport c", "b.py": "# import", "c.py": ""})
+    masked = files.withColumn("content", F.regexp_replace("content", "#[^\n]*+", ""))
+    found = matching.find_matches(masked, compile_pattern("import", word_boundary=True))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#[^") == 1
+    assert sorted((r.path, r.line_no, r.match_ord, r.match_start, r.match_end, r.snippet) for r in found.collect()) == [
+        ("a.py", 1, 1, 0, 6, "import a "), ("a.py", 3, 1, 0, 6, "import c")
+    ]
+
+
+def test_single_match_has_the_snippet_of_several(spark):
+    """A line with one match takes a shorter way to the same structure."""
+    rows = spark.createDataFrame([("x" * 30 + "hit" + "y" * 30,), ("hit",), ("hit and hit",), ("a hit\ue000 b",)], "line string")
+    found = [[tuple(m) for m in r.m] for r in rows.select(matching.line_matches(F.col("line"), compile_pattern("hit"), 4).alias("m")).collect()]
+    assert found == [[(30, 33, "xxxxhityyyy")], [(0, 3, "hit")], [(0, 3, "hit and"), (8, 11, "and hit")], [(2, 5, "a hit\ufffd b")]]
