@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,31 +61,45 @@ def shape_of(word: bytes) -> int:
     return kind * 4 + (not word.isascii()) * 2 + (len(word) > 9)
 
 
-class Numbers(dict):
+_KINDS = np.array([shape_of(bytes([b])) // 4 for b in range(256)])
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """``shape_of`` for all words of an array, none of them empty."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[: ends[-1]]
+    wide = np.append(0, np.cumsum(raw >= 0x80))
+    return _KINDS[raw[ends[1:] - 1]] * 4 + (wide[ends[1:]] > wide[ends[:-1]]) * 2 + (np.diff(ends) > 9)
+
+
+class Numbers:
     """Numbers of words: those of the given words and, after them, of others in the order in which they are met, with their shapes."""
 
     def __init__(self, given: list[bytes]) -> None:
-        super().__init__(zip(given, range(len(given)), strict=True))
-        self.given, self.shapes = len(given), []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.shapes.append(shape_of(word))
-        return number
+        self.known, self.given = dict(zip(given, range(len(given)), strict=True)), len(given)
+        self.forget_others()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    @property
+    def n_others(self) -> int:
+        return len(self.number) - self.given
 
     def shapes_of_others(self) -> np.ndarray:
-        return np.array(self.shapes, np.int64)
+        if len(self._shapes) < self.n_others:
+            new = pa.array(list(islice(self.number, self.given + len(self._shapes), None)), pa.binary())
+            self._shapes = np.append(self._shapes, shapes_of(new))
+        return self._shapes
 
     def others(self) -> pa.Array:
-        return pa.array(list(islice(self, self.given, None)), pa.binary())
+        return pa.array(list(islice(self.number, self.given, None)), pa.binary())
 
     def forget_others(self) -> None:
-        for _ in self.shapes:
-            self.popitem()
-        self.shapes = []
+        self.number: defaultdict[bytes, int] = defaultdict(count(self.given).__next__, self.known)
+        self._shapes = np.empty(0, np.int64)
 
 
 def _tokens(texts: list[bytes]) -> list[bytes]:
@@ -148,13 +162,25 @@ def count_transitions(train: DataFrame, symbols: Symbols, text: str = "text") ->
     n = symbols.count
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers([*shared.value.clustered, END])
+        own = shared.value
+        known = dict(zip([*own.clustered, END], range(own.end + 1), strict=True))
         counts = np.zeros(n * n, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                counts[:] += np.bincount(np.concatenate(held), minlength=n * n)
+            held.clear()
+
         for part in text_slices(batches):
-            ids = _symbols(numbers.of(_tokens(raw_texts(part.column("text")))), numbers)
-            counts += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
-            if len(numbers.shapes) > COUNTED_WORDS:
-                numbers.forget_others()
+            every = _tokens(raw_texts(part.column("text")))
+            ids = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+            other = np.flatnonzero(ids < 0)
+            ids[other] = own.end + 1 + shapes_of(pa.array([every[i] for i in other.tolist()], pa.binary()))
+            held.append(ids[:-1] * n + ids[1:])
+            if sum(map(len, held)) > HELD_CONTEXTS:
+                add()
+        add()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
@@ -199,7 +225,7 @@ def count_contexts(train: DataFrame, symbols: Symbols, classes: np.ndarray, text
             word = ids[at] * (2 * size)
             held += [word + beside[at - 1], word + size + beside[at + 1]]
             waiting += 2 * len(at)
-            if waiting > HELD_CONTEXTS or len(numbers.shapes) > COUNTED_WORDS:
+            if waiting > HELD_CONTEXTS or numbers.n_others > COUNTED_WORDS:
                 yield rows()
                 numbers.forget_others()
                 held.clear()
@@ -289,12 +315,12 @@ def count_class_pairs(train: DataFrame, words: list[bytes], classes: np.ndarray,
 
         for part in text_slices(batches):
             ids = numbers.of(_tokens(raw_texts(part.column("text"))))
-            side = np.append(of, size + np.arange(len(numbers.shapes)))[ids]
+            side = np.append(of, size + np.arange(numbers.n_others))[ids]
             sure = (side[:-1] < size) & (side[1:] < size)
             counts += np.bincount(side[:-1][sure] * size + side[1:][sure], minlength=size * size)
             held.append(side[:-1][~sure] * _SIDE + side[1:][~sure])
             waiting += len(held[-1])
-            if waiting > HELD_CONTEXTS or len(numbers.shapes) > COUNTED_WORDS:
+            if waiting > HELD_CONTEXTS or numbers.n_others > COUNTED_WORDS:
                 yield rows()
                 numbers.forget_others()
                 held.clear()
@@ -492,7 +518,7 @@ def score_texts(docs: DataFrame, model: ClassModel, rest: DataFrame, doc_id: str
             ids = numbers.of(every)[1:]
             ends = np.flatnonzero(ids == len(m.words)) + 1
             starts = np.append(0, ends[:-1])
-            n_others = len(numbers.shapes)
+            n_others = numbers.n_others
             of = np.append(head_classes, np.full(n_others, -1))[ids]
             gain = np.append(logs, np.zeros(n_others))[ids]
             known_here = np.append(there, np.zeros(n_others, np.int64))[ids]

@@ -130,3 +130,14 @@ def test_rows_of_a_word_are_summed_up(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
     assert found == {f"w{i}".encode(): i % 2 for i in range(7)}
+
+
+def test_shapes_of_many_words():
+    words = [b"a", b"abcdefghi9", "\u00e9t\u00e9".encode(), b"x.", b"-", "\u00e9a".encode(), b"0123456789,", b"z" * 10, b"\xff"]
+    found = C.shapes_of(C.pa.array([b"cut", *words], C.pa.binary()).slice(1))
+    assert found.tolist() == [C.shape_of(w) for w in words] and len(C.shapes_of(C.pa.array([], C.pa.binary()))) == 0
+    numbers = C.Numbers([b"k", C.END])
+    assert numbers.of([b"k", b"q9", C.END, b"q9", b"r."]).tolist() == [0, 2, 1, 2, 3]
+    assert numbers.shapes_of_others().tolist() == [C.shape_of(b"q9"), C.shape_of(b"r.")]
+    numbers.forget_others()
+    assert numbers.of([b"r.", b"k"]).tolist() == [2, 0] and numbers.others().to_pylist() == [b"r."]
